@@ -129,8 +129,10 @@ def risk_array(sentences: Column, config: CascadeConfig) -> Column:
 
 
 def _array_counts(risks: Column, field: str, values) -> Column:
-    counts = [F.size(F.filter(risks, lambda r, v=v: r[field] == v)).cast("bigint").alias(v) for v in values]
-    return F.struct(*counts)
+    def count(value):
+        return F.size(F.filter(risks, lambda r: r[field] == value)).cast("bigint").alias(value)
+
+    return F.struct(*[count(v) for v in values])
 
 
 def report_columns(total: Column, risks: Column, config: CascadeConfig) -> list:

@@ -45,7 +45,7 @@ def ranked_take(
     `quota` is a number or a function of (group size, smallest group size).
     """
     if method == "auto":
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         method = "window" if size <= SMALL_BYTES else "threshold"
     hashed = df.withColumn("_h", order_hash(keys, seed))
     if method == "window":

@@ -14,6 +14,7 @@ from pactlens.functions.risk import keyword_risk
 from pactlens.functions.text import sentences
 from pactlens.operators.segment import segment_sentences
 from pactlens.operators.sizing import spread
+from pactlens.taxonomy import NONE_COLUMNS, POSITIVE_COLUMNS, PROVISION_TO_LABEL, TITLE_TO_LABEL
 
 SUBJECTS = ("The supplier", "Either party", "The customer", "The contractor", "Each licensee")
 MODALS = ("must", "shall", "is required to", "is obligated to", "will", "should", "may", "might",
@@ -84,8 +85,8 @@ def clause_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clause_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text): the clauses of a document joined into one text."""
-    return clause_array(spark, sf_dir).select(
-        "doc_id", F.array_join(F.transform("clauses", lambda c: c["sentence"]), ". ").alias("text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", clause_text(F.col("doc_id"), F.col("text")).alias("text"))
 
 
 def _score_array(label: Column, score: Column) -> Column:
@@ -128,3 +129,102 @@ def labelled_sources(spark: SparkSession, sf_dir: str) -> dict:
         out[name] = rows.filter(keep).select(
             "sentence", F.when(flipped, F.lit("None")).otherwise(F.col("label")).alias("label"), "seq")
     return out
+
+
+def messy(text: Column) -> Column:
+    """Text with stray whitespace and omission markers."""
+    return F.concat(F.lit(" \t"), F.replace(text, F.lit(". "), F.lit(".  <omitted>\n")), F.lit("　"))
+
+
+def clause_text(doc_id: Column, text: Column) -> Column:
+    """The clauses of one document as one text."""
+    return F.array_join(F.transform(sentences(text), lambda s, i: F.concat_ws(
+        " ", s, fragment(clause_hash(doc_id, i)))), ". ")
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, sent_idx, answer): external answers for a third of the clauses, some blank."""
+    h = F.col("h")
+    answer = F.when(h % 9 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" In short: "), F.col("sentence")))
+    return clauses(spark, sf_dir).filter(h % 3 == 0).select("doc_id", "sent_idx", answer.alias("answer"))
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Explanation requests, some with a blank field, some too long."""
+    h = F.col("h")
+    return clauses(spark, sf_dir).select(
+        "doc_id", "sent_idx",
+        F.when(h % 11 == 0, F.lit("  ")).when(h % 101 == 0, F.repeat("sentence", 120))
+        .otherwise(F.col("sentence")).alias("sentence"),
+        F.when(h % 13 != 0, F.concat(F.lit(" "), pick(LABELS, h % 6))).alias("risk_type"),
+        F.when(h % 17 == 0, F.lit("")).otherwise(F.lit("High\n")).alias("severity"))
+
+
+def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, file_name, text) with and without usable file names and texts."""
+    d = F.col("doc_id")
+    name = (F.when(d % 6 == 0, F.lit("")).when(d % 6 == 1, F.concat(F.lit("c"), d, F.lit(".TXT")))
+            .when(d % 6 == 2, F.lit("a.b.pdf")).when(d % 6 == 3, F.lit("x.docx")).when(d % 6 == 4, F.lit("pdf")))
+    body = F.when(d % 7 == 0, F.lit(" \n　")).when(d % 7 != 1, F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", name.alias("file_name"), body.alias("text"))
+
+
+def titled_qas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(split, qas ARRAY<STRUCT<id, answers STRUCT<text ARRAY<STRING>>>>)."""
+    titles = tuple(TITLE_TO_LABEL) + UNMAPPED_TITLES
+
+    def qa(c):
+        h = c["h"]
+        key = F.concat(F.col("doc_id"), F.lit("-"), c["sent_idx"])
+        return F.struct(
+            F.when(h % 41 == 0, key).otherwise(F.concat(key, F.lit("__"), pick(titles, h % 40))).alias("id"),
+            F.struct(F.array(F.concat(F.lit("  "), c["sentence"], F.lit("\n")), F.lit("Up to twenty chars. "))
+                     .alias("text")).alias("answers"))
+
+    split = F.when(F.col("doc_id") % 2 == 0, F.lit("train")).otherwise(F.lit("test"))
+    return clause_array(spark, sf_dir).select(split.alias("split"), F.transform("clauses", qa).alias("qas"))
+
+
+def provisions(spark: SparkSession, sf_dir: str) -> tuple:
+    """(rows with text and label index, label names)."""
+    h = F.col("h")
+    rows = clauses(spark, sf_dir).select(
+        "doc_id", "sent_idx",
+        F.when(h % 43 == 0, F.lit(" ")).otherwise(F.concat(F.lit(" "), "sentence")).alias("text"),
+        F.when(h % 37 == 0, F.lit(-1)).otherwise((h % 30).cast("int")).alias("label"))
+    return rows, list(PROVISION_TO_LABEL) + list(UNMAPPED_PROVISIONS)
+
+
+def wide_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and fifteen clause columns filled from the clauses by sent_idx % 15."""
+    names = (*POSITIVE_COLUMNS, *NONE_COLUMNS)
+    rows = clause_array(spark, sf_dir)
+
+    def cell(k, name):
+        own = F.filter("clauses", lambda c: c["sent_idx"] % 15 == k)
+        return F.array_join(F.transform(own, lambda c: c["sentence"]), ". <omitted>\n").alias(name)
+
+    return rows.select("doc_id", *[cell(k, name) for k, name in enumerate(names)])
+
+
+def qa_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(data ...): one nested QA object per document."""
+    def qa(c):
+        h = c["h"]
+        answer = F.when(h % 12 == 0, F.lit(" N/A ")).when(h % 8 == 0, c["sentence"]).otherwise(c["frag"])
+        return F.struct(
+            F.concat_ws(" ", predicate_of(h), tail_of(h)).alias("question"),
+            F.array(F.struct(answer.alias("text"))).alias("answers"))
+
+    rows = clause_array(spark, sf_dir)
+    context = F.array_join(F.transform("clauses", lambda c: c["sentence"]), ". ")
+    qas = F.transform(F.filter("clauses", lambda c: c["h"] % 4 == 0), qa)
+    paragraph = F.struct(context.alias("context"), qas.alias("qas"))
+    return rows.select(F.array(F.struct(F.array(paragraph).alias("paragraphs"))).alias("data"))
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, page_no, text): conversation turns as pages, some NULL."""
+    c = table(spark, sf_dir, "conversations")
+    text = F.when((F.col("conv_id") + F.col("turn")) % 9 != 0, F.col("text"))
+    return c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), text.alias("text"))
