@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,31 +33,39 @@ def attach_scores(sentences: DataFrame, scores: DataFrame, name: str, keys: tupl
 
 def with_scores(
     df: DataFrame,
-    scorer: Callable[[pd.Series], list],
+    scorer: Callable[[pd.Series], pd.DataFrame],
     name: str = "scores",
     sentence: str = "sentence",
     where: str | None = None,
 ) -> DataFrame:
     """Score sentences with a user's batch function inside Arrow batches.
 
-    `scorer` maps a Series of sentences to one list of (label, score) pairs each, and
-    loads its model lazily so that every Python worker loads it once. `where` names a
-    boolean column: only its true rows reach the scorer, the others get NULL, so a
-    later tier never scores what an earlier tier has settled.
+    `scorer` maps a Series of sentences to a frame with one score column per label, in
+    label order, and loads its model lazily so that every Python worker loads it once.
+    `where` names a boolean column: only its true rows reach the scorer, the others get
+    NULL, so a later tier never scores what an earlier tier has settled.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            chosen = pdf[where].fillna(False).astype(bool) if where else pd.Series(True, index=pdf.index)
-            out = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
-            texts = pdf.loc[chosen, sentence]
-            if len(texts):
-                for at, pairs in zip(texts.index, scorer(texts)):
-                    out.at[at] = [{"label": str(k), "score": float(v)} for k, v in pairs]
-            yield pdf.assign(**{name: out})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            chosen = np.ones(n, dtype=bool)
+            if where:
+                chosen = np.asarray(batch.column(where).fill_null(False).to_numpy(zero_copy_only=False), dtype=bool)
+            texts = batch.column(sentence).to_pandas()[chosen]
+            frame = scorer(texts) if len(texts) else pd.DataFrame()
+            width = len(frame.columns)
+            offsets = np.concatenate(([0], np.cumsum(np.where(chosen, width, 0)))).astype("int32")
+            scores = pa.ListArray.from_arrays(
+                pa.array(offsets),
+                pa.StructArray.from_arrays(
+                    [pa.array(list(map(str, frame.columns)) * len(frame), pa.string()),
+                     pa.array(frame.to_numpy(dtype="float64").ravel(), pa.float64())], ["label", "score"]),
+                mask=pa.array(~chosen))
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, name])
 
     schema = T.StructType([*df.schema.fields, T.StructField(name, SCORES_TYPE)])
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def _top(scores: Column, sentence: Column) -> Column:

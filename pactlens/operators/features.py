@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pactlens.functions.text import ngrams, term_counts, tokens
+from pactlens.operators.hold import hold
 
 MAX_FEATURES = 20_000
 MAX_BROADCAST_TERMS = 1_000_000
@@ -15,8 +16,10 @@ MAX_BROADCAST_TERMS = 1_000_000
 
 def term_rows(df: DataFrame, keys: tuple, text: str = "sentence", n_max: int = 2) -> DataFrame:
     """(keys..., term, tf): term counts of each row, counted inside the row."""
-    counted = term_counts(ngrams(tokens(F.col(text)), n_max))
-    return df.select(*keys, F.inline(counted))
+    # Tokens and n-grams are read many times by the next step, so each is held first.
+    tokenised = hold(df.select(*keys, text), _tokens=tokens(F.col(text)))
+    grams = hold(tokenised, _terms=ngrams(F.col("_tokens"), n_max))
+    return grams.select(*keys, F.inline(term_counts(F.col("_terms"))))
 
 
 def vocabulary(terms: DataFrame, n_rows: int, max_features: int = MAX_FEATURES) -> DataFrame:

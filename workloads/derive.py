@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pactlens.functions.risk import keyword_risk
 from pactlens.functions.text import sentences
+from pactlens.operators.hold import hold
 from pactlens.operators.segment import segment_sentences
 from pactlens.operators.sizing import spread
 from pactlens.taxonomy import NONE_COLUMNS, POSITIVE_COLUMNS, PROVISION_TO_LABEL, TITLE_TO_LABEL
@@ -114,10 +115,10 @@ def tier2_scores(keyed: DataFrame) -> DataFrame:
 
 def labelled_sources(spark: SparkSession, sf_dir: str) -> dict:
     """Three overlapping labelled corpora (sentence, label, seq) keyed by source name."""
-    rows = clauses(spark, sf_dir).select(
-        "doc_id", "h", "sentence",
-        (F.col("doc_id") * 1000000 + F.col("sent_idx")).alias("seq"),
-        F.coalesce(keyword_risk(F.lower("sentence")), F.lit("None")).alias("label"))
+    lowered = hold(clauses(spark, sf_dir), _l=F.lower("sentence"))
+    labelled = hold(lowered, label=F.coalesce(keyword_risk(F.col("_l")), F.lit("None")))
+    rows = labelled.select(
+        "doc_id", "h", "sentence", (F.col("doc_id") * 1000000 + F.col("sent_idx")).alias("seq"), "label")
     h = F.col("h")
     home = F.col("doc_id") % 3
     out = {}

@@ -188,8 +188,8 @@ CASCADE_OUT = "SELECT doc_id, sent_idx, risk_type, severity, severity_score, con
 
 
 def scorer_plugin() -> str:
-    top = f"({LABELS})[length(sentence) % 6 + 1]"
-    # The first of equal scores wins, so a score of 0.0 keeps the first label.
+    # The first of equal scores wins, so a top score of 0.0 gives the first label.
+    top = f"({LABELS})[CASE WHEN length(sentence) % 97 = 0 THEN 1 ELSE length(sentence) % 6 + 1 END]"
     return f"""WITH {CLAUSES},
 p AS (SELECT *, {top} AS label, (length(sentence) % 97) / {num(97)} AS p FROM cl),
 q AS (SELECT *, CASE WHEN label <> 'None' AND {calibrated('p')} >= {num(0.6)} THEN label END AS first,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -223,9 +225,12 @@ def analyze_risks(spark, sf):
 
 
 def _demo_scorer(sentences):
-    labels = derive.LABELS
-    lengths = sentences.str.len()
-    return [[(labels[n % 6], (n % 97) / 97.0), (labels[(n + 1) % 6], 0.0)] for n in lengths]
+    """Top label and score from the sentence length, all other labels 0.0."""
+    labels = list(derive.LABELS)
+    lengths = sentences.str.len().to_numpy()
+    scores = np.zeros((len(lengths), len(labels)))
+    scores[np.arange(len(lengths)), lengths % 6] = (lengths % 97) / 97.0
+    return pd.DataFrame(scores, columns=labels)
 
 
 @query
@@ -505,8 +510,8 @@ def ingest_files(spark, sf):
 
 
 def _pairs(spark, sf):
-    keyed = derive.clauses(spark, sf)
-    truth = F.coalesce(risk.keyword_risk(F.lower("sentence")), F.lit("None"))
+    keyed = _lowered(spark, sf)
+    truth = F.coalesce(risk.keyword_risk(F.col("_l")), F.lit("None"))
     best = derive.tier2_scores(keyed).withColumn("t", calibration.top1(F.col("scores"))).select(
         *KEYS, F.col("t.label").alias("y_pred"), F.col("t.confidence").alias("confidence"))
     rows = hold(keyed, y_true=truth).select(*KEYS, "y_true")
