@@ -23,12 +23,14 @@ KEYS = ("doc_id", "sent_idx")
 
 
 def attach_scores(sentences: DataFrame, scores: DataFrame, name: str, keys: tuple = KEYS) -> DataFrame:
-    """Left join a score table on the sentence key; a missing row means the tier failed.
+    """Left join a tier's top-1 as STRUCT<label, confidence>; a missing row means the tier failed.
 
-    The key is unique per sentence, so no key is hot, and attaching a second score
-    table on the same key reuses the first join's partitioning.
+    The score arrays shrink to their top entry before they move. The key is unique per
+    sentence, so no key is hot, and attaching a second score table on the same key
+    reuses the first join's partitioning.
     """
-    return sentences.join(scores.select(*keys, F.col("scores").alias(name)), list(keys), "left")
+    best = scores.select(*keys, top1(F.col("scores")).alias(name))
+    return sentences.join(best, list(keys), "left")
 
 
 def with_scores(
@@ -68,17 +70,17 @@ def with_scores(
     return df.mapInArrow(run, schema)
 
 
-def _top(scores: Column, sentence: Column) -> Column:
-    """Top-1 of a tier; a blank sentence is benign without asking the model."""
+def _top(top: Column, sentence: Column) -> Column:
+    """A blank sentence is benign without asking the model."""
     return F.when(
         F.length(strip(sentence)) == 0,
         F.struct(F.lit(NONE_LABEL).alias("label"), F.lit(0.0).alias("confidence")),
-    ).otherwise(top1(scores))
+    ).otherwise(top)
 
 
-def tier1_decision(scores: Column, sentence: Column, config: CascadeConfig) -> Column:
-    """STRUCT<label, confidence> of the transformer tier; a NULL label abstains."""
-    top = _top(scores, sentence)
+def tier1_decision(top: Column, sentence: Column, config: CascadeConfig) -> Column:
+    """STRUCT<label, confidence> of the transformer tier from its top-1; a NULL label abstains."""
+    top = _top(top, sentence)
     calibrated = calibrate(top["confidence"], config.temperature)
     benign = top["label"] == NONE_LABEL
     accepted = ~benign
@@ -88,13 +90,13 @@ def tier1_decision(scores: Column, sentence: Column, config: CascadeConfig) -> C
     return F.struct(F.when(accepted, top["label"]).alias("label"), confidence.alias("confidence"))
 
 
-def tier2_decision(scores: Column, sentence: Column, config: CascadeConfig) -> Column:
-    """STRUCT<label, confidence> of the classifier tier.
+def tier2_decision(top: Column, sentence: Column, config: CascadeConfig) -> Column:
+    """STRUCT<label, confidence> of the classifier tier from its top-1.
 
     A confidence of exactly 0.0 passes the threshold, and a missing score row gives
     (NULL, 0.0).
     """
-    top = _top(scores, sentence)
+    top = _top(top, sentence)
     accepted = top["label"] != NONE_LABEL
     if config.enforce_thresholds:
         low = (top["confidence"] != 0.0) & (top["confidence"] < F.lit(config.ml_threshold))
@@ -103,27 +105,40 @@ def tier2_decision(scores: Column, sentence: Column, config: CascadeConfig) -> C
                     F.coalesce(top["confidence"], F.lit(0.0)).alias("confidence"))
 
 
+def _tier_top(df: DataFrame, column: str | None) -> Column:
+    """A tier's top-1 from its column: a score array, a top-1 struct, or no table at all."""
+    if column is None:
+        return F.lit(None).cast("struct<label:string,confidence:double>")
+    if isinstance(df.schema[column].dataType, T.ArrayType):
+        return top1(F.col(column))
+    return F.col(column)
+
+
 def decide(
     df: DataFrame,
     config: CascadeConfig,
     sentence: str = "sentence",
-    tier1: str | None = "tier1_scores",
-    tier2: str | None = "tier2_scores",
+    tier1: str | None = "tier1",
+    tier2: str | None = "tier2",
 ) -> DataFrame:
     """Run the cascade: adds risk_type, confidence and detector, drops sentences without risk.
 
     A tier that settles a sentence hides the later ones. In `auto` and `ml` mode the
     classifier's confidence stays on the row even when the keyword tier decides.
-    Pass None for a tier without a score table; in its modes it then fails on every row.
+    `tier1` and `tier2` name columns with the tiers' score arrays or top-1 structs; None
+    means the tier has no scores, so in its modes it fails on every row.
     """
-    missing = F.lit(None).cast(SCORES_TYPE)
     s = F.col(sentence)
+    tops = {"_top1": _tier_top(df, tier1)} if config.uses_transformer else {}
+    if config.uses_ml:
+        tops["_top2"] = _tier_top(df, tier2)
+    topped = hold(df, **tops) if tops else df
     staged = {"_lower": F.lower(s)}
     if config.uses_transformer:
-        staged["_t1"] = tier1_decision(F.col(tier1) if tier1 else missing, s, config)
+        staged["_t1"] = tier1_decision(F.col("_top1"), s, config)
     if config.uses_ml:
-        staged["_t2"] = tier2_decision(F.col(tier2) if tier2 else missing, s, config)
-    held = hold(df, **staged)
+        staged["_t2"] = tier2_decision(F.col("_top2"), s, config)
+    held = hold(topped, **staged).drop(*tops)
 
     first = F.col("_t1.label") if config.uses_transformer else F.lit(None).cast("string")
     second = F.col("_t2.label") if config.uses_ml else F.lit(None).cast("string")

@@ -15,53 +15,50 @@ from pactlens.functions.calibration import top1
 from pactlens.functions.text import strip
 from pactlens.operators.evaluate import class_weights, classification_report, f1_summary
 from pactlens.operators.features import (
-    MAX_FEATURES, sparse_vector, term_rows, tfidf_arrays, vocabulary)
-from pactlens.operators.sizing import broadcast_if_small
+    MAX_FEATURES, idf_rows, sparse_vector, term_rows, vocabulary, with_weights)
+from pactlens.operators.hold import hold
+
+VOCAB_SCHEMA = "term_idx int, term string, idf double"
 
 
 @dataclass
 class TextClassifier:
-    """Vocabulary table, label list and fitted regression."""
+    """Vocabulary rows (term, idf), label list and fitted regression.
+
+    Scoring adds columns row by row: no join and no shuffle.
+    """
 
-    vocab: DataFrame
+    vocab: list
     labels: list
     model: LogisticRegressionModel
     n_max: int = 2
-    max_features: int = MAX_FEATURES
-
-    def _vectors(self, df: DataFrame, keys: tuple, text: str) -> DataFrame:
-        weights = tfidf_arrays(term_rows(df, keys, text, self.n_max), self.vocab, keys, self.max_features)
-        return weights.select(*keys, sparse_vector(F.col("weights"), self.model.numFeatures).alias("features"))
-
-    def score(self, df: DataFrame, keys: tuple, text: str = "sentence", name: str = "scores") -> DataFrame:
-        """(keys..., scores): all class probabilities as ARRAY<STRUCT<label, score>>.
-
-        A text without vocabulary terms is scored on an all-zero vector.
-        """
-        zero = sparse_vector(F.array().cast("array<struct<term_idx:int,weight:double>>"), self.model.numFeatures)
-        vectors = df.select(*keys).join(self._vectors(df, keys, text), list(keys), "left").withColumn(
-            "features", F.coalesce("features", zero))
-        probs = vector_to_array(F.col("probability"))
-        scored = self.model.transform(vectors).select(*keys, probs.alias("_p"))
+
+    def score(self, df: DataFrame, text: str = "sentence", name: str = "scores") -> DataFrame:
+        """Add all class probabilities as ARRAY<STRUCT<label, score>>."""
+        weighted = with_weights(df, self.vocab, text, self.n_max, "_weights")
+        vectors = weighted.withColumn("features", sparse_vector(F.col("_weights"), len(self.vocab)))
+        scored = hold(self.model.transform(vectors), _p=vector_to_array(F.col("probability")))
         pairs = F.array(*[F.struct(F.lit(label).alias("label"), F.get("_p", i).alias("score"))
                           for i, label in enumerate(self.labels)])
-        return scored.select(*keys, pairs.alias(name))
-
-    def predict(self, df: DataFrame, keys: tuple, text: str = "sentence") -> DataFrame:
-        """(keys..., label, confidence): the most probable class; a blank text is ("None", 0.0)."""
-        scored = df.select(*keys, F.col(text).alias("_text")).join(self.score(df, keys, text), list(keys))
-        best = F.when(F.length(strip(F.col("_text"))) > 0, top1(F.col("scores")))
-        return scored.withColumn("_b", best).select(
-            *keys, F.coalesce("_b.label", F.lit(NONE_LABEL)).alias("label"),
-            F.coalesce("_b.confidence", F.lit(0.0)).alias("confidence"))
+        return scored.select(*df.columns, pairs.alias(name))
+
+    def predict(self, df: DataFrame, text: str = "sentence", label: str = "label",
+                confidence: str = "confidence") -> DataFrame:
+        """Add the most probable class and its probability; a blank text is ("None", 0.0)."""
+        kept = df.drop(label, confidence)
+        blank = F.length(strip(F.col(text))) == 0
+        best = hold(self.score(kept, text, "_scores"), _b=F.when(~blank, top1(F.col("_scores"))))
+        return best.select(
+            *kept.columns, F.coalesce("_b.label", F.lit(NONE_LABEL)).alias(label),
+            F.coalesce("_b.confidence", F.lit(0.0)).alias(confidence))
 
     def save(self, path: str, meta: dict) -> None:
         """Model, vocabulary and one-row metadata under one folder."""
-        spark = self.vocab.sparkSession
+        spark = SparkSession.active()
         self.model.write().overwrite().save(f"{path}/model")
-        self.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
-        text = json.dumps({"labels": self.labels, "n_max": self.n_max,
-                           "max_features": self.max_features, **meta})
+        rows = [(r["term_idx"], r["term"], r["idf"]) for r in self.vocab]
+        spark.createDataFrame(rows, VOCAB_SCHEMA).write.mode("overwrite").parquet(f"{path}/vocab")
+        text = json.dumps({"labels": self.labels, "n_max": self.n_max, **meta})
         spark.range(1).select(F.lit(text).alias("value")).write.mode("overwrite").text(f"{path}/meta")
 
     @classmethod
@@ -70,13 +67,12 @@ class TextClassifier:
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
         if "labels" not in meta:
             raise ValueError("Invalid model file format")
-        return cls(spark.read.parquet(f"{path}/vocab"), meta["labels"],
-                   LogisticRegressionModel.load(f"{path}/model"), meta["n_max"], meta["max_features"])
+        vocab = idf_rows(spark.read.schema(VOCAB_SCHEMA).parquet(f"{path}/vocab"))
+        return cls(vocab, meta["labels"], LogisticRegressionModel.load(f"{path}/model"), meta["n_max"])
 
 
 def fit_classifier(
     train: DataFrame,
-    keys: tuple,
     work_dir: str,
     text: str = "sentence",
     label: str = "label",
@@ -89,38 +85,31 @@ def fit_classifier(
     """Fit balanced multinomial logistic regression on TF-IDF rows.
 
     The penalty C weights a sum of losses; here the mean is minimised, so it becomes
-    1 / (C * n). Vocabulary and training vectors are written under `work_dir`: the
-    optimizer passes over them many times and must not recompute them, not even when
-    an executor is lost.
+    1 / (C * n). The training vectors are written under `work_dir`: the optimizer passes
+    over them many times and must not recompute them, not even when an executor is lost.
     """
     spark = train.sparkSession
-    weights = class_weights(train, label)
-    rows = weights.orderBy(label).collect()
+    rows = class_weights(train, label).orderBy(label).collect()
     labels = [r[label] for r in rows]
     n = sum(r["n"] for r in rows)
-    index = {r[label]: (float(i), r["weight"]) for i, r in enumerate(rows)}
-    lookup = broadcast_if_small(spark.createDataFrame(
-        [(k, i, w) for k, (i, w) in index.items()], f"{label} string, label_idx double, weight double"))
-
-    terms = term_rows(train, keys, text, n_max)
-    vocabulary(terms, n, max_features).write.mode("overwrite").parquet(f"{work_dir}/vocab")
-    vocab = spark.read.parquet(f"{work_dir}/vocab")
-    size = vocab.count()
-    arrays = tfidf_arrays(terms, vocab, keys, max_features)
-    vectors = train.select(*keys, label).join(lookup, label).join(arrays, list(keys)).select(
-        sparse_vector(F.col("weights"), size).alias("features"), "label_idx", "weight")
-    vectors.write.mode("overwrite").parquet(f"{work_dir}/vectors")
+    classes = F.broadcast(spark.createDataFrame(
+        [(r[label], float(i), r["weight"]) for i, r in enumerate(rows)],
+        f"`{label}` string, label_idx double, weight double"))
+
+    vocab = idf_rows(vocabulary(term_rows(train, (), text, n_max), n, max_features), max_features)
+    weighted = with_weights(train.select(text, label).join(classes, label), vocab, text, n_max)
+    weighted.select(sparse_vector(F.col("weights"), len(vocab)).alias("features"), "label_idx", "weight").write.mode(
+        "overwrite").parquet(f"{work_dir}/vectors")
     lr = LogisticRegression(
         featuresCol="features", labelCol="label_idx", weightCol="weight", family="multinomial",
         regParam=1.0 / (reg_c * n), elasticNetParam=0.0, standardization=False,
         maxIter=max_iter, tol=tol)
     model = lr.fit(spark.read.parquet(f"{work_dir}/vectors"))
-    return TextClassifier(vocab, labels, model, n_max, max_features)
+    return TextClassifier(vocab, labels, model, n_max)
 
 
-def evaluate_classifier(classifier: TextClassifier, test: DataFrame, keys: tuple, text: str = "sentence",
+def evaluate_classifier(classifier: TextClassifier, test: DataFrame, text: str = "sentence",
                         label: str = "label") -> tuple:
     """(per-class report, F1 summary) on labelled rows."""
-    predicted = classifier.predict(test, keys, text).select(*keys, F.col("label").alias("y_pred"))
-    pairs = test.select(*keys, F.col(label).alias("y_true")).join(predicted, list(keys))
+    pairs = classifier.predict(test.withColumnRenamed(label, "y_true"), text, "y_pred")
     return classification_report(pairs), f1_summary(pairs)

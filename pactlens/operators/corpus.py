@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pactlens.config import NONE_LABEL
 from pactlens.functions.risk import contains_any
 from pactlens.functions.text import clean, strip
-from pactlens.operators.sizing import broadcast_if_small
+from pactlens.operators.hold import hold
+from pactlens.operators.sizing import broadcast_if_small, spread
 from pactlens.taxonomy import (
     PROVISION_TO_LABEL, QUESTION_RULES, TITLE_TO_LABEL, mapping_frame)
 
@@ -22,10 +23,9 @@ MIN_ANSWER_CHARS = 20
 
 def clean_rows(df: DataFrame, *columns: str) -> DataFrame:
     """Clean the text columns and drop rows where any of them is blank."""
-    cleaned = df.withColumns({c: clean(F.col(c)) for c in columns})
-    for c in columns:
-        cleaned = cleaned.filter(F.length(c) > 0)
-    return cleaned
+    held = hold(spread(df), **{f"_clean_{c}": clean(F.col(c)) for c in columns})
+    kept = held.filter(" AND ".join(f"`_clean_{c}` != ''" for c in columns))
+    return kept.select(*[F.col(f"_clean_{c}").alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def merge_corpora(sources: list) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,14 +14,21 @@ from pactlens.functions.text import ngrams, term_counts, tokens
 from pactlens.operators.hold import hold
 
 MAX_FEATURES = 20_000
-MAX_BROADCAST_TERMS = 1_000_000
+MAX_LOCAL_TERMS = 200_000
+
+
+def with_terms(df: DataFrame, text: str = "sentence", n_max: int = 2) -> DataFrame:
+    """Add `_terms`, the 1..n_max-grams of the text.
+
+    Tokens are read many times by the n-grams, so each step is held.
+    """
+    tokenised = hold(df, _tokens=tokens(F.col(text)))
+    return hold(tokenised, _terms=ngrams(F.col("_tokens"), n_max)).drop("_tokens")
 
 
-def term_rows(df: DataFrame, keys: tuple, text: str = "sentence", n_max: int = 2) -> DataFrame:
+def term_rows(df: DataFrame, keys: tuple = (), text: str = "sentence", n_max: int = 2) -> DataFrame:
     """(keys..., term, tf): term counts of each row, counted inside the row."""
-    # Tokens and n-grams are read many times by the next step, so each is held first.
-    tokenised = hold(df.select(*keys, text), _tokens=tokens(F.col(text)))
-    grams = hold(tokenised, _terms=ngrams(F.col("_tokens"), n_max))
+    grams = with_terms(df.select(*keys, text), text, n_max)
     return grams.select(*keys, F.inline(term_counts(F.col("_terms"))))
 
 
@@ -35,33 +45,63 @@ def vocabulary(terms: DataFrame, n_rows: int, max_features: int = MAX_FEATURES)
     return top.select("term", index.alias("term_idx"), "cf", "df", idf.alias("idf"))
 
 
-def _bounded(vocab: DataFrame, max_features: int) -> DataFrame:
-    return F.broadcast(vocab) if max_features <= MAX_BROADCAST_TERMS else vocab
+def idf_rows(vocab: DataFrame, max_features: int = MAX_FEATURES) -> list:
+    """The vocabulary as (term, idf) rows in term_idx order; at most `max_features`."""
+    if max_features > MAX_LOCAL_TERMS:
+        raise ValueError(f"a local vocabulary holds at most {MAX_LOCAL_TERMS} terms")
+    return vocab.select("term_idx", "term", "idf").orderBy("term_idx").collect()
 
 
-def tfidf_arrays(terms: DataFrame, vocab: DataFrame, keys: tuple, max_features: int = MAX_FEATURES) -> DataFrame:
-    """(keys..., weights ARRAY<STRUCT<term_idx, term, weight>>), sorted and L2-normalised.
+def with_weights(df: DataFrame, vocab: list, text: str = "sentence", n_max: int = 2,
+                 name: str = "weights") -> DataFrame:
+    """Add ARRAY<STRUCT<term_idx, weight>>: the L2-normalised TF-IDF row, by term_idx.
 
-    An array holds at most `max_features` entries, whatever the length of the text.
+    The bounded vocabulary goes to every task, so each row is weighted where it is: no
+    explode, no regrouping, no shuffle. The count vector is opened through JSON, the
+    built-in way from the vector type to its arrays.
     """
-    weight = (F.lit(1.0) + F.log(F.col("tf"))) * F.col("idf")
-    weighted = terms.join(_bounded(vocab, max_features), "term").withColumn("weight", weight)
-    rows = weighted.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("term_idx", "term", "weight"))).alias("_w"))
-    norm = F.sqrt(F.aggregate("_w", F.lit(0.0), lambda acc, x: acc + x["weight"] * x["weight"]))
-    return rows.withColumn("_norm", norm).select(*keys, F.transform("_w", lambda x: F.struct(
-        x["term_idx"].alias("term_idx"), x["term"].alias("term"),
-        (x["weight"] / F.col("_norm")).alias("weight"))).alias("weights"))
+    if not vocab:
+        return df.withColumn(name, F.array().cast("array<struct<term_idx:int,weight:double>>"))
+    counter = CountVectorizerModel.from_vocabulary(
+        [r["term"] for r in vocab], inputCol="_terms", outputCol="_counts")
+    counted = counter.transform(with_terms(df, text, n_max))
+    opened = hold(counted, _v=F.from_json(F.to_json(F.struct(F.col("_counts").alias("v"))), _OPEN_VECTOR)["v"])
+    idf = F.from_json(F.lit(json.dumps([r["idf"] for r in vocab])), "array<double>")
+    raw = F.transform(F.col("_v.values"), lambda tf, i: F.struct(
+        F.get(F.col("_v.indices"), i).alias("term_idx"),
+        ((F.lit(1.0) + F.log(tf)) * F.get(idf, F.get(F.col("_v.indices"), i))).alias("weight")))
+    weighted = hold(opened, _raw=raw)
+    norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda acc, x: acc + x["weight"] * x["weight"]))
+    normed = hold(weighted, _norm=norm)
+    return normed.select(*df.columns, F.transform("_raw", lambda x: F.struct(
+        x["term_idx"].alias("term_idx"), (x["weight"] / F.col("_norm")).alias("weight"))).alias(name))
 
 
 def tfidf(df: DataFrame, keys: tuple, text: str = "sentence", n_max: int = 2,
           max_features: int = MAX_FEATURES) -> DataFrame:
-    """(keys..., term, weight) of every row and vocabulary term."""
+    """(keys..., term, weight) of every row and vocabulary term.
+
+    A vocabulary beyond the local bound is joined to the exploded terms instead.
+    """
     terms = term_rows(df, keys, text, n_max)
-    vocab = vocabulary(terms, df.count(), max_features)
-    return tfidf_arrays(terms, vocab, keys, max_features).select(*keys, F.inline("weights")).drop("term_idx")
+    vocab = vocabulary(terms.select("term", "tf"), df.count(), max_features)
+    if max_features > MAX_LOCAL_TERMS:
+        return _tfidf_by_join(terms, vocab, keys)
+    rows = idf_rows(vocab, max_features)
+    names = F.from_json(F.lit(json.dumps([r["term"] for r in rows])), "array<string>")
+    weights = with_weights(df.select(*keys, text), rows, text, n_max)
+    return weights.select(*keys, F.inline("weights")).select(
+        *keys, F.get(names, F.col("term_idx")).alias("term"), "weight")
+
+
+def _tfidf_by_join(terms: DataFrame, vocab: DataFrame, keys: tuple) -> DataFrame:
+    weight = (F.lit(1.0) + F.log("tf")) * F.col("idf")
+    weighted = terms.join(vocab, "term").select(*keys, "term", weight.alias("_w"))
+    norms = weighted.groupBy(*keys).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
+    return weighted.join(norms, list(keys)).select(*keys, "term", (F.col("_w") / F.col("_norm")).alias("weight"))
 
 
+_OPEN_VECTOR = "v struct<type:int,size:int,indices:array<int>,values:array<double>>"
 _VECTOR_HOLDER = T.StructType([T.StructField("v", VectorUDT())])
 
 

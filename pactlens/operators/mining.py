@@ -12,6 +12,7 @@ from pactlens.operators.corpus import question_category
 from pactlens.operators.hold import hold
 from pactlens.operators.sampling import sample_negatives
 from pactlens.operators.sizing import spread
+from pactlens.sources.scratch import store
 from pactlens.taxonomy import NONE_COLUMNS, POSITIVE_COLUMNS, mapping_frame
 
 # Answers that mean "no answer".
@@ -106,7 +107,11 @@ def _answers_type(paragraphs: DataFrame):
 
 def prepared_corpus(positives: DataFrame, negatives: DataFrame, none_ratio: float = 1.0,
                     seed: int = 42, **how) -> DataFrame:
-    """Positives and int(n_pos * ratio) sampled negatives labelled "None"."""
+    """Positives and int(n_pos * ratio) sampled negatives labelled "None".
+
+    Both sides are written once: the positives are counted first, the negatives ranked.
+    """
+    positives, negatives = store(positives, "positives"), store(negatives, "negatives")
     sampled = sample_negatives(negatives, positives.count(), none_ratio, ("sentence",), seed, **how)
     return positives.select("sentence", "label").unionByName(
         sampled.select("sentence", F.lit(NONE_LABEL).alias("label")))

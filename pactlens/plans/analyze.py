@@ -20,10 +20,10 @@ def score_sentences(sents: DataFrame, config: CascadeConfig, tier1: DataFrame |
     """Sentence rows to risk rows, with optional score tables for the two model tiers."""
     staged, names = sents, {"tier1": None, "tier2": None}
     if tier1 is not None and config.uses_transformer:
-        staged, names["tier1"] = attach_scores(staged, tier1, "tier1_scores"), "tier1_scores"
+        staged, names["tier1"] = attach_scores(staged, tier1, "tier1"), "tier1"
     if tier2 is not None and config.uses_ml:
-        staged, names["tier2"] = attach_scores(staged, tier2, "tier2_scores"), "tier2_scores"
-    return cascade(staged, config, **names).drop("tier1_scores", "tier2_scores")
+        staged, names["tier2"] = attach_scores(staged, tier2, "tier2"), "tier2"
+    return cascade(staged, config, **names).drop("tier1", "tier2")
 
 
 def analyze_risks(sents: DataFrame, config: CascadeConfig, tier1: DataFrame | None = None,

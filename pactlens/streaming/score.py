@@ -11,8 +11,14 @@ from pactlens.operators.cascade import cascade
 from pactlens.operators.report import keyword_report
 
 
-def stream_report(docs: DataFrame, config: CascadeConfig, text: str = "text") -> DataFrame:
-    """Nested report per arriving document: row-local, so no state and no shuffle."""
+def stream_report(docs: DataFrame, config: CascadeConfig, text: str = "text",
+                  partitions: int | None = None) -> DataFrame:
+    """Nested report per arriving document: row-local, without any state.
+
+    `partitions` spreads each micro-batch first, for sources that deliver few large files.
+    """
+    if partitions:
+        docs = docs.repartition(partitions)
     return keyword_report(docs, config, sentences(F.col(text)))
 
 

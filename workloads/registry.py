@@ -16,7 +16,7 @@ from pactlens.plans import analyze, build_corpus
 from pactlens.sources import clauses as clause_sources
 from pactlens.sources import documents as document_sources
 from pactlens.sources import labeled
-from pactlens.sources.scratch import scratch_dir
+from pactlens.sources.scratch import scratch_dir, store
 from pactlens.streaming import score as streaming
 from workloads import derive
 
@@ -61,9 +61,8 @@ def segment_sentences(spark, sf):
 @query
 def clean_text(spark, sf):
     docs = derive.table(spark, sf, "documents").select("doc_id", derive.messy(F.col("text")).alias("text"))
-    out = docs.select("doc_id", text.clean(F.col("text")).alias("cleaned"),
-                      text.clean_clause(F.col("text")).alias("clause"))
-    return out.filter(F.length("cleaned") > 0)
+    both = docs.withColumn("clause", text.clean_clause(F.col("text")))
+    return corpus.clean_rows(both, "text").withColumnRenamed("text", "cleaned")
 
 
 @query
@@ -239,7 +238,7 @@ def scorer_plugin(spark, sf):
     config = AUTO
     first = cascade.with_scores(derive.clauses(spark, sf).select(*KEYS, "sentence"), _demo_scorer, "s1")
     settled = first.withColumn("open", cascade.tier1_decision(
-        F.col("s1"), F.col("sentence"), config)["label"].isNull())
+        calibration.top1(F.col("s1")), F.col("sentence"), config)["label"].isNull())
     second = cascade.with_scores(settled, _demo_scorer, "s2", where="open")
     scored = cascade.cascade(second, config, tier1="s1", tier2="s2")
     return scored.select(*KEYS, "risk_type", "severity", "severity_score", "confidence", "detector")
@@ -551,7 +550,7 @@ def class_weights(spark, sf):
 @query
 def tfidf_vocab(spark, sf):
     rows = derive.clauses(spark, sf)
-    vocab = features.vocabulary(features.term_rows(rows, KEYS), rows.count())
+    vocab = features.vocabulary(features.term_rows(rows), rows.count())
     return vocab.select("term", F.col("term_idx").cast("bigint").alias("term_idx"), "cf", "df",
                         F.bround("idf", 6).alias("idf"))
 
@@ -566,11 +565,11 @@ def tfidf(spark, sf):
 
 
 def _trained(spark, sf):
-    rows = sampling.stratified_split(_merged(spark, sf), 0.25, ROW).select(*ROW, "sentence", "label", "is_test")
     path = scratch_dir(spark, "train")
-    rows.write.parquet(f"{path}/rows")
-    stored = spark.read.parquet(f"{path}/rows")
-    model = classify.fit_classifier(stored.filter("NOT is_test"), ROW, path, max_iter=100)
+    rows = store(_merged(spark, sf), "rows")
+    split = sampling.stratified_split(rows, 0.25, ROW).select(*ROW, "sentence", "label", "is_test")
+    stored = store(split, "split")
+    model = classify.fit_classifier(stored.filter("NOT is_test"), path, max_iter=100)
     return model, stored.filter("is_test"), path
 
 
@@ -580,14 +579,14 @@ def train_ml(spark, sf):
     model, test, path = _trained(spark, sf)
     model.save(f"{path}/model", {"model_type": "tfidf_logreg"})
     loaded = classify.TextClassifier.load(spark, f"{path}/model")
-    per_class, _ = classify.evaluate_classifier(loaded, test, ROW)
+    per_class, _ = classify.evaluate_classifier(loaded, test)
     return per_class
 
 
 @query
 def ml_predict(spark, sf):
     model, test, _ = _trained(spark, sf)
-    return model.predict(test, ROW).select(*ROW, "label", F.bround("confidence", 6).alias("confidence"))
+    return model.predict(test).select(*ROW, "label", F.bround("confidence", 6).alias("confidence"))
 
 
 # --- streaming ---------------------------------------------------------------------------------------------
@@ -600,7 +599,8 @@ def stream_score(spark, sf):
     docs = (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
             .select("doc_id", derive.clause_text(F.col("doc_id"), F.col("text")).alias("text")))
     path = scratch_dir(spark, "stream")
-    nested = streaming.run_to_table(streaming.stream_report(docs, KEYWORD), f"{path}/out", f"{path}/state")
+    reports = streaming.stream_report(docs, KEYWORD, partitions=spark.sparkContext.defaultParallelism)
+    nested = streaming.run_to_table(reports, f"{path}/out", f"{path}/state")
     return _flat_report(nested)
 
 
