@@ -79,7 +79,7 @@ def term_counts(terms: Column) -> Column:
     Sorting puts equal terms side by side, so a run's length is the distance to
     the next run start: no explode and no shuffle.
     """
-    runs = F.transform(F.array(F.array_sort(terms)), lambda a: F.struct(
+    runs = F.transform(F.array(F.sort_array(terms)), lambda a: F.struct(
         a.alias("a"),
         F.filter(
             F.transform(a, lambda t, i: F.when((i == 0) | (t != F.get(a, i - 1)), i)),

@@ -167,7 +167,7 @@ def assemble_report(docs: DataFrame, totals: DataFrame, records: DataFrame, conf
     gathering them per document is bounded by the input's own row size.
     """
     record = [c for c in records.columns if c not in (*keys, "sent_idx")]
-    gathered = records.groupBy(*keys).agg(F.array_sort(F.collect_list(
+    gathered = records.groupBy(*keys).agg(F.sort_array(F.collect_list(
         F.struct("sent_idx", F.struct(*record).alias("r")))).alias("_rows"))
     joined = docs.select(*keys).join(totals, list(keys), "left").join(gathered, list(keys), "left")
     empty = F.array().cast(gathered.schema["_rows"].dataType)

@@ -48,6 +48,6 @@ def concat_pages(pages: DataFrame, doc: str = "doc_id", page: str = "page_no", t
     longs = sizes.filter(F.col("_chars") > max_chars).select(doc, F.lit(True).alias("_long"))
     part = F.when(F.col("_long"), F.floor(F.col(page) / pages_per_part)).otherwise(F.lit(0).cast("bigint"))
     marked = pages.join(broadcast_if_small(longs), doc, "left")
-    joined = marked.groupBy(doc, part.alias("part_no")).agg(F.array_sort(F.collect_list(F.struct(
+    joined = marked.groupBy(doc, part.alias("part_no")).agg(F.sort_array(F.collect_list(F.struct(
         F.col(page).alias("p"), F.coalesce(text, F.lit("")).alias("t")))).alias("_ps"))
     return joined.select(doc, "part_no", F.array_join(F.transform("_ps", lambda x: x["t"]), "").alias("text"))
