@@ -25,12 +25,13 @@ KEYS = ("doc_id", "sent_idx")
 def attach_scores(sentences: DataFrame, scores: DataFrame, name: str, keys: tuple = KEYS) -> DataFrame:
     """Left join a tier's top-1 as STRUCT<label, confidence>; a missing row means the tier failed.
 
-    The score arrays shrink to their top entry before they move. The key is unique per
-    sentence, so no key is hot, and attaching a second score table on the same key
-    reuses the first join's partitioning.
+    The score arrays shrink to their top entry before they move. A score table has as
+    many rows as there are sentences, so it is never broadcast, however small its files
+    look. The key is unique per sentence, so no key is hot, and attaching a second score
+    table on the same key reuses the first join's partitioning.
     """
     best = scores.select(*keys, top1(F.col("scores")).alias(name))
-    return sentences.join(best, list(keys), "left")
+    return sentences.join(best.hint("merge"), list(keys), "left")
 
 
 def with_scores(
@@ -70,17 +71,16 @@ def with_scores(
     return df.mapInArrow(run, schema)
 
 
-def _top(top: Column, sentence: Column) -> Column:
-    """A blank sentence is benign without asking the model."""
+def tier_top(scores: Column, sentence: Column, is_array: bool = False) -> Column:
+    """A tier's top-1 for a sentence; a blank sentence is benign without asking the model."""
     return F.when(
         F.length(strip(sentence)) == 0,
         F.struct(F.lit(NONE_LABEL).alias("label"), F.lit(0.0).alias("confidence")),
-    ).otherwise(top)
+    ).otherwise(top1(scores) if is_array else scores)
 
 
-def tier1_decision(top: Column, sentence: Column, config: CascadeConfig) -> Column:
+def tier1_decision(top: Column, config: CascadeConfig) -> Column:
     """STRUCT<label, confidence> of the transformer tier from its top-1; a NULL label abstains."""
-    top = _top(top, sentence)
     calibrated = calibrate(top["confidence"], config.temperature)
     benign = top["label"] == NONE_LABEL
     accepted = ~benign
@@ -90,13 +90,12 @@ def tier1_decision(top: Column, sentence: Column, config: CascadeConfig) -> Colu
     return F.struct(F.when(accepted, top["label"]).alias("label"), confidence.alias("confidence"))
 
 
-def tier2_decision(top: Column, sentence: Column, config: CascadeConfig) -> Column:
+def tier2_decision(top: Column, config: CascadeConfig) -> Column:
     """STRUCT<label, confidence> of the classifier tier from its top-1.
 
     A confidence of exactly 0.0 passes the threshold, and a missing score row gives
     (NULL, 0.0).
     """
-    top = _top(top, sentence)
     accepted = top["label"] != NONE_LABEL
     if config.enforce_thresholds:
         low = (top["confidence"] != 0.0) & (top["confidence"] < F.lit(config.ml_threshold))
@@ -105,13 +104,11 @@ def tier2_decision(top: Column, sentence: Column, config: CascadeConfig) -> Colu
                     F.coalesce(top["confidence"], F.lit(0.0)).alias("confidence"))
 
 
-def _tier_top(df: DataFrame, column: str | None) -> Column:
-    """A tier's top-1 from its column: a score array, a top-1 struct, or no table at all."""
+def _column_top(df: DataFrame, column: str | None, sentence: Column) -> Column:
+    """Top-1 from a score array, a top-1 struct, or no scores at all."""
     if column is None:
-        return F.lit(None).cast("struct<label:string,confidence:double>")
-    if isinstance(df.schema[column].dataType, T.ArrayType):
-        return top1(F.col(column))
-    return F.col(column)
+        return tier_top(F.lit(None).cast("struct<label:string,confidence:double>"), sentence)
+    return tier_top(F.col(column), sentence, isinstance(df.schema[column].dataType, T.ArrayType))
 
 
 def decide(
@@ -129,15 +126,15 @@ def decide(
     means the tier has no scores, so in its modes it fails on every row.
     """
     s = F.col(sentence)
-    tops = {"_top1": _tier_top(df, tier1)} if config.uses_transformer else {}
+    tops = {"_top1": _column_top(df, tier1, s)} if config.uses_transformer else {}
     if config.uses_ml:
-        tops["_top2"] = _tier_top(df, tier2)
+        tops["_top2"] = _column_top(df, tier2, s)
     topped = hold(df, **tops) if tops else df
     staged = {"_lower": F.lower(s)}
     if config.uses_transformer:
-        staged["_t1"] = tier1_decision(F.col("_top1"), s, config)
+        staged["_t1"] = tier1_decision(F.col("_top1"), config)
     if config.uses_ml:
-        staged["_t2"] = tier2_decision(F.col("_top2"), s, config)
+        staged["_t2"] = tier2_decision(F.col("_top2"), config)
     held = hold(topped, **staged).drop(*tops)
 
     first = F.col("_t1.label") if config.uses_transformer else F.lit(None).cast("string")

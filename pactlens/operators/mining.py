@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pactlens.config import NONE_LABEL, Lexicon
 from pactlens.functions.risk import keyword_risk
-from pactlens.functions.text import clean, clean_clause, sentences, strip
+from pactlens.functions.text import WHITESPACE, clean, clean_clause, sentences, strip
 from pactlens.operators.corpus import question_category
 from pactlens.operators.hold import hold
 from pactlens.operators.sampling import sample_negatives
@@ -87,13 +87,15 @@ def qa_negatives(paragraphs: DataFrame) -> DataFrame:
     """Distinct context sentences that contain no answer of their own paragraph.
 
     Context and answers sit in the same row, so the exclusion is an array test there:
-    no join, no shuffle and no pairs; only the final distinct moves data.
+    no join, no shuffle and no pairs; only the final distinct moves data. An answer with
+    a sentence break inside cannot be part of one sentence and is left out of the test.
     """
     mapped = F.filter("qas", lambda qa: question_category(qa["question"]).isNotNull())
     texts = F.flatten(F.transform(mapped, lambda qa: F.transform(
         F.coalesce(qa["answers"], F.array().cast(_answers_type(paragraphs))), lambda a: strip(a["text"]))))
     held = hold(paragraphs, _sents=sentences(F.col("context")),
-                _snippets=F.array_distinct(F.filter(texts, _usable)))
+                _snippets=F.array_distinct(F.filter(
+                    texts, lambda t: _usable(t) & ~F.rlike(t, F.lit(rf"[.!?]{WHITESPACE}")))))
     free = F.filter("_sents", lambda s: ~F.exists("_snippets", lambda p: F.contains(s, p)))
     return held.select(F.explode(free).alias("sentence")).distinct()
 

@@ -18,16 +18,19 @@ def ingest_files(spark: SparkSession, path: str, max_bytes: int = MAX_UPLOAD_BYT
 
     Text is decoded as UTF-8 without undecodable bytes. Refused files keep their row
     with an error and no text. A .pdf arrives as page rows elsewhere (`concat_pages`),
-    so its text is NULL here.
+    so its text is NULL here. Contents are only read for accepted text files: the size
+    test is pushed to the source, and the listing of all others reads no content.
     """
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-             .select("path", "length", "content"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    listed = files.load(path).select("path", "length")
     ext = extension(F.element_at(F.split("path", "/"), -1))
     error = (F.when(~F.coalesce(ext.isin(*ALLOWED_EXTENSIONS), F.lit(False)), F.lit(ERR_FILE_TYPE))
              .when(F.col("length") > max_bytes, F.lit(ERR_TOO_LARGE)))
+    others = listed.withColumn("error", error).filter((F.coalesce(ext, F.lit("")) != "txt") | F.col("error").isNotNull())
     decoded = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
-    return files.select("path", "length", F.when(error.isNull() & (ext == "txt"), decoded).alias("text"),
-                        error.alias("error"))
+    accepted = files.option("pathGlobFilter", "*.[tT][xX][tT]").load(path).filter(F.col("length") <= max_bytes)
+    return accepted.select("path", "length", decoded.alias("text"), F.lit(None).cast("string").alias("error")).unionByName(
+        others.select("path", "length", F.lit(None).cast("string").alias("text"), "error"))
 
 
 def validate_inputs(inputs: DataFrame, file_name: str = "file_name", text: str = "text") -> DataFrame:

@@ -11,23 +11,27 @@ from pactlens.operators.corpus import clean_rows
 MIN_ROWS = 20
 
 
-def _read_csv(spark: SparkSession, path) -> DataFrame:
-    """Quoted header CSV, all columns text. `seq` is the position inside the input."""
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
+def _read_csv(spark: SparkSession, path, multi_line: bool) -> DataFrame:
+    """Quoted header CSV, all columns text. `seq` is the position inside the input.
+
+    Files without line breaks inside fields can be read with multi_line=False, which
+    splits one large file over many tasks.
+    """
+    raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', inferSchema=False)
     return raw.withColumn("seq", F.monotonically_increasing_id())
 
 
-def read_labeled(spark: SparkSession, path) -> DataFrame:
+def read_labeled(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
     """(sentence, label[, source], seq), cleaned; both header columns are required."""
-    raw = _read_csv(spark, path)
+    raw = _read_csv(spark, path, multi_line)
     if "sentence" not in raw.columns or "label" not in raw.columns:
         raise ValueError(f"{path}: expected columns 'sentence' and 'label'")
     return clean_rows(raw, "sentence", "label")
 
 
-def load_training_data(spark: SparkSession, path, min_rows: int = MIN_ROWS) -> DataFrame:
+def load_training_data(spark: SparkSession, path, min_rows: int = MIN_ROWS, multi_line: bool = True) -> DataFrame:
     """(sentence, label, seq), stripped, blank rows dropped; refuses a tiny corpus."""
-    raw = _read_csv(spark, path)
+    raw = _read_csv(spark, path, multi_line)
     cols = {c: strip(F.col(c)) if c in raw.columns else F.lit("") for c in ("sentence", "label")}
     rows = raw.withColumns(cols).filter("sentence != '' AND label != ''").select("sentence", "label", "seq")
     if rows.limit(min_rows).count() < min_rows:

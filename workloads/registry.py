@@ -188,7 +188,8 @@ def top1_label(spark, sf):
 def tier1_decision(spark, sf):
     rows = derive.clauses(spark, sf)
     joined = cascade.attach_scores(rows, derive.tier1_scores(derive.clauses(spark, sf)), "s1")
-    out = joined.withColumn("t", cascade.tier1_decision(F.col("s1"), F.col("sentence"), AUTO))
+    topped = hold(joined, top=cascade.tier_top(F.col("s1"), F.col("sentence")))
+    out = hold(topped, t=cascade.tier1_decision(F.col("top"), AUTO))
     return out.select(*KEYS, "t.label", "t.confidence")
 
 
@@ -196,7 +197,8 @@ def tier1_decision(spark, sf):
 def tier2_decision(spark, sf):
     rows = derive.clauses(spark, sf)
     joined = cascade.attach_scores(rows, derive.tier2_scores(derive.clauses(spark, sf)), "s2")
-    out = joined.withColumn("t", cascade.tier2_decision(F.col("s2"), F.col("sentence"), AUTO))
+    topped = hold(joined, top=cascade.tier_top(F.col("s2"), F.col("sentence")))
+    out = hold(topped, t=cascade.tier2_decision(F.col("top"), AUTO))
     return out.select(*KEYS, "t.label", "t.confidence")
 
 
@@ -237,8 +239,8 @@ def scorer_plugin(spark, sf):
     """Tier 1 scored by a batch function, tier 2 only where tier 1 abstained."""
     config = AUTO
     first = cascade.with_scores(derive.clauses(spark, sf).select(*KEYS, "sentence"), _demo_scorer, "s1")
-    settled = first.withColumn("open", cascade.tier1_decision(
-        calibration.top1(F.col("s1")), F.col("sentence"), config)["label"].isNull())
+    topped = hold(first, top=cascade.tier_top(F.col("s1"), F.col("sentence"), is_array=True))
+    settled = topped.withColumn("open", cascade.tier1_decision(F.col("top"), config)["label"].isNull())
     second = cascade.with_scores(settled, _demo_scorer, "s2", where="open")
     scored = cascade.cascade(second, config, tier1="s1", tier2="s2")
     return scored.select(*KEYS, "risk_type", "severity", "severity_score", "confidence", "detector")
