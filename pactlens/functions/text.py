@@ -6,14 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The characters Python's str.strip()/split() treat as whitespace.
-WHITESPACE = (r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-              r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+WHITESPACE = r"(?U:[\s\x1c-\x1f])"
 WHITESPACE_CHARS = "".join(map(chr, (
     *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
     0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 # The characters Python's \w matches.
 WORD = r"[\p{L}\p{N}_]"
 
+# A whitespace run that is not already one plain space.
+UNTIDY_SPACE = rf"{WHITESPACE}{{2,}}|(?! ){WHITESPACE}"
 SENTENCE_BREAK = rf"(?<=[.!?]){WHITESPACE}+"
 OMITTED = "<omitted>"
 
@@ -25,7 +26,7 @@ def strip(text: Column) -> Column:
 
 def clean(text: Column) -> Column:
     """Strip, then collapse inner whitespace runs to one space."""
-    return F.regexp_replace(strip(text), rf"{WHITESPACE}+", " ")
+    return F.regexp_replace(strip(text), UNTIDY_SPACE, " ")
 
 
 def clean_clause(text: Column) -> Column:
@@ -65,11 +66,9 @@ def ngrams(token_array: Column, n_max: int = 2) -> Column:
     """All 1..n_max-grams of a token array, unigrams first."""
     parts = [token_array]
     for n in range(2, n_max + 1):
-        starts = F.when(
-            F.size(token_array) >= n,
-            F.sequence(F.lit(1), F.size(token_array) - F.lit(n - 1)),
-        ).otherwise(F.array().cast("array<int>"))
-        parts.append(F.transform(starts, lambda i: F.array_join(F.slice(token_array, i, n), " ")))
+        count = F.greatest(F.size(token_array) - F.lit(n - 1), F.lit(0))
+        parts.append(F.zip_with(F.slice(parts[-1], 1, count), F.slice(token_array, n, count),
+                                lambda head, last: F.concat_ws(" ", head, last)))
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 

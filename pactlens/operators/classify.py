@@ -15,7 +15,7 @@ from pactlens.functions.calibration import top1
 from pactlens.functions.text import strip
 from pactlens.operators.evaluate import class_weights, classification_report, f1_summary
 from pactlens.operators.features import (
-    MAX_FEATURES, idf_rows, sparse_vector, term_rows, vocabulary, with_weights)
+    MAX_FEATURES, idf_rows, sparse_vector, vocabulary, with_weights)
 from pactlens.operators.hold import hold
 
 VOCAB_SCHEMA = "term_idx int, term string, idf double"
@@ -96,7 +96,7 @@ def fit_classifier(
         [(r[label], float(i), r["weight"]) for i, r in enumerate(rows)],
         f"`{label}` string, label_idx double, weight double"))
 
-    vocab = idf_rows(vocabulary(term_rows(train, (), text, n_max), n, max_features), max_features)
+    vocab = idf_rows(vocabulary(train, n, text, n_max, max_features), max_features)
     weighted = with_weights(train.select(text, label).join(classes, label), vocab, text, n_max)
     weighted.select(sparse_vector(F.col("weights"), len(vocab)).alias("features"), "label_idx", "weight").write.mode(
         "overwrite").parquet(f"{work_dir}/vectors")

@@ -32,13 +32,19 @@ def term_rows(df: DataFrame, keys: tuple = (), text: str = "sentence", n_max: in
     return grams.select(*keys, F.inline(term_counts(F.col("_terms"))))
 
 
-def vocabulary(terms: DataFrame, n_rows: int, max_features: int = MAX_FEATURES) -> DataFrame:
+def vocabulary(df: DataFrame, n_rows: int, text: str = "sentence", n_max: int = 2,
+               max_features: int = MAX_FEATURES) -> DataFrame:
     """(term, term_idx, cf, df, idf): the most frequent terms of the corpus.
 
-    Counts combine map-side, so a frequent term sends one row per task. The final
-    numbering sees at most `max_features` rows.
+    Each row gives all its terms and then its distinct ones, so one aggregation yields
+    both the corpus and the document frequency. Counts combine map-side: a frequent term
+    sends one row per task. The final numbering sees at most `max_features` rows.
     """
-    counts = terms.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
+    grams = with_terms(df.select(text), text, n_max)
+    listed = grams.select(F.size("_terms").alias("_n"), F.posexplode(
+        F.concat("_terms", F.array_distinct("_terms"))).alias("_pos", "term"))
+    counts = listed.groupBy("term").agg(
+        F.count_if(F.col("_pos") < F.col("_n")).alias("cf"), F.count_if(F.col("_pos") >= F.col("_n")).alias("df"))
     top = counts.orderBy(F.desc("cf"), "term").limit(max_features)
     idf = F.log(F.lit(1.0 + n_rows) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     index = F.row_number().over(Window.orderBy("term")) - 1
@@ -83,10 +89,9 @@ def tfidf(df: DataFrame, keys: tuple, text: str = "sentence", n_max: int = 2,
 
     A vocabulary beyond the local bound is joined to the exploded terms instead.
     """
-    terms = term_rows(df, keys, text, n_max)
-    vocab = vocabulary(terms.select("term", "tf"), df.count(), max_features)
+    vocab = vocabulary(df, df.count(), text, n_max, max_features)
     if max_features > MAX_LOCAL_TERMS:
-        return _tfidf_by_join(terms, vocab, keys)
+        return _tfidf_by_join(term_rows(df, keys, text, n_max), vocab, keys)
     rows = idf_rows(vocab, max_features)
     names = F.from_json(F.lit(json.dumps([r["term"] for r in rows])), "array<string>")
     weights = with_weights(df.select(*keys, text), rows, text, n_max)

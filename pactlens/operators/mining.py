@@ -42,16 +42,22 @@ def _clause_sentences(cells: DataFrame) -> DataFrame:
     return cells.select("label", F.explode(pieces).alias("sentence"))
 
 
+def wide_candidates(cells: DataFrame, lexicon: Lexicon = Lexicon()) -> DataFrame:
+    """Distinct (sentence, label) of the class columns, and of the benign columns where no
+    risk keyword occurs; one pass over the cells."""
+    rows = hold(_clause_sentences(cells), _lower=F.lower("sentence"))
+    kept = (F.col("label") != NONE_LABEL) | keyword_risk(F.col("_lower"), lexicon).isNull()
+    return rows.filter(kept).select("sentence", "label").distinct()
+
+
 def wide_positives(cells: DataFrame) -> DataFrame:
     """Distinct (sentence, label) of the class columns."""
-    return _clause_sentences(cells.filter(F.col("label") != NONE_LABEL)).select("sentence", "label").distinct()
+    return wide_candidates(cells.filter(F.col("label") != NONE_LABEL))
 
 
 def wide_negatives(cells: DataFrame, lexicon: Lexicon = Lexicon()) -> DataFrame:
     """Distinct sentences of the benign columns without any risk keyword."""
-    rows = hold(_clause_sentences(cells.filter(F.col("label") == NONE_LABEL)),
-                _lower=F.lower("sentence"))
-    return rows.filter(keyword_risk(F.col("_lower"), lexicon).isNull()).select("sentence").distinct()
+    return wide_candidates(cells.filter(F.col("label") == NONE_LABEL), lexicon).select("sentence")
 
 
 # --- nested QA corpora --------------------------------------------------------------------
@@ -107,13 +113,18 @@ def _answers_type(paragraphs: DataFrame):
 # --- prepared corpora ---------------------------------------------------------------------
 
 
-def prepared_corpus(positives: DataFrame, negatives: DataFrame, none_ratio: float = 1.0,
-                    seed: int = 42, **how) -> DataFrame:
-    """Positives and int(n_pos * ratio) sampled negatives labelled "None".
+def qa_candidates(paragraphs: DataFrame) -> DataFrame:
+    """Distinct (sentence, label) of answers and free context sentences."""
+    return qa_positives(qa_answers(paragraphs)).unionByName(
+        qa_negatives(paragraphs).select("sentence", F.lit(NONE_LABEL).alias("label")))
+
+
+def prepared_corpus(candidates: DataFrame, none_ratio: float = 1.0, seed: int = 42, **how) -> DataFrame:
+    """Labelled candidates with int(n_pos * ratio) of their benign sentences.
 
-    Both sides are written once: the positives are counted first, the negatives ranked.
+    The candidates are written once: positives are counted and the benign ones ranked.
     """
-    positives, negatives = store(positives, "positives"), store(negatives, "negatives")
-    sampled = sample_negatives(negatives, positives.count(), none_ratio, ("sentence",), seed, **how)
-    return positives.select("sentence", "label").unionByName(
-        sampled.select("sentence", F.lit(NONE_LABEL).alias("label")))
+    rows = store(candidates, "candidates")
+    positives, benign = rows.filter(F.col("label") != NONE_LABEL), rows.filter(F.col("label") == NONE_LABEL)
+    return positives.unionByName(
+        sample_negatives(benign, positives.count(), none_ratio, ("sentence",), seed, **how))

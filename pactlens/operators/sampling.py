@@ -22,7 +22,7 @@ PREFIX_DIGITS = 3
 MAX_EDGE_ROWS = 1_000_000
 HASH_DIGITS = 32
 
-Quota = int | Callable[[Column, Column], Column]
+Quota = int | Callable[[Column], Column]
 
 
 def order_hash(keys: tuple, seed: int) -> Column:
@@ -35,6 +35,7 @@ def ranked_take(
     quota: Quota,
     groups: tuple = (),
     seed: int = 42,
+    smallest: bool = False,
     method: str = "auto",
     prefix_digits: int = PREFIX_DIGITS,
     max_edge_rows: int = MAX_EDGE_ROWS,
@@ -42,25 +43,25 @@ def ranked_take(
     """Add `taken`: whether the row is among its group's first `quota` rows in hash order.
 
     `keys` must identify a row, so that copies of one text spread over the hash range.
-    `quota` is a number or a function of (group size, smallest group size).
+    `quota` is a number or a function of the group size; with `smallest`, of the size of
+    the smallest group.
     """
     if method == "auto":
         size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         method = "window" if size <= SMALL_BYTES else "threshold"
     hashed = df.withColumn("_h", order_hash(keys, seed))
     if method == "window":
-        flagged = _by_window(hashed, keys, quota, groups)
+        flagged = _by_window(hashed, keys, quota, groups, smallest)
     else:
-        flagged = _by_threshold(hashed, keys, quota, groups, prefix_digits, max_edge_rows)
+        flagged = _by_threshold(hashed, keys, quota, groups, smallest, prefix_digits, max_edge_rows)
     return flagged.select(*df.columns, "taken")
 
 
-def _quota_table(counts: DataFrame, quota: Quota, groups: tuple) -> DataFrame:
+def _quota_table(counts: DataFrame, quota: Quota, groups: tuple, smallest: bool) -> DataFrame:
     """(groups..., total, q) from (groups..., n) counts; one row per group."""
     totals = counts.groupBy(*groups).agg(F.sum("n").alias("total"))
     if callable(quota):
-        smallest = F.min("total").over(Window.partitionBy())
-        q = quota(F.col("total"), smallest)
+        q = quota(F.min("total").over(Window.partitionBy()) if smallest else F.col("total"))
     else:
         q = F.lit(int(quota))
     return totals.withColumn("q", q.cast("bigint"))
@@ -79,11 +80,14 @@ def _match(left: DataFrame, right: DataFrame, groups: tuple) -> DataFrame:
     return left.join(renamed, on, "inner").drop(*[f"_g_{g}" for g in groups])
 
 
-def _by_window(hashed: DataFrame, keys: tuple, quota: Quota, groups: tuple) -> DataFrame:
+def _by_window(hashed: DataFrame, keys: tuple, quota: Quota, groups: tuple, smallest: bool) -> DataFrame:
     rn = F.row_number().over(Window.partitionBy(*groups).orderBy("_h", *keys))
     if not callable(quota):
         return hashed.withColumn("taken", rn <= F.lit(int(quota)))
-    quotas = _quota_table(hashed.groupBy(*groups).agg(F.count("*").alias("n")), quota, groups)
+    if not smallest:
+        size = F.count("*").over(Window.partitionBy(*groups))
+        return hashed.withColumn("taken", rn <= quota(size))
+    quotas = _quota_table(hashed.groupBy(*groups).agg(F.count("*").alias("n")), quota, groups, smallest)
     return _match(hashed, broadcast_if_small(quotas), groups).withColumn("taken", rn <= F.col("q"))
 
 
@@ -102,11 +106,11 @@ def _edges(rows: DataFrame, quotas: DataFrame, groups: tuple, digits: int) -> Da
             .select(*groups, "q", "edge", "before", "n"))
 
 
-def _by_threshold(hashed: DataFrame, keys: tuple, quota: Quota, groups: tuple,
+def _by_threshold(hashed: DataFrame, keys: tuple, quota: Quota, groups: tuple, smallest: bool,
                   step: int, max_edge_rows: int) -> DataFrame:
     spark = hashed.sparkSession
     counts = hashed.groupBy(*groups).agg(F.count("*").alias("n"))
-    quotas = _quota_table(counts, quota, groups)
+    quotas = _quota_table(counts, quota, groups, smallest)
     rows = quotas.limit(BROADCAST_ROWS + 1).collect()
     if len(rows) > BROADCAST_ROWS:
         # Very many groups: sizes stay distributed and each group is ranked on its own.
@@ -164,7 +168,7 @@ def balance(df: DataFrame, mode: str, keys: tuple, label: str = "label", seed: i
     if mode == "none":
         return df
     if mode == "downsample_max":
-        return _taken(ranked_take(df, keys, lambda n, n_min: n_min, (label,), seed, **how))
+        return _taken(ranked_take(df, keys, lambda n: n, (label,), seed, smallest=True, **how))
     if mode.startswith("downsample_to="):
         return balance_cap(df, int(mode.split("=", 1)[1]), keys, label, seed, **how)
     raise ValueError("balance must be one of: none, downsample_max, downsample_to=N")
@@ -184,7 +188,7 @@ def sample_negatives(negatives: DataFrame, n_positive: int, ratio: float, keys:
 def stratified_split(df: DataFrame, test_fraction: float, keys: tuple, label: str = "label",
                      seed: int = 42, **how) -> DataFrame:
     """Add `is_test`: floor(n_c * fraction + 0.5) rows of each class."""
-    def quota(n, n_min):
+    def quota(n):
         return F.floor(n * F.lit(float(test_fraction)) + F.lit(0.5))
 
     return ranked_take(df, keys, quota, (label,), seed, **how).withColumnRenamed("taken", "is_test")
@@ -192,7 +196,7 @@ def stratified_split(df: DataFrame, test_fraction: float, keys: tuple, label: st
 
 def random_split(df: DataFrame, train_fraction: float, keys: tuple, seed: int = 42, **how) -> DataFrame:
     """Add `is_train`: the first floor(n * fraction) rows of the seeded order."""
-    def quota(n, n_min):
+    def quota(n):
         return F.floor(n * F.lit(float(train_fraction)))
 
     return ranked_take(df, keys, quota, (), seed, **how).withColumnRenamed("taken", "is_train")

@@ -13,16 +13,12 @@ from pactlens.sources.scratch import store
 
 def corpus_from_wide(wide: DataFrame, keys: tuple, none_ratio: float = 1.0, seed: int = 42) -> DataFrame:
     """(sentence, label) from a wide clause table."""
-    cells = mining.wide_clauses(wide, keys)
-    return mining.prepared_corpus(
-        mining.wide_positives(cells), mining.wide_negatives(cells), none_ratio, seed)
+    return mining.prepared_corpus(mining.wide_candidates(mining.wide_clauses(wide, keys)), none_ratio, seed)
 
 
 def corpus_from_qa(files: DataFrame, none_ratio: float = 1.0, seed: int = 42) -> DataFrame:
     """(sentence, label) from nested QA files."""
-    paragraphs = mining.qa_paragraphs(files)
-    return mining.prepared_corpus(
-        mining.qa_positives(mining.qa_answers(paragraphs)), mining.qa_negatives(paragraphs), none_ratio, seed)
+    return mining.prepared_corpus(mining.qa_candidates(mining.qa_paragraphs(files)), none_ratio, seed)
 
 
 def merged_training_corpus(sources: list, conflicts: str = "prefer_non_none", dedupe: bool = False,

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pactlens import config, taxonomy
 from pactlens.functions import risk, validation
-from pactlens.functions.text import WHITESPACE as WS
 from workloads import derive
 from workloads.registry import PROSE_LEXICON
 
 BASE = config.Lexicon()
+# The characters Python's str.strip() treats as whitespace.
+WS = (r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+      r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
 
 
 def lit(value: str) -> str:

@@ -552,7 +552,7 @@ def class_weights(spark, sf):
 @query
 def tfidf_vocab(spark, sf):
     rows = derive.clauses(spark, sf)
-    vocab = features.vocabulary(features.term_rows(rows), rows.count())
+    vocab = features.vocabulary(rows, rows.count())
     return vocab.select("term", F.col("term_idx").cast("bigint").alias("term_idx"), "cf", "df",
                         F.bround("idf", 6).alias("idf"))
 
