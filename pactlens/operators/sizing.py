@@ -13,14 +13,17 @@ def spread(df: DataFrame) -> DataFrame:
 
     A large corpus arrives in many splits and passes through untouched; one small
     file with a single row group would otherwise keep all work in one task.
-    Round-robin, so that no key decides the balance.
+    Round-robin, so that no key decides the balance. Only plans without a shuffle are
+    looked at: a shuffled input has its partitions already, and asking an adaptive plan
+    for them would run it.
     """
     if df.isStreaming:
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.nodeName() == "AdaptiveSparkPlan" or "Exchange" in plan.toString():
         return df
-    return df.repartition(cores * 2)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if plan.execute().getNumPartitions() >= cores else df.repartition(cores * 2)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
