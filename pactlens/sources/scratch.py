@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SETTING = "spark.checkpoint.dir"
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under `spark.checkpoint.dir`; on a local master alone a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+def scratch_base(spark: SparkSession) -> str:
+    """The shared folder of the session: `spark.checkpoint.dir`, or what setCheckpointDir() named."""
+    base = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="pactlens-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        raise RuntimeError(f"set {SETTING} or call setCheckpointDir() with a folder that all executors share")
+    return base.rstrip("/")
+
+
+def ensure_scratch(spark: SparkSession) -> None:
+    """Where the session names no folder, use one in its warehouse, which its executors share."""
+    try:
+        scratch_base(spark)
+    except RuntimeError:
+        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch")
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    return f"{scratch_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def store(df: DataFrame, name: str) -> DataFrame:

@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import SparkSession
 
+from pactlens.sources.scratch import ensure_scratch
+
 
 def local_session(cpus: int | None = None, app: str = "pactlens") -> SparkSession:
     cpus = cpus or os.cpu_count()
@@ -21,4 +23,5 @@ def local_session(cpus: int | None = None, app: str = "pactlens") -> SparkSessio
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ensure_scratch(spark)
     return spark
