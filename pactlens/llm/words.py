@@ -42,7 +42,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _POWERS.get("p")
     if have is None or len(have[0]) < n:
         size = max(n, PIECE + (PIECE >> 2))
@@ -74,17 +74,23 @@ class Words(NamedTuple):
     first: int           # first row of the piece
     last: int            # last row of the piece
     goes_on: bool        # the last row continues in the next piece
+    bounds: np.ndarray   # where each row of the piece begins in data, and the end
 
     def hashes(self) -> np.ndarray:
         """64-bit hash of each word's bytes."""
         n = len(self.data)
-        up, down = _powers(n + 1)
+        up, down = powers(n + 1)
         total = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
         return mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
 
-    def text(self, i: int) -> str:
-        return self.data[self.start[i]:self.end[i]].tobytes().decode("utf-8", "replace")
+    def texts(self, pick: np.ndarray) -> pa.Array:
+        """The picked words as an Arrow array."""
+        size = self.end[pick] - self.start[pick]
+        offsets = np.concatenate(([0], np.cumsum(size)))
+        places = np.repeat(self.start[pick] - offsets[:-1], size) + np.arange(offsets[-1])
+        return pa.Array.from_buffers(pa.string(), len(size), [
+            None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(self.data[places])])
 
 
 def pieces(column: pa.Array, size: int = PIECE) -> Iterator[Words]:
@@ -110,8 +116,11 @@ def pieces(column: pa.Array, size: int = PIECE) -> Iterator[Words]:
 
 
 def _cut(flat: np.ndarray, begin: int, end: int, size: int) -> int:
-    """A place at or after begin + size where a word has ended, else the end."""
+    """A place at or after begin + size where a line or at least a word has ended, else the end."""
     at = begin + size
+    line = np.flatnonzero(flat[at:min(end, at + (PIECE >> 4))] == 10)
+    if len(line):
+        return at + int(line[0])
     while at < end:
         space = np.flatnonzero(_SPACE[flat[at:min(end, at + 4096)]])
         if len(space):
@@ -133,4 +142,4 @@ def _words(raw: np.ndarray, offsets: np.ndarray, first: int, last: int, goes_on:
     ends[borders - 1] |= inside[borders - 1]
     start, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
     row = first + np.searchsorted(offsets[1:-1], start, "right") if len(offsets) > 2 else np.full(len(start), first)
-    return Words(row, start, end, data, first, last, goes_on)
+    return Words(row, start, end, data, first, last, goes_on, np.clip(offsets, 0, n))
