@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pactlens.llm import decontaminate, language, lm, mixing, quality, sharding, simhash, urlfilter
+from pactlens.llm import (
+    decontaminate, language, lm, mixing, paragraphs, quality, sharding, simhash, substrings, urlfilter)
 
 # The URL rules of the query.
 URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -36,6 +37,14 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(_table(spark, sf_dir, "pages"), rules)
 
 
+def op6_substring_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op7_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_paragraphs(_table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -50,7 +59,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_lm_scoring, op2_simhash_dedup, op3_decontamination, op4_sharding, op5_url_filter, op8_mixing,
+    op1_lm_scoring, op2_simhash_dedup, op3_decontamination, op4_sharding, op5_url_filter,
+    op6_substring_removal, op7_paragraph_dedup, op8_mixing,
     op9_language_id, op10_quality_rules)}
 
 
