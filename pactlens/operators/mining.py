@@ -119,7 +119,7 @@ def qa_candidates(paragraphs: DataFrame) -> DataFrame:
         qa_negatives(paragraphs).select("sentence", F.lit(NONE_LABEL).alias("label")))
 
 
-def prepared_corpus(candidates: DataFrame, none_ratio: float = 1.0, seed: int = 42, **how) -> DataFrame:
+def prepared_corpus(candidates: DataFrame, none_ratio: float = 1.0, seed: int = 42) -> DataFrame:
     """Labelled candidates with int(n_pos * ratio) of their benign sentences.
 
     The candidates are written once: positives are counted and the benign ones ranked.
@@ -127,4 +127,4 @@ def prepared_corpus(candidates: DataFrame, none_ratio: float = 1.0, seed: int =
     rows = store(candidates, "candidates")
     positives, benign = rows.filter(F.col("label") != NONE_LABEL), rows.filter(F.col("label") == NONE_LABEL)
     return positives.unionByName(
-        sample_negatives(benign, positives.count(), none_ratio, ("sentence",), seed, **how))
+        sample_negatives(benign, positives.count(), none_ratio, ("sentence",), seed))

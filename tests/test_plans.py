@@ -58,6 +58,6 @@ def test_negatives_stay_in_their_row(spark, sf):
 
 def test_threshold_selection_needs_no_shuffle(spark, sf):
     rows = derive.clauses(spark, sf).withColumn("label", F.col("h") % 3)
-    picked = sampling.balance_cap(rows, 100, ("doc_id", "sent_idx"), method="threshold")
+    picked = sampling.balance_cap(rows, 100, ("doc_id", "sent_idx"))
     text = plan(picked)
     assert "Window" not in text and exchanges(text) == 0
