@@ -16,13 +16,19 @@ def _zero_filled(column: str, values, names) -> list:
     return [F.count_if(F.col(column) == v).alias(n) for v, n in zip(values, names)]
 
 
-def severity_distribution(risks: DataFrame, keys: tuple = ("doc_id",)) -> DataFrame:
-    return risks.groupBy(*keys).agg(*_zero_filled("severity", SEVERITIES, ("high", "medium", "low")))
+def _distribution(docs: DataFrame, risks: DataFrame, keys: tuple, column: str, values, names) -> DataFrame:
+    counts = risks.groupBy(*keys).agg(*_zero_filled(column, values, names))
+    return docs.select(*keys).join(counts, list(keys), "left").fillna(0, subset=list(names))
 
 
-def detector_distribution(risks: DataFrame, keys: tuple = ("doc_id",)) -> DataFrame:
-    names = [f"n_{d}" for d in DETECTORS]
-    return risks.groupBy(*keys).agg(*_zero_filled("detector", DETECTORS, names))
+def severity_distribution(docs: DataFrame, risks: DataFrame, keys: tuple = ("doc_id",)) -> DataFrame:
+    """Counts by severity of every document, zeros for one without risks."""
+    return _distribution(docs, risks, keys, "severity", SEVERITIES, ("high", "medium", "low"))
+
+
+def detector_distribution(docs: DataFrame, risks: DataFrame, keys: tuple = ("doc_id",)) -> DataFrame:
+    """Counts by detector of every document, zeros for one without risks."""
+    return _distribution(docs, risks, keys, "detector", DETECTORS, [f"n_{d}" for d in DETECTORS])
 
 
 def percentage(part: Column, total: Column) -> Column:
@@ -71,6 +77,24 @@ def summarize_sentences(scored: DataFrame, keys: tuple = ("doc_id",)) -> DataFra
         percentage(F.col("risky_count"), F.col("total_sentences")).alias("risk_percentage"), *rest)
 
 
+def summarize_scored(docs: DataFrame, scored: DataFrame, keys: tuple = ("doc_id",)) -> DataFrame:
+    """Document summary from a cascade's rows with the benign ones kept (NULL risk_type).
+
+    One aggregation with map-side combine; documents without sentences are joined in.
+    """
+    def among(column, values, names):
+        return [F.count_if(F.col("risk_type").isNotNull() & (F.col(column) == v)).alias(n) for v, n in zip(values, names)]
+
+    counts = scored.groupBy(*keys).agg(
+        F.count("*").alias("total_sentences"), F.count("risk_type").alias("risky_count"),
+        *among("severity", SEVERITIES, ("high", "medium", "low")),
+        *among("detector", DETECTORS, [f"n_{d}" for d in DETECTORS]))
+    names = counts.columns[len(keys):]
+    filled = docs.select(*keys).join(counts, list(keys), "left").fillna(0, subset=names)
+    return filled.select(*keys, *names[:2], percentage(
+        F.col("risky_count"), F.col("total_sentences")).alias("risk_percentage"), *names[2:])
+
+
 def category_shares(risks: DataFrame, config: CascadeConfig) -> DataFrame:
     """Count, share of total and running share per category, in lexicon order.
 
@@ -163,8 +187,9 @@ def assemble_report(docs: DataFrame, totals: DataFrame, records: DataFrame, conf
                     keys: tuple = ("doc_id",)) -> DataFrame:
     """The same nested response from risk-record rows of any cascade mode.
 
-    A document's records are no larger than the document row they came from, so
-    gathering them per document is bounded by the input's own row size.
+    The response holds a document's records in one value, each with its sentence and
+    an explanation of bounded length, so gathering is inherent in it: a row grows with the
+    number of the document's sentences.
     """
     record = [c for c in records.columns if c not in (*keys, "sent_idx")]
     gathered = records.groupBy(*keys).agg(F.sort_array(F.collect_list(

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from pactlens.functions.validation import (
     ALLOWED_EXTENSIONS, ERR_FILE_TYPE, ERR_TOO_LARGE, MAX_UPLOAD_BYTES, extension, input_error, input_kind)
-from pactlens.operators.sizing import broadcast_if_small
 
-PAGES_PER_PART = 1024
-MAX_DOCUMENT_CHARS = 64 * 1024 * 1024
+REPLACEMENT = "\ufffd"
+ASIDE = "\ufdd0\ufdd1\ufdd0"  # noncharacters, never part of interchanged text
 
 
 def ingest_files(spark: SparkSession, path: str, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFrame:
@@ -27,7 +26,10 @@ def ingest_files(spark: SparkSession, path: str, max_bytes: int = MAX_UPLOAD_BYT
     error = (F.when(~F.coalesce(ext.isin(*ALLOWED_EXTENSIONS), F.lit(False)), F.lit(ERR_FILE_TYPE))
              .when(F.col("length") > max_bytes, F.lit(ERR_TOO_LARGE)))
     others = listed.withColumn("error", error).filter((F.coalesce(ext, F.lit("")) != "txt") | F.col("error").isNotNull())
-    decoded = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
+    # Repair marks undecodable bytes with U+FFFD; those the file held step aside for it.
+    raw = F.replace(F.col("content").cast("string"), F.lit(REPLACEMENT), F.lit(ASIDE))
+    repaired = F.replace(F.make_valid_utf8(raw), F.lit(REPLACEMENT), F.lit(""))
+    decoded = F.replace(repaired, F.lit(ASIDE), F.lit(REPLACEMENT))
     accepted = files.option("pathGlobFilter", "*.[tT][xX][tT]").load(path).filter(F.col("length") <= max_bytes)
     return accepted.select("path", "length", decoded.alias("text"), F.lit(None).cast("string").alias("error")).unionByName(
         others.select("path", "length", F.lit(None).cast("string").alias("text"), "error"))
@@ -39,18 +41,12 @@ def validate_inputs(inputs: DataFrame, file_name: str = "file_name", text: str =
             .withColumn("error", input_error(F.col(file_name), F.col(text))))
 
 
-def concat_pages(pages: DataFrame, doc: str = "doc_id", page: str = "page_no", text: str = "text",
-                 pages_per_part: int = PAGES_PER_PART, max_chars: int = MAX_DOCUMENT_CHARS) -> DataFrame:
-    """(doc, part_no, text): page texts joined in page order without a separator.
+def concat_pages(pages: DataFrame, doc: str = "doc_id", page: str = "page_no", text: str = "text") -> DataFrame:
+    """(doc, text): page texts joined in page order without a separator, one row per document.
 
-    A document of up to `max_chars` is one row with part_no 0. A longer one cannot be
-    one string value and may hold a large share of all pages; it stays whole as ordered
-    parts of `pages_per_part` pages each, so every gathered group is bounded.
+    The result is one string value, so a document is limited to what one holds, 2 GB; a document's
+    pages meet in one task, as its text does.
     """
-    sizes = pages.groupBy(doc).agg(F.sum(F.length(F.col(text))).alias("_chars"))
-    longs = sizes.filter(F.col("_chars") > max_chars).select(doc, F.lit(True).alias("_long"))
-    part = F.when(F.col("_long"), F.floor(F.col(page) / pages_per_part)).otherwise(F.lit(0).cast("bigint"))
-    marked = pages.join(broadcast_if_small(longs), doc, "left")
-    joined = marked.groupBy(doc, part.alias("part_no")).agg(F.sort_array(F.collect_list(F.struct(
+    joined = pages.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct(
         F.col(page).alias("p"), F.coalesce(text, F.lit("")).alias("t")))).alias("_ps"))
-    return joined.select(doc, "part_no", F.array_join(F.transform("_ps", lambda x: x["t"]), "").alias("text"))
+    return joined.select(doc, F.array_join(F.transform("_ps", lambda x: x["t"]), "").alias("text"))

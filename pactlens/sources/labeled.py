@@ -2,23 +2,48 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactlens.functions.text import strip
 from pactlens.operators.corpus import clean_rows
+from pactlens.operators.sizing import broadcast_if_small
 
 MIN_ROWS = 20
 
 
 def _read_csv(spark: SparkSession, path, multi_line: bool) -> DataFrame:
-    """Quoted header CSV, all columns text. `seq` is the position inside the input.
+    """Quoted header CSV, all columns text. `seq` grows with the position in the input.
 
-    Files without line breaks inside fields can be read with multi_line=False, which
-    splits one large file over many tasks.
+    Files count in the order of their paths, then blocks and rows as they lie in the file, whatever
+    the sizes of files and splits and the number of cores. `seq` packs (file, block start, row) into
+    one number; only its order has a meaning. Files without line breaks inside fields can be read with
+    multi_line=False, which splits one large file over many tasks.
     """
     raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', inferSchema=False)
-    return raw.withColumn("seq", F.monotonically_increasing_id())
+    # Row numbers of a task grow along each block; the task's own number, in the high bits, is cut off.
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = raw.select("*", F.col("_metadata.file_path").alias("_file"),
+                        F.col("_metadata.file_block_start").alias("_block"), row.alias("_row"))
+    files = sorted(placed.inputFiles())
+    ranks = spark.createDataFrame(list(enumerate(map(_plain, files))), "_rank long, _path string")
+    numbered = placed.join(broadcast_if_small(ranks), _plain_column("_file") == F.col("_path"))
+    wide = "decimal(38,0)"
+    seq = (F.col("_rank").cast(wide) * F.lit(10 ** 12).cast("decimal(13,0)") + F.col("_block")).cast(wide)
+    seq = (seq.cast("decimal(26,0)") * F.lit(10 ** 10).cast("decimal(11,0)") + F.col("_row")).cast(wide)
+    return numbered.select(*raw.columns, seq.alias("seq"))
+
+
+def _plain(path: str) -> str:
+    """A path without scheme slashes and escapes, which listings and metadata write differently."""
+    return re.sub(r"^([a-z0-9]+):/+", r"\1:/", unquote(path))
+
+
+def _plain_column(name: str):
+    return F.regexp_replace(F.try_url_decode(F.replace(F.col(name), F.lit("+"), F.lit("%2B"))), "^([a-z0-9]+):/+", "$1:/")
 
 
 def read_labeled(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:

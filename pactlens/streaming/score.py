@@ -26,13 +26,31 @@ def stream_severity_windows(rows: DataFrame, config: CascadeConfig, ts: str = "t
                             delay: str = "1 hour") -> DataFrame:
     """(window_start, severity, n): risks per event-time window, late rows dropped.
 
-    State holds one counter per open window and severity, however many rows arrive.
+    State holds one counter per open window and severity, however many rows arrive. Write it
+    with `run_updates_to_table`, which also has the windows that are still open.
     """
     risks = cascade(rows.withWatermark(ts, delay), config, tier1=None, tier2=None)
     counts = risks.groupBy(F.window(ts, window), "severity").agg(F.count("*").alias("n"))
     return counts.select(F.col("window.start").alias("window_start"), "severity", "n")
 
 
+def run_updates_to_table(stream: DataFrame, path: str, checkpoint: str, keys: tuple, count: str) -> DataFrame:
+    """Process everything available in update mode; the newest count of every key, open windows included.
+
+    Each micro-batch overwrites its own folder, so a repeated batch leaves one copy. Counts only
+    grow, so the largest one of a key is the newest.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = (stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).foreachBatch(write).start())
+    query.awaitTermination()
+    spark = stream.sparkSession
+    rows = spark.read.schema(stream.schema).option("basePath", path).parquet(path).select(*stream.columns)
+    return rows.groupBy(*keys).agg(F.max(count).alias(count))
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Process everything available into a parquet folder and return it as a table."""
     query = (stream.writeStream.format("parquet").outputMode(mode).option("path", path)

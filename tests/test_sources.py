@@ -83,13 +83,24 @@ def test_concat_pages(spark):
     rows = [(1, 1, "b"), (1, 0, "a"), (1, 2, None), (1, 3, "c"), (2, 0, None)]
     pages = spark.createDataFrame(rows, "doc_id long, page_no int, text string")
     got = sorted(tuple(r) for r in documents.concat_pages(pages).collect())
-    assert got == [(1, 0, "abc"), (2, 0, "")]
-    # A document beyond the limit stays whole as ordered parts.
-    long = [(7, i, f"{i:02d}") for i in range(10)]
-    parts = documents.concat_pages(spark.createDataFrame(rows + long, "doc_id long, page_no int, text string"),
-                                   pages_per_part=4, max_chars=10).orderBy("doc_id", "part_no").collect()
-    assert [(r["doc_id"], r["part_no"]) for r in parts] == [(1, 0), (2, 0), (7, 0), (7, 1), (7, 2)]
-    assert "".join(r["text"] for r in parts if r["doc_id"] == 7) == "".join(t for _, _, t in long)
+    assert got == [(1, "abc"), (2, "")]
+
+
+def test_valid_replacement_characters_stay(spark, tmp_path):
+    (tmp_path / "u.txt").write_bytes(b"a\xef\xbf\xbdb\xffc")
+    assert documents.ingest_files(spark, str(tmp_path)).first()["text"] == "a\ufffdbc"
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_rows_of_files_count_in_the_order_of_their_names(spark, tmp_path, multi_line):
+    (tmp_path / "a b.csv").write_text("sentence,label\nsame,first\n")
+    (tmp_path / "b.csv").write_text("sentence,label\n" + "".join(f"s{i},x\n" for i in range(3000)) + "same,second\n")
+    for size in ("4k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        rows = labeled.read_labeled(spark, str(tmp_path), multi_line)
+        got = [r["sentence"] for r in rows.orderBy("seq").collect()]
+        assert got == ["same", *[f"s{i}" for i in range(3000)], "same"]
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_requests_and_inputs(spark):

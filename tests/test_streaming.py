@@ -33,12 +33,13 @@ def test_windows_drop_late_rows(spark, tmp_path):
         "recursiveFileLookup", True).parquet(str(tmp_path / "in"))
 
     def run():
-        return score.run_to_table(score.stream_severity_windows(source, KEYWORD), str(tmp_path / "out"),
-                                  str(tmp_path / "state")).collect()
+        return score.run_updates_to_table(
+            score.stream_severity_windows(source, KEYWORD), str(tmp_path / "out"), str(tmp_path / "state"),
+            ("window_start", "severity"), "n").collect()
 
     first = {(r["window_start"], r["n"]) for r in run()}
-    assert first == {(day, 2), (day + dt.timedelta(days=1), 1)}
+    assert first == {(day, 2), (day + dt.timedelta(days=1), 1), (day + dt.timedelta(days=2), 1)}
     # Day one is closed: a row for it is late and must not appear.
     write("b", [(day, "You must pay a fine."), (day + dt.timedelta(days=5), "You must pay a fine.")])
     second = {(r["window_start"], r["n"]) for r in run()}
-    assert second - first == {(day + dt.timedelta(days=2), 1)}
+    assert second - first == {(day + dt.timedelta(days=5), 1)}
