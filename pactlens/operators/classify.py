@@ -6,19 +6,29 @@ import json
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pactlens.config import NONE_LABEL
-from pactlens.functions.calibration import top1
+from pactlens.functions.calibration import softmax, top1
 from pactlens.functions.text import strip
 from pactlens.operators.evaluate import class_weights, classification_report, f1_summary
 from pactlens.operators.features import (
-    MAX_FEATURES, idf_rows, sparse_vector, vocabulary, with_weights)
+    MAX_FEATURES, idf_rows, vector_struct, vocabulary, with_weights)
 from pactlens.operators.hold import hold
 
 VOCAB_SCHEMA = "term_idx int, term string, idf double"
+VECTOR_SCHEMA = T.StructType([
+    T.StructField("features", VectorUDT()), T.StructField("label_idx", T.DoubleType()), T.StructField("weight", T.DoubleType())])
+MAX_LABELS = 10_000
+
+
+def _margin(coefficients: list, offset: float) -> Column:
+    """A class's margin of a row with `_weights`."""
+    by_term = F.from_json(F.lit(json.dumps(coefficients)), "array<double>")
+    return F.aggregate("_weights", F.lit(offset), lambda acc, x: acc + x["weight"] * F.get(by_term, x["term_idx"]))
 
 
 @dataclass
@@ -34,10 +44,14 @@ class TextClassifier:
     n_max: int = 2
 
     def score(self, df: DataFrame, text: str = "sentence", name: str = "scores") -> DataFrame:
-        """Add all class probabilities as ARRAY<STRUCT<label, score>>."""
+        """Add all class probabilities as ARRAY<STRUCT<label, score>>.
+
+        A row's few weights meet the coefficients of their terms, class by class.
+        """
         weighted = with_weights(df, self.vocab, text, self.n_max, "_weights")
-        vectors = weighted.withColumn("features", sparse_vector(F.col("_weights"), len(self.vocab)))
-        scored = hold(self.model.transform(vectors), _p=vector_to_array(F.col("probability")))
+        margins = [_margin(line.tolist(), float(offset)) for line, offset in zip(
+            self.model.coefficientMatrix.toArray(), self.model.interceptVector.toArray())]
+        scored = hold(hold(weighted, _m=F.array(*margins)), _p=softmax(F.col("_m"), 1.0))
         pairs = F.array(*[F.struct(F.lit(label).alias("label"), F.get("_p", i).alias("score"))
                           for i, label in enumerate(self.labels)])
         return scored.select(*df.columns, pairs.alias(name))
@@ -53,12 +67,12 @@ class TextClassifier:
             F.coalesce("_b.confidence", F.lit(0.0)).alias(confidence))
 
     def save(self, path: str, meta: dict) -> None:
-        """Model, vocabulary and one-row metadata under one folder."""
+        """Model, vocabulary and one-row metadata under one folder; `meta` takes metrics and paths too."""
         spark = SparkSession.active()
         self.model.write().overwrite().save(f"{path}/model")
         rows = [(r["term_idx"], r["term"], r["idf"]) for r in self.vocab]
         spark.createDataFrame(rows, VOCAB_SCHEMA).write.mode("overwrite").parquet(f"{path}/vocab")
-        text = json.dumps({"labels": self.labels, "n_max": self.n_max, **meta})
+        text = json.dumps({"labels": self.labels, "n_max": self.n_max, "max_features": len(self.vocab), **meta})
         spark.range(1).select(F.lit(text).alias("value")).write.mode("overwrite").text(f"{path}/meta")
 
     @classmethod
@@ -67,7 +81,8 @@ class TextClassifier:
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
         if "labels" not in meta:
             raise ValueError("Invalid model file format")
-        vocab = idf_rows(spark.read.schema(VOCAB_SCHEMA).parquet(f"{path}/vocab"))
+        vocab = spark.read.schema(VOCAB_SCHEMA).parquet(f"{path}/vocab")
+        vocab = idf_rows(vocab, meta.get("max_features", MAX_FEATURES))
         return cls(vocab, meta["labels"], LogisticRegressionModel.load(f"{path}/model"), meta["n_max"])
 
 
@@ -89,22 +104,25 @@ def fit_classifier(
     over them many times and must not recompute them, not even when an executor is lost.
     """
     spark = train.sparkSession
-    rows = class_weights(train, label).orderBy(label).collect()
+    rows = class_weights(train, label).orderBy(label).limit(MAX_LABELS + 1).collect()
+    if len(rows) > MAX_LABELS:
+        raise ValueError(f"a classifier has at most {MAX_LABELS} classes")
     labels = [r[label] for r in rows]
     n = sum(r["n"] for r in rows)
     classes = F.broadcast(spark.createDataFrame(
         [(r[label], float(i), r["weight"]) for i, r in enumerate(rows)],
         f"`{label}` string, label_idx double, weight double"))
 
-    vocab = idf_rows(vocabulary(train, n, text, n_max, max_features), max_features)
+    vocab = idf_rows(vocabulary(train, text, n_max, max_features), max_features)
     weighted = with_weights(train.select(text, label).join(classes, label), vocab, text, n_max)
-    weighted.select(sparse_vector(F.col("weights"), len(vocab)).alias("features"), "label_idx", "weight").write.mode(
+    weighted.select(vector_struct(F.col("weights"), len(vocab)).alias("features"), "label_idx", "weight").write.mode(
         "overwrite").parquet(f"{work_dir}/vectors")
+    vectors = spark.read.schema(VECTOR_SCHEMA).parquet(f"{work_dir}/vectors")
     lr = LogisticRegression(
         featuresCol="features", labelCol="label_idx", weightCol="weight", family="multinomial",
         regParam=1.0 / (reg_c * n), elasticNetParam=0.0, standardization=False,
         maxIter=max_iter, tol=tol)
-    model = lr.fit(spark.read.parquet(f"{work_dir}/vectors"))
+    model = lr.fit(vectors)
     return TextClassifier(vocab, labels, model, n_max)
 
 

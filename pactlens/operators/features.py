@@ -5,16 +5,14 @@ from __future__ import annotations
 import json
 
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pactlens.functions.text import ngrams, term_counts, tokens
 from pactlens.operators.hold import hold
+from pactlens.sources.scratch import store
 
 MAX_FEATURES = 20_000
-MAX_LOCAL_TERMS = 200_000
 
 
 def with_terms(df: DataFrame, text: str = "sentence", n_max: int = 2) -> DataFrame:
@@ -32,20 +30,22 @@ def term_rows(df: DataFrame, keys: tuple = (), text: str = "sentence", n_max: in
     return grams.select(*keys, F.inline(term_counts(F.col("_terms"))))
 
 
-def vocabulary(df: DataFrame, n_rows: int, text: str = "sentence", n_max: int = 2,
+def vocabulary(df: DataFrame, text: str = "sentence", n_max: int = 2,
                max_features: int = MAX_FEATURES) -> DataFrame:
     """(term, term_idx, cf, df, idf): the most frequent terms of the corpus.
 
-    Each row gives all its terms and then its distinct ones, so one aggregation yields
-    both the corpus and the document frequency. Counts combine map-side: a frequent term
-    sends one row per task. The final numbering sees at most `max_features` rows.
+    Terms are counted in their row first, so one hash aggregation over distinct terms yields
+    the corpus and the document frequency; a row's NULL term counts the rows themselves. Counts
+    combine map-side: a frequent term sends one row per task. The final numbering sees at most
+    `max_features` rows.
     """
     grams = with_terms(df.select(text), text, n_max)
-    listed = grams.select(F.size("_terms").alias("_n"), F.posexplode(
-        F.concat("_terms", F.array_distinct("_terms"))).alias("_pos", "term"))
-    counts = listed.groupBy("term").agg(
-        F.count_if(F.col("_pos") < F.col("_n")).alias("cf"), F.count_if(F.col("_pos") >= F.col("_n")).alias("df"))
-    top = counts.orderBy(F.desc("cf"), "term").limit(max_features)
+    one = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).cast("bigint").alias("tf")))
+    counts = store(grams.select(F.inline(F.concat(term_counts(F.col("_terms")), one))).groupBy("term").agg(
+        F.sum("tf").alias("cf"), F.count("*").alias("df")), "terms")
+    row = counts.filter("term IS NULL").first()
+    n_rows = row["df"] if row else 0
+    top = counts.filter("term IS NOT NULL").orderBy(F.desc("cf"), "term").limit(max_features)
     idf = F.log(F.lit(1.0 + n_rows) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     index = F.row_number().over(Window.orderBy("term")) - 1
     return top.select("term", index.alias("term_idx"), "cf", "df", idf.alias("idf"))
@@ -53,25 +53,22 @@ def vocabulary(df: DataFrame, n_rows: int, text: str = "sentence", n_max: int =
 
 def idf_rows(vocab: DataFrame, max_features: int = MAX_FEATURES) -> list:
     """The vocabulary as (term, idf) rows in term_idx order; at most `max_features`."""
-    if max_features > MAX_LOCAL_TERMS:
-        raise ValueError(f"a local vocabulary holds at most {MAX_LOCAL_TERMS} terms")
-    return vocab.select("term_idx", "term", "idf").orderBy("term_idx").collect()
+    return vocab.select("term_idx", "term", "idf").filter(F.col("term_idx") < max_features).orderBy("term_idx").collect()
 
 
 def with_weights(df: DataFrame, vocab: list, text: str = "sentence", n_max: int = 2,
                  name: str = "weights") -> DataFrame:
     """Add ARRAY<STRUCT<term_idx, weight>>: the L2-normalised TF-IDF row, by term_idx.
 
-    The bounded vocabulary goes to every task, so each row is weighted where it is: no
-    explode, no regrouping, no shuffle. The count vector is opened through JSON, the
-    built-in way from the vector type to its arrays.
+    The vocabulary, at most the parameter `max_features`, goes to every task, so each row is weighted
+    where it is: no explode, no regrouping, no shuffle.
     """
     if not vocab:
         return df.withColumn(name, F.array().cast("array<struct<term_idx:int,weight:double>>"))
     counter = CountVectorizerModel.from_vocabulary(
         [r["term"] for r in vocab], inputCol="_terms", outputCol="_counts")
     counted = counter.transform(with_terms(df, text, n_max))
-    opened = hold(counted, _v=F.from_json(F.to_json(F.struct(F.col("_counts").alias("v"))), _OPEN_VECTOR)["v"])
+    opened = hold(counted, _v=F.unwrap_udt("_counts"))
     idf = F.from_json(F.lit(json.dumps([r["idf"] for r in vocab])), "array<double>")
     raw = F.transform(F.col("_v.values"), lambda tf, i: F.struct(
         F.get(F.col("_v.indices"), i).alias("term_idx"),
@@ -85,39 +82,20 @@ def with_weights(df: DataFrame, vocab: list, text: str = "sentence", n_max: int
 
 def tfidf(df: DataFrame, keys: tuple, text: str = "sentence", n_max: int = 2,
           max_features: int = MAX_FEATURES) -> DataFrame:
-    """(keys..., term, weight) of every row and vocabulary term.
-
-    A vocabulary beyond the local bound is joined to the exploded terms instead.
-    """
-    vocab = vocabulary(df, df.count(), text, n_max, max_features)
-    if max_features > MAX_LOCAL_TERMS:
-        return _tfidf_by_join(term_rows(df, keys, text, n_max), vocab, keys)
-    rows = idf_rows(vocab, max_features)
+    """(keys..., term, weight) of every row and vocabulary term."""
+    rows = idf_rows(vocabulary(df, text, n_max, max_features), max_features)
     names = F.from_json(F.lit(json.dumps([r["term"] for r in rows])), "array<string>")
     weights = with_weights(df.select(*keys, text), rows, text, n_max)
     return weights.select(*keys, F.inline("weights")).select(
         *keys, F.get(names, F.col("term_idx")).alias("term"), "weight")
 
 
-def _tfidf_by_join(terms: DataFrame, vocab: DataFrame, keys: tuple) -> DataFrame:
-    weight = (F.lit(1.0) + F.log("tf")) * F.col("idf")
-    weighted = terms.join(vocab, "term").select(*keys, "term", weight.alias("_w"))
-    norms = weighted.groupBy(*keys).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return weighted.join(norms, list(keys)).select(*keys, "term", (F.col("_w") / F.col("_norm")).alias("weight"))
-
-
-_OPEN_VECTOR = "v struct<type:int,size:int,indices:array<int>,values:array<double>>"
-_VECTOR_HOLDER = T.StructType([T.StructField("v", VectorUDT())])
-
-
-def sparse_vector(weights: Column, size: int) -> Column:
-    """ML sparse vector of a sorted weight array, built in the JVM.
+def vector_struct(weights: Column, size: int) -> Column:
+    """The stored form of an ML sparse vector, of a sorted weight array.
 
-    A vector is stored as (type, size, indices, values); the JSON reader knows the
-    vector type, which avoids a Python function per row.
+    Written to a file and read back with the vector type it is a vector.
     """
-    stored = F.struct(
-        F.lit(0).alias("type"), F.lit(size).alias("size"),
+    return F.struct(
+        F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),
         F.transform(weights, lambda x: x["term_idx"]).alias("indices"),
         F.transform(weights, lambda x: x["weight"]).alias("values"))
-    return F.from_json(F.to_json(F.struct(stored.alias("v"))), _VECTOR_HOLDER)["v"]

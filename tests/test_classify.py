@@ -41,18 +41,16 @@ def brute_tfidf(texts, max_features):
 
 
 @pytest.mark.parametrize("max_features", [10, 500])
-def test_tfidf_matches_brute_force(spark, labelled, max_features, monkeypatch):
+def test_tfidf_matches_brute_force(spark, labelled, max_features):
     texts = [r["sentence"] for r in labelled.orderBy("id").collect()] + ["the the the term", "", "?"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, sentence string")
     vocab, want = brute_tfidf(texts, max_features)
-    for local_bound in (features.MAX_LOCAL_TERMS, 1):
-        monkeypatch.setattr(features, "MAX_LOCAL_TERMS", local_bound)
-        got = {}
-        for r in features.tfidf(df, ("id",), max_features=max_features).collect():
-            got.setdefault(r["id"], {})[r["term"]] = r["weight"]
-        assert set(t for g in got.values() for t in g) == set(vocab)
-        for i, row in enumerate(want):
-            assert got.get(i, {}) == pytest.approx(row)
+    got = {}
+    for r in features.tfidf(df, ("id",), max_features=max_features).collect():
+        got.setdefault(r["id"], {})[r["term"]] = r["weight"]
+    assert set(t for g in got.values() for t in g) == set(vocab)
+    for i, row in enumerate(want):
+        assert got.get(i, {}) == pytest.approx(row)
 
 
 def test_empty_vocabulary(spark):
@@ -63,7 +61,7 @@ def test_empty_vocabulary(spark):
 def test_regression_reaches_the_optimum(spark, labelled, tmp_path):
     """At the optimum of 0.5 |w|^2 + C * sum(weight * log loss) the gradient is zero."""
     model = classify.fit_classifier(labelled, str(tmp_path), tol=1e-10)
-    rows = spark.read.parquet(f"{tmp_path}/vectors").select(
+    rows = spark.read.schema(classify.VECTOR_SCHEMA).parquet(f"{tmp_path}/vectors").select(
         vector_to_array("features").alias("x"), "label_idx", "weight").collect()
     x = np.array([r["x"] for r in rows])
     y = np.array([int(r["label_idx"]) for r in rows])
@@ -125,3 +123,14 @@ def test_scorer_in_the_cascade(spark):
     scored = cascade.with_scores(df, lambda t: pd.DataFrame({"None": [0.1] * len(t), "Penalty": [0.95] * len(t)}), "s1")
     rows = cascade.cascade(scored, CascadeConfig(mode="transformer"), tier1="s1", tier2=None).collect()
     assert {(r["risk_type"], r["detector"], r["confidence"]) for r in rows} == {("Penalty", "transformer", 0.8769)}
+
+
+def test_failing_scorer(spark):
+    df = spark.createDataFrame([(1, 0, "hello")], "doc_id long, sent_idx int, sentence string")
+
+    def broken(texts):
+        raise RuntimeError("no model")
+
+    assert cascade.with_scores(df, broken, on_error="abstain").first()["scores"] is None
+    with pytest.raises(Exception):
+        cascade.with_scores(df, broken).collect()
