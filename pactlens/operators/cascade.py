@@ -25,13 +25,13 @@ KEYS = ("doc_id", "sent_idx")
 def attach_scores(sentences: DataFrame, scores: DataFrame, name: str, keys: tuple = KEYS) -> DataFrame:
     """Left join a tier's top-1 as STRUCT<label, confidence>; a missing row means the tier failed.
 
-    The score arrays shrink to their top entry before they move. A score table has as
-    many rows as there are sentences, so it is never broadcast, however small its files
-    look. The key is unique per sentence, so no key is hot, and attaching a second score
-    table on the same key reuses the first join's partitioning.
+    The score arrays shrink to their top entry before they move. A score table has one row per
+    sentence: a second row of a key would repeat the sentence. The key is unique, so no
+    key is hot, and attaching a second score table reuses the first join's partitioning.
+    Give `keyword_signals` first and the texts stay behind.
     """
     best = scores.select(*keys, top1(F.col("scores")).alias(name))
-    return sentences.join(best.hint("merge"), list(keys), "left")
+    return sentences.join(best, list(keys), "left")
 
 
 def with_scores(
@@ -40,14 +40,19 @@ def with_scores(
     name: str = "scores",
     sentence: str = "sentence",
     where: str | None = None,
+    on_error: str = "raise",
 ) -> DataFrame:
     """Score sentences with a user's batch function inside Arrow batches.
 
     `scorer` maps a Series of sentences to a frame with one score column per label, in
     label order, and loads its model lazily so that every Python worker loads it once.
     `where` names a boolean column: only its true rows reach the scorer, the others get
-    NULL, so a later tier never scores what an earlier tier has settled.
+    NULL, so a later tier never scores what an earlier tier has settled. If the scorer fails, the
+    job does; with `on_error="abstain"` the sentences of the batch get NULL scores instead, with
+    which a tier abstains at confidence 0.0.
     """
+    if on_error not in ("raise", "abstain"):
+        raise ValueError("on_error must be raise or abstain")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,13 +61,18 @@ def with_scores(
             if where:
                 chosen = np.asarray(batch.column(where).fill_null(False).to_numpy(zero_copy_only=False), dtype=bool)
             texts = batch.column(sentence).to_pandas()[chosen]
-            frame = scorer(texts) if len(texts) else pd.DataFrame()
+            try:
+                frame = scorer(texts) if len(texts) else pd.DataFrame()
+            except Exception:
+                if on_error == "raise":
+                    raise
+                frame, chosen = pd.DataFrame(), np.zeros(n, dtype=bool)
             width = len(frame.columns)
             offsets = np.concatenate(([0], np.cumsum(np.where(chosen, width, 0)))).astype("int32")
             scores = pa.ListArray.from_arrays(
                 pa.array(offsets),
                 pa.StructArray.from_arrays(
-                    [pa.array(list(map(str, frame.columns)) * len(frame), pa.string()),
+                    [pa.array(list(map(str, frame.columns)), pa.string()).take(pa.array(np.tile(np.arange(width), len(frame)))),
                      pa.array(frame.to_numpy(dtype="float64").ravel(), pa.float64())], ["label", "score"]),
                 mask=pa.array(~chosen))
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, name])
@@ -71,10 +81,18 @@ def with_scores(
     return df.mapInArrow(run, schema)
 
 
-def tier_top(scores: Column, sentence: Column, is_array: bool = False) -> Column:
+def keyword_signals(df: DataFrame, config: CascadeConfig, sentence: str = "sentence") -> DataFrame:
+    """Add all that the cascade reads from the text: _kw (keyword class), _modal, _delta and _blank."""
+    held = hold(df, _lower=F.lower(F.col(sentence)))
+    lower, lexicon = F.col("_lower"), config.lexicon
+    return hold(held, _kw=risk.keyword_risk(lower, lexicon), _modal=risk.modal_score(lower, lexicon),
+                _delta=risk.amplifier_delta(lower, lexicon), _blank=F.length(strip(F.col(sentence))) == 0).drop("_lower")
+
+
+def tier_top(scores: Column, sentence: Column, is_array: bool = False, blank: Column | None = None) -> Column:
     """A tier's top-1 for a sentence; a blank sentence is benign without asking the model."""
     return F.when(
-        F.length(strip(sentence)) == 0,
+        F.length(strip(sentence)) == 0 if blank is None else blank,
         F.struct(F.lit(NONE_LABEL).alias("label"), F.lit(0.0).alias("confidence")),
     ).otherwise(top1(scores) if is_array else scores)
 
@@ -106,9 +124,10 @@ def tier2_decision(top: Column, config: CascadeConfig) -> Column:
 
 def _column_top(df: DataFrame, column: str | None, sentence: Column) -> Column:
     """Top-1 from a score array, a top-1 struct, or no scores at all."""
+    blank = F.col("_blank") if "_blank" in df.columns else None
     if column is None:
-        return tier_top(F.lit(None).cast("struct<label:string,confidence:double>"), sentence)
-    return tier_top(F.col(column), sentence, isinstance(df.schema[column].dataType, T.ArrayType))
+        return tier_top(F.lit(None).cast("struct<label:string,confidence:double>"), sentence, blank=blank)
+    return tier_top(F.col(column), sentence, isinstance(df.schema[column].dataType, T.ArrayType), blank)
 
 
 def decide(
@@ -117,9 +136,12 @@ def decide(
     sentence: str = "sentence",
     tier1: str | None = "tier1",
     tier2: str | None = "tier2",
+    keep_benign: bool = False,
 ) -> DataFrame:
     """Run the cascade: adds risk_type, confidence and detector, drops sentences without risk.
 
+    With `keep_benign` those stay, with a NULL risk_type.
+
     A tier that settles a sentence hides the later ones. In `auto` and `ml` mode the
     classifier's confidence stays on the row even when the keyword tier decides.
     `tier1` and `tier2` name columns with the tiers' score arrays or top-1 structs; None
@@ -130,38 +152,41 @@ def decide(
     if config.uses_ml:
         tops["_top2"] = _column_top(df, tier2, s)
     topped = hold(df, **tops) if tops else df
-    staged = {"_lower": F.lower(s)}
+    known = "_kw" in df.columns
+    staged = {} if known else {"_lower": F.lower(s)}
     if config.uses_transformer:
         staged["_t1"] = tier1_decision(F.col("_top1"), config)
     if config.uses_ml:
         staged["_t2"] = tier2_decision(F.col("_top2"), config)
-    held = hold(topped, **staged).drop(*tops)
+    held = (hold(topped, **staged) if staged else topped).drop(*tops)
 
     first = F.col("_t1.label") if config.uses_transformer else F.lit(None).cast("string")
     second = F.col("_t2.label") if config.uses_ml else F.lit(None).cast("string")
-    third = risk.keyword_risk(F.col("_lower"), config.lexicon)
+    third = F.col("_kw") if known else risk.keyword_risk(F.col("_lower"), config.lexicon)
     carried = F.col("_t2.confidence") if config.uses_ml else F.lit(None).cast("double")
     if config.uses_transformer:
         carried = F.when(first.isNotNull(), F.col("_t1.confidence")).otherwise(carried)
     detector = (F.when(first.isNotNull(), F.lit("transformer"))
                 .when(second.isNotNull(), F.lit("ml")).otherwise(F.lit("keyword")))
     decided = hold(held, risk_type=F.coalesce(first, second, third), confidence=carried, detector=detector)
-    return decided.filter("risk_type IS NOT NULL").drop("_t1", "_t2")
+    return (decided if keep_benign else decided.filter("risk_type IS NOT NULL")).drop("_t1", "_t2")
 
 
 def score_severity(df: DataFrame, config: CascadeConfig, sentence: str = "sentence") -> DataFrame:
     """Add severity and severity_score to rows with risk_type and confidence."""
     lexicon = config.lexicon
-    if "_lower" not in df.columns:
-        df = df.withColumn("_lower", F.lower(F.col(sentence)))
-    lower = F.col("_lower")
-    signals = (df.withColumn("_modal", risk.modal_score(lower, lexicon))
-               .withColumn("_delta", risk.amplifier_delta(lower, lexicon)))
+    signals = df
+    if "_kw" not in df.columns:
+        if "_lower" not in df.columns:
+            df = df.withColumn("_lower", F.lower(F.col(sentence)))
+        lower = F.col("_lower")
+        signals = (df.withColumn("_modal", risk.modal_score(lower, lexicon))
+                   .withColumn("_delta", risk.amplifier_delta(lower, lexicon)))
     scored = signals.withColumn("_score", risk.composite(
         F.col("_modal"), F.col("_delta"), risk.base_weight(F.col("risk_type"), lexicon), F.col("confidence")))
     return (scored.withColumn("severity", risk.severity_label(F.col("_score"), lexicon))
             .withColumn("severity_score", risk.severity_score(F.col("_score")))
-            .drop("_lower", "_modal", "_delta", "_score"))
+            .drop("_lower", "_kw", "_blank", "_modal", "_delta", "_score"))
 
 
 def cascade(df: DataFrame, config: CascadeConfig, **columns) -> DataFrame:

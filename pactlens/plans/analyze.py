@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pactlens.config import CascadeConfig
 from pactlens.functions import risk
 from pactlens.functions.text import sentences
-from pactlens.operators.cascade import KEYS, attach_scores, cascade, risk_records
+from pactlens.operators.cascade import KEYS, attach_scores, cascade, keyword_signals, risk_records
 from pactlens.operators.hold import hold
 from pactlens.operators.report import assemble_report, keyword_report, summarize_sentences
 from pactlens.operators.segment import segment_sentences
@@ -16,14 +16,16 @@ from pactlens.operators.sizing import spread
 
 
 def score_sentences(sents: DataFrame, config: CascadeConfig, tier1: DataFrame | None = None,
-                    tier2: DataFrame | None = None) -> DataFrame:
+                    tier2: DataFrame | None = None, keep_benign: bool = False) -> DataFrame:
     """Sentence rows to risk rows, with optional score tables for the two model tiers."""
     staged, names = sents, {"tier1": None, "tier2": None}
+    if (tier1 is not None and config.uses_transformer) or (tier2 is not None and config.uses_ml):
+        staged = keyword_signals(staged, config)  # so that the joins move numbers where no text is asked for
     if tier1 is not None and config.uses_transformer:
         staged, names["tier1"] = attach_scores(staged, tier1, "tier1"), "tier1"
     if tier2 is not None and config.uses_ml:
         staged, names["tier2"] = attach_scores(staged, tier2, "tier2"), "tier2"
-    return cascade(staged, config, **names).drop("tier1", "tier2")
+    return cascade(staged, config, **names, keep_benign=keep_benign).drop("tier1", "tier2")
 
 
 def analyze_risks(sents: DataFrame, config: CascadeConfig, tier1: DataFrame | None = None,

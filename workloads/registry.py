@@ -12,6 +12,7 @@ from pactlens.functions import calibration, risk, text
 from pactlens.operators import (
     cascade, classify, corpus, evaluate, explain, features, mining, report, sampling, segment)
 from pactlens.operators.hold import hold
+from pactlens.operators.sizing import spread
 from pactlens.plans import analyze, build_corpus
 from pactlens.sources import clauses as clause_sources
 from pactlens.sources import documents as document_sources
@@ -60,7 +61,8 @@ def segment_sentences(spark, sf):
 
 @query
 def clean_text(spark, sf):
-    docs = derive.table(spark, sf, "documents").select("doc_id", derive.messy(F.col("text")).alias("text"))
+    raw = spread(derive.table(spark, sf, "documents").select("doc_id", "text"))
+    docs = raw.select("doc_id", derive.messy(F.col("text")).alias("text"))
     both = docs.withColumn("clause", text.clean_clause(F.col("text")))
     return corpus.clean_rows(both, "text").withColumnRenamed("text", "cleaned")
 
@@ -258,12 +260,14 @@ def custom_lexicon(spark, sf):
 
 @query
 def severity_distribution(spark, sf):
-    return report.severity_distribution(_keyword_risks(spark, sf))
+    return report.severity_distribution(derive.table(spark, sf, "documents"), _keyword_risks(spark, sf))
 
 
 @query
 def detector_distribution(spark, sf):
-    return report.detector_distribution(_auto_records(spark, sf))
+    keyed = derive.clauses(spark, sf)
+    scored = analyze.score_sentences(keyed, AUTO, derive.tier1_scores(keyed), derive.tier2_scores(keyed))
+    return report.detector_distribution(derive.table(spark, sf, "documents"), scored)
 
 
 @query
@@ -280,10 +284,9 @@ def document_summary(spark, sf):
 @query
 def cascade_summary(spark, sf):
     """Document summary of the full cascade with both score tables."""
-    docs = derive.table(spark, sf, "documents").select("doc_id")
     keyed = derive.clauses(spark, sf)
-    totals = keyed.groupBy("doc_id").agg(F.count("*").alias("total_sentences"))
-    return report.document_summary(docs, _auto_records(spark, sf), totals)
+    scored = analyze.score_sentences(keyed, AUTO, derive.tier1_scores(keyed), derive.tier2_scores(keyed), keep_benign=True)
+    return report.summarize_scored(derive.table(spark, sf, "documents"), scored)
 
 
 def _flat_report(nested):
@@ -315,6 +318,20 @@ def report_roundtrip(spark, sf):
     return _flat_report(spark.read.schema(nested.schema).json(path))
 
 
+@query
+def cascade_report_roundtrip(spark, sf):
+    """Nested reports of the full cascade written as JSON and read back."""
+    docs = derive.table(spark, sf, "documents").select("doc_id")
+    keyed = derive.clauses(spark, sf)
+    totals = keyed.groupBy("doc_id").agg(F.count("*").alias("total_sentences"))
+    nested = report.assemble_report(docs, totals, analyze.analyze_risks(
+        keyed, AUTO, derive.tier1_scores(keyed), derive.tier2_scores(keyed)), AUTO)
+    path = scratch_dir(spark, "report")
+    analyze.write_report(nested, path)
+    flat = _flat_report(spark.read.schema(nested.schema).json(path))
+    return flat.drop("n_keyword")
+
+
 # --- corpora ----------------------------------------------------------------------------------------
 
 
@@ -343,6 +360,42 @@ def corpus_roundtrip(spark, sf):
     return spark.read.parquet(path)
 
 
+@query
+def load_training_data(spark, sf):
+    path = scratch_dir(spark, "training")
+    labeled.write_corpus(_merged(spark, sf).withColumn("sentence", F.concat(F.lit(" "), "sentence")), path)
+    return labeled.load_training_data(spark, path).select("sentence", "label")
+
+
+@query
+def first_seen_files(spark, sf):
+    """First-seen rows of two CSV files; the first one by name is the smaller."""
+    path = scratch_dir(spark, "ordered")
+    rows = _merged(spark, sf)
+    few = rows.filter("label = 'Penalty'").select("sentence", F.lit("A").alias("label")).distinct()
+    labeled.write_corpus(few, f"{path}/a")
+    labeled.write_corpus(rows.select("sentence", F.lit("B").alias("label")), f"{path}/b")
+    read = labeled.read_labeled(spark, [f"{path}/b", f"{path}/a"])
+    return corpus.dedup_first(read, order=("seq",)).select("sentence", "label")
+
+
+@query
+def mapped_corpus(spark, sf):
+    """A labelled corpus and mapped provisions merged, de-duplicated and capped per class."""
+    rows, names = derive.provisions(spark, sf)
+    mapped = corpus.map_provisions(rows, names).select(
+        (F.col("doc_id") * 1000000 + F.col("sent_idx")).alias("seq"), "sentence", "label", "source")
+    name, first = next(iter(derive.labelled_sources(spark, sf).items()))
+    return build_corpus.capped_corpus([(name, first), ("ledgar", mapped)], 1000).select("sentence", "label", "source")
+
+
+@query
+def balance_duplicate_keys(spark, sf):
+    """A cap per class where many rows share their key."""
+    rows = _merged(spark, sf).select("sentence", "label", "source")
+    return sampling.balance_cap(rows, 700, ("source",))
+
+
 @query
 def label_counts(spark, sf):
     return report.label_counts(_merged(spark, sf))
@@ -457,6 +510,15 @@ def wide_clause_unpivot(spark, sf):
     return mining.wide_clauses(derive.wide_table(spark, sf), ("doc_id",))
 
 
+@query
+def wide_clause_files(spark, sf):
+    """The wide clause table written as CSV, read from the files and unpivoted."""
+    path = scratch_dir(spark, "wide")
+    derive.wide_table(spark, sf).write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    wide = clause_sources.read_wide_clauses(spark, path)
+    return mining.wide_clauses(wide.withColumn("doc_id", F.col("doc_id").cast("bigint")), ("doc_id",))
+
+
 @query
 def mine_negatives_wide(spark, sf):
     return mining.wide_negatives(mining.wide_clauses(derive.wide_table(spark, sf), ("doc_id",)))
@@ -497,14 +559,18 @@ def concat_pages(spark, sf):
 
 @query
 def ingest_files(spark, sf):
-    """Documents written as .txt files per source, ingested again, measured per source."""
+    """Documents written as .txt files per source, ingested again: errors, lines and a digest of the lines."""
     path = scratch_dir(spark, "uploads")
     docs = derive.table(spark, sf, "documents").select("source", "text")
     # At most 50 of the longest possible documents stay below the upload cap.
     docs.write.partitionBy("source").option("maxRecordsPerFile", 50).text(path)
     files = document_sources.ingest_files(spark, path)
-    return (files.filter("error IS NULL").withColumn("source", F.regexp_extract("path", "source=([^/]+)/", 1))
-            .groupBy("source").agg(F.sum(F.length("text")).alias("n_chars")))
+    lines = files.withColumn("source", F.regexp_extract("path", "source=([^/]+)/", 1)).select(
+        "source", "path", "error", F.explode_outer(F.split("text", "\n")).alias("line"))
+    digest = F.conv(F.substring(F.md5("line"), 1, 8), 16, 10).cast("bigint")
+    return lines.groupBy("source").agg(
+        F.count("error").alias("n_errors"), F.count_if(F.col("line") != "").alias("n_lines"),
+        F.sum(F.when(F.col("line") != "", digest)).alias("digest"))
 
 
 # --- evaluation ---------------------------------------------------------------------------------------
@@ -552,7 +618,7 @@ def class_weights(spark, sf):
 @query
 def tfidf_vocab(spark, sf):
     rows = derive.clauses(spark, sf)
-    vocab = features.vocabulary(rows, rows.count())
+    vocab = features.vocabulary(rows)
     return vocab.select("term", F.col("term_idx").cast("bigint").alias("term_idx"), "cf", "df",
                         F.bround("idf", 6).alias("idf"))
 
@@ -571,24 +637,44 @@ def _trained(spark, sf):
     rows = store(_merged(spark, sf), "rows")
     split = sampling.stratified_split(rows, 0.25, ROW).select(*ROW, "sentence", "label", "is_test")
     stored = store(split, "split")
-    model = classify.fit_classifier(stored.filter("NOT is_test"), path, max_iter=100)
-    return model, stored.filter("is_test"), path
+    return classify.fit_classifier(stored.filter("NOT is_test"), path), stored, path
 
 
 @query
 def train_ml(spark, sf):
-    """Fit, save, load and evaluate on held-out rows."""
-    model, test, path = _trained(spark, sf)
-    model.save(f"{path}/model", {"model_type": "tfidf_logreg"})
+    """Fit, save with its metrics, load and evaluate on held-out rows.
+
+    Per class its support; for all, whether the accuracy beats the commonest class, and how many
+    predictions of the loaded model differ from those in memory.
+    """
+    model, stored, path = _trained(spark, sf)
+    test = stored.filter("is_test")
+    _, summary = classify.evaluate_classifier(model, test)
+    metrics = summary.first()
+    model.save(f"{path}/model", {
+        "model_type": "tfidf_logreg", "macro_f1": metrics["macro_f1"], "weighted_f1": metrics["weighted_f1"], "data_path": sf})
     loaded = classify.TextClassifier.load(spark, f"{path}/model")
-    per_class, _ = classify.evaluate_classifier(loaded, test)
-    return per_class
+    both = loaded.predict(model.predict(test.withColumnRenamed("label", "y_true"), label="mine", confidence="c1"),
+                          label="theirs", confidence="c2")
+    per_class = both.groupBy(F.col("y_true").alias("label")).agg(
+        F.count("*").alias("support"), F.count_if(F.col("y_true") == F.col("theirs")).alias("hits"),
+        F.count_if(F.col("mine") != F.col("theirs")).alias("mismatches"))
+    whole = per_class.agg(F.sum("hits"), F.max("support")).first()
+    return per_class.select("label", "support", "mismatches", F.lit(whole[0] > whole[1]).alias("beats_majority"))
 
 
 @query
 def ml_predict(spark, sf):
-    model, test, _ = _trained(spark, sf)
-    return model.predict(test).select(*ROW, "label", F.bround("confidence", 6).alias("confidence"))
+    """Every row of the corpus scored, and a blank one."""
+    model, stored, _ = _trained(spark, sf)
+    blank = spark.createDataFrame([(-1, -1, " \t")], "source_rank int, seq bigint, sentence string")
+    scored = model.predict(stored.select(*ROW, "sentence").unionByName(blank), label="predicted")
+    least = 1.0 / len(model.labels)
+    return scored.select(
+        *ROW, F.col("predicted").isin(model.labels).alias("known_label"),
+        (F.col("confidence").between(least - 1e-12, 1.0)).alias("in_range"),
+        ((F.col("predicted") == "None") & (F.col("confidence") == 0.0)).alias("as_blank")).withColumn(
+            "source_rank", F.col("source_rank").cast("bigint"))
 
 
 # --- streaming ---------------------------------------------------------------------------------------------
@@ -599,9 +685,10 @@ def stream_score(spark, sf):
     """Keyword report of documents read as a stream, flattened."""
     schema = spark.read.parquet(f"{sf}/documents.parquet").schema
     docs = (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+            .select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism)
             .select("doc_id", derive.clause_text(F.col("doc_id"), F.col("text")).alias("text")))
     path = scratch_dir(spark, "stream")
-    reports = streaming.stream_report(docs, KEYWORD, partitions=spark.sparkContext.defaultParallelism)
+    reports = streaming.stream_report(docs, KEYWORD)
     nested = streaming.run_to_table(reports, f"{path}/out", f"{path}/state")
     return _flat_report(nested)
 
@@ -613,5 +700,5 @@ def stream_severity_windows(spark, sf):
               .select(F.col("ts").cast("timestamp").alias("ts"), derive.fragment(F.col("event_id") * 17).alias("sentence")))
     path = scratch_dir(spark, "windows")
     windows = streaming.stream_severity_windows(events, KEYWORD)
-    out = streaming.run_to_table(windows, f"{path}/out", f"{path}/state")
+    out = streaming.run_updates_to_table(windows, f"{path}/out", f"{path}/state", ("window_start", "severity"), "n")
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
