@@ -48,20 +48,43 @@ def merge_corpora(sources: list) -> DataFrame:
 
 
 def _order(order: tuple) -> Column:
-    return F.struct(*order)
+    """The order columns, (seq) or (source_rank, seq), as one number: an aggregation keeps it in place.
+
+    A rank has up to 7 digits and a position up to 30.
+    """
+    seq = F.col(order[-1]).cast("decimal(30,0)")
+    if len(order) == 1:
+        return seq.cast("decimal(38,0)")
+    rank = order[0]
+    wide = F.lit("1" + "0" * 30).cast("decimal(31,0)")
+    return (F.col(rank).cast("decimal(7,0)") * wide + seq).cast("decimal(38,0)")
+
+
+def _key_hash(key: str) -> tuple:
+    """A 128-bit stand-in for a text key, so that aggregations move and compare numbers."""
+    return F.xxhash64(F.col(key)).alias("_k1"), F.xxhash64(F.col(key), F.lit(1)).alias("_k2")
+
+
+def _rows_at(df: DataFrame, best: DataFrame, order: tuple) -> DataFrame:
+    """The rows of `df` at the orders that `best` holds in its column `_o`."""
+    return df.join(best.select("_o"), _order(order) == F.col("_o"), "left_semi")
 
 
 def dedup_first(df: DataFrame, key: str = "sentence", order: tuple = ORDER) -> DataFrame:
-    """First-seen row per key. Copies collapse map-side, so a text that fills a third
-    of the corpus still sends one row per task."""
+    """First-seen row per key.
+
+    The order columns are fixed-width and name one row. The first order of each key is found
+    over hashes and numbers, with map-side combine, so a text that fills a third of the corpus
+    sends one row per task; the texts move once, to meet the orders that won.
+    """
+    best = df.groupBy(*_key_hash(key)).agg(F.min(_order(order)).alias("_o"))
     rest = [c for c in df.columns if c != key]
-    best = df.groupBy(key).agg(F.min_by(F.struct(*rest), _order(order)).alias("_r"))
-    return best.select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    return _rows_at(df, best, order).select(key, *rest)
 
 
 def distinct_pairs(df: DataFrame, key: str = "sentence", label: str = "label", order: tuple = ORDER) -> DataFrame:
     """Distinct (key, label) with the order of their first occurrence."""
-    pairs = df.groupBy(key, label).agg(F.min(_order(order)).alias("_o"))
+    pairs = df.groupBy(key, label).agg(F.min(F.struct(*order)).alias("_o"))
     return pairs.select(key, label, *[F.col(f"_o.{c}").alias(c) for c in order])
 
 
@@ -77,13 +100,17 @@ def resolve_conflicts(df: DataFrame, strategy: str, none_label: str = NONE_LABEL
     if strategy == "keep_all":
         return distinct_pairs(df, key, label, order)
     if strategy == "prefer_non_none":
-        rank = F.struct((F.col(label) == none_label).alias("benign"), *order)
-        return df.groupBy(key).agg(F.min_by(label, rank).alias(label))
-    if strategy == "majority":
-        counted = df.groupBy(key, label).agg(F.count("*").alias("_n"), F.min(_order(order)).alias("_o"))
-        return counted.groupBy(key).agg(
-            F.min_by(label, F.struct((-F.col("_n")).alias("n"), "_o")).alias(label))
-    raise ValueError(f"Unknown conflict strategy: {strategy}")
+        # The first order among the labels that are not benign, else the first of all.
+        risky = F.when(F.col(label) != none_label, _order(order))
+        best = df.groupBy(*_key_hash(key)).agg(F.min(risky).alias("_a"), F.min(_order(order)).alias("_b"))
+        best = best.select(F.coalesce("_a", "_b").alias("_o"))
+    elif strategy == "majority":
+        counted = df.groupBy(*_key_hash(key), label).agg(F.count("*").alias("_n"), F.min(_order(order)).alias("_o"))
+        most = counted.groupBy("_k1", "_k2").agg(F.max("_n").alias("_n"))
+        best = counted.join(most, ["_k1", "_k2", "_n"]).groupBy("_k1", "_k2").agg(F.min("_o").alias("_o"))
+    else:
+        raise ValueError(f"Unknown conflict strategy: {strategy}")
+    return _rows_at(df, best, order).select(key, label)
 
 
 def label_index(df: DataFrame, label: str = "label") -> DataFrame:

@@ -31,10 +31,10 @@ def _read_csv(spark: SparkSession, path, multi_line: bool) -> DataFrame:
     files = sorted(placed.inputFiles())
     ranks = spark.createDataFrame(list(enumerate(map(_plain, files))), "_rank long, _path string")
     numbered = placed.join(broadcast_if_small(ranks), _plain_column("_file") == F.col("_path"))
-    wide = "decimal(38,0)"
-    seq = (F.col("_rank").cast(wide) * F.lit(10 ** 12).cast("decimal(13,0)") + F.col("_block")).cast(wide)
-    seq = (seq.cast("decimal(26,0)") * F.lit(10 ** 10).cast("decimal(11,0)") + F.col("_row")).cast(wide)
-    return numbered.select(*raw.columns, seq.alias("seq"))
+    # 8 digits for the file, 12 for the block's first byte, 10 for the row.
+    seq = F.col("_rank").cast("decimal(8,0)") * F.lit(10 ** 12).cast("decimal(13,0)") + F.col("_block")
+    seq = seq.cast("decimal(20,0)") * F.lit(10 ** 10).cast("decimal(11,0)") + F.col("_row")
+    return numbered.select(*raw.columns, seq.cast("decimal(30,0)").alias("seq"))
 
 
 def _plain(path: str) -> str:

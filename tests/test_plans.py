@@ -61,3 +61,15 @@ def test_threshold_selection_needs_no_shuffle(spark, sf):
     picked = sampling.balance_cap(rows, 100, ("doc_id", "sent_idx"))
     text = plan(picked)
     assert "Window" not in text and exchanges(text) == 0
+
+
+@pytest.mark.parametrize("name", [
+    "dedup_first", "conflicts_prefer_non_none", "conflicts_majority", "conflicts_majority_deduped"])
+def test_first_seen_rows_need_no_sort_aggregate(spark, sf, name):
+    assert "SortAggregate" not in plan(registry.registry()[name](spark, sf))
+
+
+def test_cascade_joins_move_no_text(spark, sf):
+    text = plan(registry.registry()["cascade_auto"](spark, sf))
+    joins = [line for line in text.splitlines() if re.search(r"Project \[doc_id[^\]]*tier1", line)]
+    assert joins and not any("sentence" in line for line in joins)
