@@ -19,6 +19,7 @@ from pactlens.taxonomy import (
 
 ORDER = ("source_rank", "seq")
 MIN_ANSWER_CHARS = 20
+WIDE = "1" + "0" * 30  # a rank counts so many positions
 
 
 def clean_rows(df: DataFrame, *columns: str) -> DataFrame:
@@ -56,7 +57,7 @@ def _order(order: tuple) -> Column:
     if len(order) == 1:
         return seq.cast("decimal(38,0)")
     rank = order[0]
-    wide = F.lit("1" + "0" * 30).cast("decimal(31,0)")
+    wide = F.lit(WIDE).cast("decimal(31,0)")
     return (F.col(rank).cast("decimal(7,0)") * wide + seq).cast("decimal(38,0)")
 
 
@@ -84,8 +85,13 @@ def dedup_first(df: DataFrame, key: str = "sentence", order: tuple = ORDER) -> D
 
 def distinct_pairs(df: DataFrame, key: str = "sentence", label: str = "label", order: tuple = ORDER) -> DataFrame:
     """Distinct (key, label) with the order of their first occurrence."""
-    pairs = df.groupBy(key, label).agg(F.min(F.struct(*order)).alias("_o"))
-    return pairs.select(key, label, *[F.col(f"_o.{c}").alias(c) for c in order])
+    pairs = df.groupBy(key, label).agg(F.min(_order(order)).alias("_o"))
+    kinds = {c: df.schema[c].dataType for c in order}
+    if len(order) == 1:
+        return pairs.select(key, label, F.col("_o").cast(kinds[order[0]]).alias(order[0]))
+    rank = F.expr(f"_o div {WIDE}")
+    seq = (F.col("_o") - rank.cast("decimal(7,0)") * F.lit(WIDE).cast("decimal(31,0)")).cast("decimal(30,0)")
+    return pairs.select(key, label, rank.cast(kinds[order[0]]).alias(order[0]), seq.cast(kinds[order[1]]).alias(order[1]))
 
 
 def dedup_stats(df: DataFrame, key: str = "sentence") -> DataFrame:
