@@ -84,6 +84,22 @@ ranked AS (
   FROM parts JOIN rules ON (host = rule_host OR suffix(host, '.' || rule_host)) AND prefix(path, rule_path))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
 FROM parts LEFT JOIN (SELECT * FROM ranked WHERE nth = 1) USING (row_id)""",
+    "op6_substring_removal": """WITH b AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (
+  SELECT r, doc_id, unnest(range(0, length(h) // 2)) AS i,
+         unnest(list_transform(range(0, length(h) // 2), lambda k: substr(h, 2 * k + 1, 2))) AS x,
+         unnest(list_transform(range(0, length(h) // 2), lambda k:
+           CASE WHEN 2 * k + 200 <= length(h) THEN md5(substr(h, 2 * k + 1, 200)) END)) AS g FROM b),
+f AS (SELECT *, g IS NOT NULL AND (doc_id, i) <> min((doc_id, i)) OVER (PARTITION BY g) AS again FROM w),
+c AS (SELECT *, bool_or(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM f),
+s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS begins FROM c),
+d AS (
+  SELECT r, count_if(gone) AS n_removed, count_if(begins) AS n_spans,
+         string_agg(CASE WHEN gone THEN '' ELSE x END, '' ORDER BY i) AS kept FROM s GROUP BY r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM b LEFT JOIN d USING (r)""",
     "op10_quality_rules": f"""WITH base AS (
   SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS t, {_words("text")} AS w FROM documents),
 metrics AS (
