@@ -128,5 +128,5 @@ class Filter:
 def groups(stored: DataFrame, segments: int, words: int = WORDS, group: int = GROUP_SEGMENTS) -> Iterator[Filter]:
     """The stored filter piece by piece; each holds at most `group` segments."""
     for low in range(0, segments, group):
-        part = stored.filter((F.col("seg") >= low) & (F.col("seg") < low + group)).collect()
-        yield Filter.of({r["seg"]: bytes(r["bits"]) for r in part}, segments, words)
+        part = stored.filter((F.col("seg") >= low) & (F.col("seg") < low + group)).toArrow()
+        yield Filter.of(dict(zip(part.column("seg").to_pylist(), part.column("bits").to_pylist())), segments, words)

@@ -19,9 +19,9 @@ from pactlens.llm import bloom
 from pactlens.llm.words import mix, pieces
 from pactlens.sources.scratch import store
 
-HOT_WORDS = 1 << 18          # commonest words whose exact counts are broadcast; the others are joined
-FLUSH_TOKENS = 4_000_000     # tokens a task counts before it hands on its sums
-MUS = (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0, 1e5, 1e7)
+HOT_WORDS = 1 << 17          # commonest words whose exact counts are broadcast; the others are joined
+FLUSH_TOKENS = 1_000_000     # tokens a task counts before it hands on its sums
+MUS = (1.0, 8.0, 64.0, 512.0, 4096.0, 1e5, 1e7)
 END = ""                     # the end token; no word is empty
 
 _END_HASH = np.uint64(0x51ED270B7F4A7C15)
@@ -49,27 +49,27 @@ def _sums(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, n): token counts of a task's texts, the end token once a text."""
-    counts: dict[int, list] = {}
-    texts = tokens = 0
+    parts: list[tuple] = []
+    texts = waiting = 0
 
     def flush() -> pa.RecordBatch:
+        hashes, counts = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in (0, 1))
+        names = pa.concat_arrays([p[2] for p in parts]) if parts else pa.array([], pa.string())
+        _, first, where = np.unique(hashes, return_index=True, return_inverse=True)
+        sums = np.bincount(where, weights=counts, minlength=len(first)).astype(np.int64)
         return pa.RecordBatch.from_arrays(
-            [pa.array([w for w, _ in counts.values()] + [END]), pa.array([n for _, n in counts.values()] + [texts])], ["word", "n"])
+            [pa.concat_arrays([names.take(pa.array(first)), pa.array([END])]), pa.array(np.append(sums, texts))], ["word", "n"])
 
     for batch in batches:
         texts += batch.num_rows
         for piece in pieces(batch.column(0)):
-            tokens += len(piece.row)
             hashes, first, n = np.unique(piece.hashes(), return_index=True, return_counts=True)
-            for h, i, c in zip(hashes.tolist(), first.tolist(), n.tolist()):
-                if h in counts:
-                    counts[h][1] += c
-                else:
-                    counts[h] = [piece.text(i), c]
-            if tokens >= FLUSH_TOKENS:
+            parts.append((hashes, n, piece.texts(first)))
+            waiting += len(piece.row)
+            if waiting >= FLUSH_TOKENS:
                 yield flush()
-                counts, texts, tokens = {}, 0, 0
-    if texts:
+                parts, texts, waiting = [], 0, 0
+    if texts or parts:
         yield flush()
 
 
@@ -119,73 +119,106 @@ def count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _token_levels(column: pa.Array, filters: bloom.Filter) -> Iterator[tuple]:
+    """(piece, hashes, row, levels) by piece; levels are (token's, pair's), 0 where not found."""
+    carry = np.zeros(0, dtype=np.uint64)
+    for piece in pieces(column):
+        hashes = piece.hashes()
+        row, before, token, carry = token_pairs(piece, carry, hashes)
+        unique, where = np.unique(token, return_inverse=True)
+        one = filters.levels(unigram_keys(unique))[where]
+        yield piece, hashes, row, np.stack((one, filters.levels(pair_keys(before, token))), axis=1)
+
+
 def _probe(part):
-    """Task function: fill in the levels of the tokens whose segments are in the group."""
+    """Task function: note the levels of the tokens whose segments are in the group, beside those noted before."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = bloom.Filter(*part.value)
         for batch in batches:
-            found: list[list[bytes]] = [[] for _ in range(batch.num_rows)]
-            carry = np.zeros(0, dtype=np.uint64)
-            for piece in pieces(batch.column(0)):
-                row, before, token, carry = token_pairs(piece, carry, piece.hashes())
-                unique, where = np.unique(token, return_inverse=True)
-                one = filters.levels(unigram_keys(unique))[where]
-                two = filters.levels(pair_keys(before, token))
-                cut = np.searchsorted(row, np.arange(piece.first, piece.last + 2))
-                both = np.stack((one, two), axis=1)
-                for r in range(piece.first, piece.last + 1):
-                    found[r].append(both[cut[r - piece.first]:cut[r - piece.first + 1]].tobytes())
-            got = [b"".join(x) for x in found]
-            old = batch.column("levels").to_pylist()
-            merged = [new if was is None else np.maximum(np.frombuffer(new, np.uint8), np.frombuffer(was, np.uint8)).tobytes()
-                      for new, was in zip(got, old)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(merged, pa.binary())], batch.schema.names)
+            rows, parts = [], []
+            for _, _, row, levels in _token_levels(batch.column(0), filters):
+                rows.append(row)
+                parts.append(levels)
+            row, levels, noted = np.concatenate(rows), np.concatenate(parts), _noted(batch)
+            if noted is not None:
+                levels = np.maximum(levels, noted)  # each key is found in one group alone
+            cut = np.searchsorted(row, np.arange(batch.num_rows + 1)) * 2
+            column = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(levels.tobytes())])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column], batch.schema.names)
     return run
 
 
-def _score(hot, train_tokens: int, texts: int, singles: int):
-    """Task function: (key, held_out, texts' figures, rare words) from texts with their levels."""
+def _noted(batch: pa.RecordBatch) -> np.ndarray | None:
+    """Levels that earlier passes noted, of all rows in order; None in the first pass."""
+    noted = batch.column("levels")
+    if noted.null_count:
+        return None
+    return np.frombuffer(b"".join(noted.to_pylist()), dtype=np.uint8).reshape(-1, 2)
+
+
+def score_tables(train_tokens: int, texts: int, singles: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """log10 P and its leave-one-out form for each mu by (token's level, former token's, pair's).
+
+    The former token's level `top` stands for the start of a text, seen once a text.
+    """
+    top = int(bloom.levels(np.array([max(train_tokens, 1)]))[0]) + 2
+    value = bloom.level_value(top)[:top]
+    c1, cv, c2 = np.meshgrid(value, np.append(value, texts), value, indexing="ij")
+    c2 = np.minimum(np.minimum(c2, c1), cv)
+    unknown = min(0.5, max(singles, 1) / max(train_tokens, 1))
+    p1 = np.where(c1 > 0, (1 - unknown) * c1 / max(train_tokens, 1), unknown)
+    model = [np.log10((c2 + mu * p1) / (cv + mu)).ravel() for mu in MUS]
+    loo = [np.log10((np.maximum(c2 - 1, 0) + mu * p1) / (np.maximum(cv - 1, 0) + mu)).ravel() for mu in MUS]
+    return top, np.array(model), np.array(loo)
+
+
+def _score(part, hot, tables):
+    """Task function: the figures and the rare words of each text, with the last group of the filter."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters = bloom.Filter(*part.value)
         hot_hash, hot_log = hot.value
-        value = bloom.level_value()
-        unknown = min(0.5, max(singles, 1) / max(train_tokens, 1))
+        top, model_table, loo_table = tables.value
         for batch in batches:
             n = batch.num_rows
             tokens, known, logs = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
-            rare: list[dict] = [{} for _ in range(n)]
-            for piece in pieces(batch.column(0)):
-                hashes, first, where = np.unique(piece.hashes(), return_index=True, return_inverse=True)
-                at = np.minimum(np.searchsorted(hot_hash, hashes), len(hot_hash) - 1)
-                is_hot = hot_hash[at] == hashes if len(hot_hash) else np.zeros(len(hashes), bool)
-                log = np.where(is_hot, hot_log[at], 0.0) if len(hot_hash) else np.zeros(len(hashes))
-                here = piece.row - piece.first
-                rows = piece.last - piece.first + 1
+            model, loo = np.zeros((n, len(MUS))), np.zeros((n, len(MUS)))
+            rare, noted, seen, goes_on, last_level = [], _noted(batch), 0, False, 0
+            for piece, all_hashes, row, levels in _token_levels(batch.column(0), filters):
+                if noted is not None:
+                    levels = np.maximum(levels, noted[seen:seen + len(levels)])
+                seen += len(levels)
+                levels = levels.astype(np.int64)
+                if len(row):
+                    begin = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+                    former = np.concatenate(([last_level], levels[:-1, 0]))
+                    former[begin[int(goes_on):]] = top
+                    at = (levels[:, 0] * (top + 1) + former) * top + levels[:, 1]
+                    for k in range(len(MUS)):
+                        model[row[begin], k] += np.add.reduceat(model_table[k][at], begin)
+                        loo[row[begin], k] += np.add.reduceat(loo_table[k][at], begin)
+                    last_level = levels[-1, 0]
+                    goes_on = piece.goes_on
+                hashes, first, where = np.unique(all_hashes, return_index=True, return_inverse=True)
+                is_hot, log = np.zeros(len(hashes), bool), np.zeros(len(hashes))
+                if len(hot_hash):
+                    at = np.minimum(np.searchsorted(hot_hash, hashes), len(hot_hash) - 1)
+                    is_hot = hot_hash[at] == hashes
+                    log = np.where(is_hot, hot_log[at], 0.0)
+                here, count = piece.row - piece.first, piece.last - piece.first + 1
                 span = slice(piece.first, piece.last + 1)
-                tokens[span] += np.bincount(here, minlength=rows)
-                known[span] += np.bincount(here, weights=is_hot[where], minlength=rows).astype(np.int64)
-                logs[span] += np.bincount(here, weights=log[where], minlength=rows)
+                tokens[span] += np.bincount(here, minlength=count)
+                known[span] += np.bincount(here, weights=is_hot[where], minlength=count).astype(np.int64)
+                logs[span] += np.bincount(here, weights=log[where], minlength=count)
                 cold = np.flatnonzero(~is_hot[where])
                 pairs, times = np.unique(piece.row[cold] * len(hashes) + where[cold], return_counts=True)
-                for p, c in zip(pairs.tolist(), times.tolist()):
-                    word, r = piece.text(first[p % len(hashes)]), p // len(hashes)
-                    rare[r][word] = rare[r].get(word, 0) + c
-            model, loo = np.zeros((n, len(MUS))), np.zeros((n, len(MUS)))
-            levels = batch.column("levels").to_pylist()
+                if len(pairs):
+                    rare.append((pairs // len(hashes), piece.texts(first[pairs % len(hashes)]), times))
             train = ~np.asarray(batch.column("held_out").to_numpy(zero_copy_only=False), dtype=bool)
-            for r in range(n):
-                pair = np.frombuffer(levels[r], np.uint8).reshape(-1, 2)
-                c1 = value[pair[:, 0]]
-                cv = np.concatenate(([texts], c1[:-1]))
-                c2 = np.minimum(np.minimum(value[pair[:, 1]], c1), cv)
-                p1 = np.where(c1 > 0, (1 - unknown) * c1 / max(train_tokens, 1), unknown)
-                for k, mu in enumerate(MUS):
-                    model[r, k] = np.log10((c2 + mu * p1) / (cv + mu)).sum()
-                    if train[r]:
-                        loo[r, k] = np.log10((np.maximum(c2 - 1, 0) + mu * p1) / (np.maximum(cv - 1, 0) + mu)).sum()
-            ends = np.fromiter((len(x) for x in rare), np.int64, n)
-            offsets = pa.array(np.concatenate(([0], np.cumsum(ends))).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array([w for x in rare for w in x], pa.string())),
-                     pa.ListArray.from_arrays(offsets, pa.array([c for x in rare for c in x.values()], pa.int64()))]
+            loo *= train[:, None]
+            counts = np.bincount(np.concatenate([r for r, _, _ in rare]), minlength=n) if rare else np.zeros(n, np.int64)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.concat_arrays([w for _, w, _ in rare]) if rare else pa.array([], pa.string())),
+                     pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([t for _, _, t in rare]) if rare else [], pa.int64()))]
             flat = pa.array(np.arange(0, n * len(MUS) + 1, len(MUS), dtype=np.int32))
             scores = [pa.ListArray.from_arrays(flat, pa.array(m.ravel())) for m in (model, loo)]
             yield pa.RecordBatch.from_arrays(
@@ -195,6 +228,14 @@ def _score(hot, train_tokens: int, texts: int, singles: int):
     return run
 
 
+def _hot_table(hot: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, log10(n + 1)) of (word, n) rows, by hash."""
+    joined = " ".join(hot.column("word").to_pylist())
+    hashes = np.concatenate([np.zeros(0, np.uint64)] + [p.hashes() for p in pieces(pa.array([joined]))])
+    order = np.argsort(hashes)
+    return hashes[order], np.log10(hot.column("n").to_numpy() + 1.0)[order]
+
+
 def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", group: int = bloom.GROUP_SEGMENTS,
                 words: int = bloom.WORDS, hot_words: int = HOT_WORDS) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score, mu of every row.
@@ -218,18 +259,18 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", group:
     rows = source.select(
         "text", "key", F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")))).alias("same"),
         held_out(F.col("key")).alias("held_out"), F.lit(None).cast("binary").alias("levels"))
-    for i, part in enumerate(bloom.groups(stored, segments, words, group)):
-        if i:
-            rows = store(rows, "levels")  # the former group's levels; its broadcast can go
-        rows = rows.mapInArrow(_probe(spark.sparkContext.broadcast(part.plain())), rows.schema)
-
-    hot = vocabulary.filter(F.col("word") != END).orderBy(F.desc("n"), "word").limit(hot_words).collect()
-    hashes = np.concatenate([p.hashes() for p in pieces(pa.array([" ".join(r["word"] for r in hot)]))]) if hot else np.zeros(0, np.uint64)
-    order = np.argsort(hashes)
-    table = (hashes[order], np.log10(np.array([r["n"] + 1 for r in hot], dtype=float))[order])
+    hot = vocabulary.filter(F.col("word") != END).orderBy(F.desc("n"), "word").limit(hot_words).toArrow()
+    table = spark.sparkContext.broadcast(_hot_table(hot))
+    tables = spark.sparkContext.broadcast(score_tables(total, texts, singles))
     schema = (f"key {docs.schema[key].dataType.simpleString()}, same long, held_out boolean, n_tokens long, n_known long, logs double, "
               "rare array<string>, times array<long>, model array<double>, loo array<double>")
-    scored = store(rows.mapInArrow(_score(spark.sparkContext.broadcast(table), total, texts, singles), schema), "scored")
+    last = -(-segments // group) - 1
+    for i, part in enumerate(bloom.groups(stored, segments, words, group)):
+        shared = spark.sparkContext.broadcast(part.plain())
+        if i < last:
+            rows = store(rows.mapInArrow(_probe(shared), rows.schema), "levels")
+            shared.destroy()
+    scored = store(rows.mapInArrow(_score(shared, table, tables), schema), "scored")
 
     # Words beyond the broadcast ones: one row a text and word; equal rows are summed together and shared out again.
     per = (scored.select("same", F.explode(F.arrays_zip("rare", "times")).alias("x"))
