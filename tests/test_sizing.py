@@ -47,20 +47,20 @@ def test_hold_keeps_filters_above(spark):
     assert held.count() == spark.range(10).filter("md5(cast(id as string)) > '5' AND md5(cast(id as string)) < 'f'").count()
 
 
-def fake_session(settings, master):
+def fake_session(settings, chosen=None):
     """The parts of a session that choose the scratch folder; the real setting is static."""
     conf = SimpleNamespace(get=lambda key, default=None: settings.get(key, default))
-    context = SimpleNamespace(master=master, getConf=lambda: conf)
+    context = SimpleNamespace(getConf=lambda: conf, getCheckpointDir=lambda: chosen)
     return SimpleNamespace(conf=conf, sparkContext=context)
 
 
 def test_scratch_follows_the_session():
-    cluster = fake_session({"spark.checkpoint.dir": "hdfs:///shared/"}, "yarn")
+    cluster = fake_session({"spark.checkpoint.dir": "hdfs:///shared/"})
     path = scratch_dir(cluster, "x")
     assert path.startswith("hdfs:///shared/x-") and scratch_dir(cluster, "x") != path
     with pytest.raises(RuntimeError):
-        scratch_dir(fake_session({}, "yarn"), "x")
-    assert scratch_dir(fake_session({}, "local[2]"), "x").startswith("/")
+        scratch_dir(fake_session({}), "x")
+    assert scratch_dir(fake_session({}, "hdfs:///chosen/abc"), "x").startswith("hdfs:///chosen/abc/x-")
 
 
 def test_store_keeps_rows_and_types(spark):
