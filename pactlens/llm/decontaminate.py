@@ -112,7 +112,7 @@ def _aligned(source: DataFrame, hits: DataFrame, windows: DataFrame, width: int)
     spans = held.select("key", F.inline("parts"))
     table = windows.withColumnRenamed("h", "_h")
     both = spans.join(table, (F.col("h") == F.col("_h")) & (F.col("tpl") == F.col("itemplate")))
-    both = both.withColumn("shift", F.col("pos") - F.col("ipos"))
+    both = store(both.select("key", "item", "itemplate", "iraw", "raw", (F.col("pos") - F.col("ipos")).alias("shift")), "spans")
     slots = (both.select("key", "item", "shift", F.posexplode(F.arrays_zip("itemplate", "iraw", "raw")).alias("_i", "s"))
              .filter(F.col("s.itemplate").rlike(f"[{NUMBER}-{UNIT}]"))
              .groupBy("key", "item", "shift", F.col("s.iraw").alias("theirs"), F.col("s.raw").alias("ours")).agg(F.count("*").alias("n")))
