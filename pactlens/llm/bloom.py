@@ -129,4 +129,13 @@ def groups(stored: DataFrame, segments: int, words: int = WORDS, group: int = GR
     """The stored filter piece by piece; each holds at most `group` segments."""
     for low in range(0, segments, group):
         part = stored.filter((F.col("seg") >= low) & (F.col("seg") < low + group)).toArrow()
-        yield Filter.of(dict(zip(part.column("seg").to_pylist(), part.column("bits").to_pylist())), segments, words)
+        slot = np.full(segments, -1, dtype=np.int64)
+        slot[part.column("seg").to_numpy()] = np.arange(part.num_rows)
+        bits = np.empty(part.num_rows * words, dtype=np.uint64)
+        at = 0
+        for chunk in part.column("bits").chunks:  # copied once, straight from the batches
+            for value in chunk:
+                bits[at:at + words] = np.frombuffer(value.as_buffer(), dtype=np.uint64)
+                at += words
+        del part
+        yield Filter(slot, bits, segments, words)

@@ -267,6 +267,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", group:
     last = -(-segments // group) - 1
     for i, part in enumerate(bloom.groups(stored, segments, words, group)):
         shared = spark.sparkContext.broadcast(part.plain())
+        del part
         if i < last:
             rows = store(rows.mapInArrow(_probe(shared), rows.schema), "levels")
             shared.destroy()

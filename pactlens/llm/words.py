@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
 
-PIECE = 1 << 20  # bytes tokenised at once
+PIECE = 1 << 18  # bytes tokenised at once
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -118,7 +118,7 @@ def pieces(column: pa.Array, size: int = PIECE) -> Iterator[Words]:
 def _cut(flat: np.ndarray, begin: int, end: int, size: int) -> int:
     """A place at or after begin + size where a line or at least a word has ended, else the end."""
     at = begin + size
-    line = np.flatnonzero(flat[at:min(end, at + (PIECE >> 4))] == 10)
+    line = np.flatnonzero(flat[at:min(end, at + (PIECE >> 2))] == 10)
     if len(line):
         return at + int(line[0])
     while at < end:
