@@ -82,11 +82,18 @@ def fill_segments(keys: np.ndarray, counts: np.ndarray, segments: int, words: in
 def build(rows: DataFrame, segments: int, words: int = WORDS) -> DataFrame:
     """(seg, bits) from rows (h long, n long): one task gathers about one segment's keys."""
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if parts:
+        held: dict[int, list] = {}
+        for batch in batches:
+            keys, counts = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            own = segment_of(keys, segments)
+            for s in np.unique(own):
+                held.setdefault(int(s), []).append((keys[own == s], counts[own == s]))
+        while held:  # a task may get a few segments; each is filled on its own
+            seg, parts = held.popitem()
             keys, counts = (np.concatenate(x) for x in zip(*parts))
-            for seg, bits in fill_segments(keys, counts, segments, words).items():
-                yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([bits.tobytes()])], ["seg", "bits"])
+            del parts
+            bits = fill_segments(keys, counts, segments, words)[seg]
+            yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([bits.tobytes()])], ["seg", "bits"])
 
     seg = F.shiftrightunsigned("h", 33) % F.lit(segments)
     return rows.select("h", "n").repartition(segments, seg).mapInArrow(reduce, "seg int, bits binary")
