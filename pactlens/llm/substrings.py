@@ -17,6 +17,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from pactlens.sources.scratch import store
 
 LENGTH = 100
 GRAM = 24                  # bytes of an anchor
-BUCKET_BYTES = 1 << 20     # text that one index holds
+BUCKET_BYTES = 1 << 19     # text that one index holds
 HOT_CONTEXTS = 4_096       # contexts of one anchor beyond which its windows are compared one by one
 _POSITION = 21             # bits of a place within a piece
 _OPEN = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -68,7 +69,7 @@ def _piece_anchors(flat: np.ndarray, row: np.ndarray, length: int, gram: int):
     start = np.flatnonzero(new)
     if not len(start):
         return None
-    stop = np.concatenate(([True], ~valid))  # a run ends before the next start or the next invalid window
+    # A run ends before the next start or the next invalid window.
     ends = np.flatnonzero(np.concatenate((new[1:] | ~valid[1:], [True])) & valid)
     p = place[start]
     context = mix((total[ends + length] - total[start]) * down[start] + mix((p - start).astype(np.uint64) * _OPEN + (ends - start).astype(np.uint64)))
@@ -78,14 +79,17 @@ def _piece_anchors(flat: np.ndarray, row: np.ndarray, length: int, gram: int):
 def text_anchors(column: pa.Array, length: int = LENGTH, gram: int = GRAM, size: int = PIECE) -> tuple[Anchors, np.ndarray, np.ndarray]:
     """The anchors of all rows, with the bytes and row offsets. Texts longer than a piece overlap by length - 1."""
     flat, offsets = utf8(column)
-    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)).astype(np.int32)
     parts = []
     for low in range(0, max(1, len(flat)), size):
         high = min(len(flat), low + size + length - 1)
-        got = _piece_anchors(flat[low:high], rows[low:high], length, gram)
+        first = max(0, int(np.searchsorted(offsets, low, "right")) - 1)
+        last = int(np.searchsorted(offsets, high, "left"))
+        borders = np.clip(offsets[first:last + 1], low, high)
+        rows = np.repeat(np.arange(first, first + len(borders) - 1, dtype=np.int32), np.diff(borders))
+        got = _piece_anchors(flat[low:high], rows, length, gram)
         if got is not None:
             start, last, anchor, context = got
-            r = rows[low + start]
+            r = rows[start]
             parts.append((r, anchor, context, low + start - offsets[r], low + last - offsets[r]))
     if parts:
         row, anchor, context, start, last = (np.concatenate(x) for x in zip(*parts))
@@ -114,14 +118,15 @@ def _first_pass(batches: Iterator[pa.RecordBatch], length: int, gram: int):
             ["anchor", "context", "key", "again"])
 
 
-def _second_pass(repeated, mixed, length: int, gram: int):
+def _second_pass(repeated, length: int, gram: int):
     """(anchor, context, key, tag, start, last, again, bytes) of anchors in the filter; bytes where contexts may differ."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, differing = bloom.Filter(*repeated.value), bloom.Filter(*mixed.value)
+        known = bloom.Filter(*repeated.value)
         for batch in batches:
             a, flat, offsets = text_anchors(batch.column(0), length, gram)
-            pick = np.flatnonzero(known.levels(a.anchor) > 0)
-            differs = differing.levels(a.anchor[pick]) > 0
+            levels = known.levels(a.anchor)
+            pick = np.flatnonzero(levels > 0)
+            differs = levels[pick] > 1
             begin = (offsets[a.row[pick]] + a.start[pick]).tolist()
             end = (offsets[a.row[pick]] + a.last[pick] + length).tolist()
             texts = [flat[b:e].tobytes() if d else None for b, e, d in zip(begin, end, differs.tolist())]
@@ -216,6 +221,8 @@ def _buckets(batches: Iterator[pa.RecordBatch], length: int, most: int):
         schema = batch.schema
         columns = [batch.column(c).to_pylist() for c in ("anchor", "key", "tag", "start", "last", "bytes")]
         for anchor, key, tag, start, last, text in zip(*columns):
+            if held and anchor == open_anchor and held[-1][:3] == (key, tag, start):
+                continue  # the same row of the table again
             if anchor != open_anchor and size >= most:
                 out = settle()
                 if out is not None:
@@ -250,38 +257,63 @@ def _single_windows(batches: Iterator[pa.RecordBatch], length: int):
                 ["anchor", "key", "tag", "start"])
 
 
+def _settle(with_spans, with_kept: bool):
+    """(text, key, tag, then the result) of every row: complete, without its text, where the text surely has no span."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = bloom.Filter(*with_spans.value)
+        for batch in batches:
+            flat, offsets = utf8(batch.column("text"))
+            opened = known.levels(batch.column("tag").to_numpy().view(np.uint64)) > 0
+            spans: list = [None] * batch.num_rows
+            result = _covered(flat, offsets, spans, with_kept, ~opened)
+            mask = pa.array(opened)
+            text = pc.if_else(mask, batch.column("text"), pa.scalar(None, batch.column("text").type))
+            yield pa.RecordBatch.from_arrays([text, batch.column("key"), batch.column("tag"), *result], [
+                "text", "key", "tag", *_RESULT[:len(result)]])
+    return run
+
+
+_RESULT = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+
+
+def _covered(flat: np.ndarray, offsets: np.ndarray, spans: list, with_kept: bool, wanted: np.ndarray) -> list[pa.Array]:
+    """The result columns of the wanted rows, NULL in the others."""
+    rows: list[tuple] = []
+    for r, own in enumerate(spans):
+        if not wanted[r]:
+            rows.append((None, None, None, None, None))
+            continue
+        data = flat[offsets[r]:offsets[r + 1]]
+        size, removed, runs = len(data), 0, 0
+        if own:
+            edge = np.zeros(size + 1, dtype=np.int64)
+            np.add.at(edge, [s["begin"] for s in own], 1)
+            np.add.at(edge, [s["end"] for s in own], -1)
+            gone = np.cumsum(edge[:-1]) > 0
+            removed, runs = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+            data = data[~gone]
+        kept = data.tobytes()
+        rows.append((size, removed, runs, hashlib.sha256(kept).hexdigest(), kept if with_kept else None))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+    columns = list(zip(*rows)) if rows else [()] * 5
+    return [pa.array(c, k) for c, k in zip(columns, kinds)][:4 + with_kept]
+
+
 def _cover(batches: Iterator[pa.RecordBatch], with_kept: bool):
+    """Complete the rows that still have their text, with their spans."""
     for batch in batches:
-        flat, offsets = utf8(batch.column(0))
-        n_removed, n_spans, digests, kept_bytes = [], [], [], []
-        for r, spans in enumerate(batch.column("spans").to_pylist()):
-            data = flat[offsets[r]:offsets[r + 1]]
-            if spans:
-                edge = np.zeros(len(data) + 1, dtype=np.int64)
-                np.add.at(edge, [s["begin"] for s in spans], 1)
-                np.add.at(edge, [s["end"] for s in spans], -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                n_removed.append(int(gone.sum()))
-                n_spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-                data = data[~gone]
-            else:
-                n_removed.append(0)
-                n_spans.append(0)
-            kept = data.tobytes()
-            digests.append(hashlib.sha256(kept).hexdigest())
-            kept_bytes.append(kept)
-        columns = [batch.column("key"), pa.array(np.diff(offsets)), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string())]
-        names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-        if with_kept:
-            columns.append(pa.array(kept_bytes, pa.binary()))
-            names.append("kept")
-        yield pa.RecordBatch.from_arrays(columns, names)
-
-
-def _filter_of(keys: DataFrame, group: int = bloom.GROUP_SEGMENTS):
-    """(segments, stored filter) of a long column `h`; every key has the count one."""
+        flat, offsets = utf8(batch.column("text"))
+        waiting = ~np.asarray(batch.column("n_bytes").is_valid().to_numpy(zero_copy_only=False))
+        fresh = _covered(flat, offsets, batch.column("spans").to_pylist(), with_kept, waiting)
+        mask = pa.array(waiting)
+        columns = [pc.if_else(mask, new, batch.column(name)) for name, new in zip(_RESULT, fresh)]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), *columns], ["key", *_RESULT[:len(columns)]])
+
+
+def _filter_of(keys: DataFrame) -> tuple[int, DataFrame]:
+    """(segments, stored filter) of rows (h long, n long), n at most 2."""
     segments = bloom.segment_count(2 * keys.count())
-    return segments, store(bloom.build(keys.withColumn("n", F.lit(1).cast("bigint")), segments), "filter")
+    return segments, store(bloom.build(keys, segments), "filter")
 
 
 def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH, gram: int = GRAM,
@@ -290,7 +322,6 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH, g
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     source = docs.select(F.col(text).alias("text"), F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tag"))
-    rank = F.struct(F.col("key").isNotNull().alias("known"), F.col("key").alias("key"))
     first = source.select("text", "key").mapInArrow(
         lambda b: _first_pass(b, length, gram), f"anchor long, context long, key {kind}, again boolean")
     # A NULL key sorts first: `nulls` says that an anchor has one.
@@ -300,19 +331,12 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH, g
         .filter("more OR c1 <> c2 OR NOT (k1 <=> k2)").select(
             "anchor", "k1", "nulls", (F.col("c1") != F.col("c2")).alias("differs")), "anchors")
 
-    segments, stored = _filter_of(table.select(F.col("anchor").alias("h")))
-    marks, marked = _filter_of(table.filter("differs").select(F.col("anchor").alias("h")))
-    parts = []
-    for known in bloom.groups(stored, segments, bloom.WORDS, group):
-        for differing in bloom.groups(marked, marks, bloom.WORDS, group):
-            # A part takes the anchors of one group of segments of each filter.
-            run = _second_pass(spark.sparkContext.broadcast(known.plain()), spark.sparkContext.broadcast(differing.plain()), length, gram)
-            parts.append((run, differing))
-    if len(parts) != 1 and marks > group:
-        raise RuntimeError("filter of differing anchors needs several passes")
+    # Anchors with one context count once, the others twice; each group of segments takes its own pass.
+    segments, stored = _filter_of(table.select(F.col("anchor").alias("h"), F.when(F.col("differs"), 2).otherwise(1).cast("bigint").alias("n")))
     found = None
-    for run, _ in parts:
-        rows = source.mapInArrow(run, f"anchor long, context long, key {kind}, tag long, start long, last long, again boolean, bytes binary")
+    for known in bloom.groups(stored, segments, bloom.WORDS, group):
+        rows = source.mapInArrow(_second_pass(spark.sparkContext.broadcast(known.plain()), length, gram), (
+            f"anchor long, context long, key {kind}, tag long, start long, last long, again boolean, bytes binary"))
         found = rows if found is None else found.unionByName(rows)
     found = store(found.join(table, "anchor"), "occurrences")
 
@@ -331,7 +355,7 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH, g
     firsts = store(mixed.filter("NOT (again OR (nulls AND key IS NOT NULL) OR (NOT nulls AND key > k1))").join(crowd, "anchor")
                    .select("anchor", "key", "tag", "start", "last", "bytes", "contexts"), "contexts")
     few = firsts.filter(F.col("contexts") <= hot_contexts).drop("contexts")
-    indexed = (few.repartition("anchor").sortWithinPartitions("anchor", "key", "start")
+    indexed = (few.repartition("anchor").sortWithinPartitions("anchor", "key", "start", "tag")
                .mapInArrow(lambda b: _buckets(b, length, bucket_bytes), f"key {kind}, tag long, begin long, end long"))
     spans = spans.unionByName(again).unionByName(indexed)
 
@@ -347,18 +371,26 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH, g
     return spans
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", with_kept: bool = False, **how) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", with_kept: bool = False, group: int = bloom.GROUP_SEGMENTS, **how) -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept_sha256 of every row, and with `with_kept` the bytes kept.
 
     A NULL text is empty; texts shorter than the length keep all; a NULL key comes before all others; rows
-    with one key do not remove from each other, but a row repeats itself as any text does; matches never
-    cross texts; an empty table gives no rows.
+    that are equal do not remove from each other, but a row repeats itself as any text does; matches never
+    cross texts; an empty table gives no rows. Rows of one key with different texts are one document
+    here: either may lose what both hold.
     """
+    spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
-    spans = (repeated_spans(docs, key, text, **how).groupBy(F.col("key").alias("_k"), F.col("tag").alias("_t"))
-             .agg(F.collect_list(F.struct("begin", "end")).alias("spans")))
-    rows = docs.select(F.col(text).alias("text"), F.col(key).alias("key"))
-    tag = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    joined = rows.join(spans, F.col("key").eqNullSafe(F.col("_k")) & (tag == F.col("_t")), "left").select("text", "key", "spans")
-    schema = f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
-    return joined.mapInArrow(lambda b: _cover(b, with_kept), schema).withColumnRenamed("key", key)
+    spans = store(repeated_spans(docs, key, text, group=group, **how).groupBy(F.col("key").alias("_k"), F.col("tag").alias("_t"))
+                  .agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "spans")
+    # Texts without a span, most of them, are settled where they are; the others move to their spans.
+    rows = docs.select(F.col(text).alias("text"), F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tag"))
+    result = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
+    segments, stored = _filter_of(spans.select(F.col("_t").alias("h"), F.lit(1).cast("bigint").alias("n")).distinct())
+    if segments <= group:
+        shared = spark.sparkContext.broadcast(next(bloom.groups(stored, segments)).plain())
+        settled = rows.mapInArrow(_settle(shared, with_kept), f"text string, key {kind}, tag long, {result}")
+    else:  # a filter beyond the bound is not broadcast: every text moves
+        settled = rows.select("*", *[F.lit(None).cast(t).alias(n) for n, t in (c.split() for c in result.split(", "))])
+    joined = settled.join(spans, F.col("key").eqNullSafe(F.col("_k")) & (F.col("tag") == F.col("_t")), "left").drop("tag", "_k", "_t")
+    return joined.mapInArrow(lambda b: _cover(b, with_kept), f"key {kind}, {result}").withColumnRenamed("key", key)

@@ -263,6 +263,11 @@ def test_removed_bytes(spark, table, rows):
     check_removed(table, [(k, t) for k, t, *_ in rows], hot_contexts=2, bucket_bytes=500)
 
 
+def test_removed_bytes_with_several_groups_of_filters(spark, table, rows, monkeypatch):
+    monkeypatch.setattr(bloom, "segment_count", lambda entries, words=bloom.WORDS: 3)
+    check_removed(table, [(k, t) for k, t, *_ in rows], group=2)
+
+
 def test_removed_bytes_of_small_alphabets(spark):
     rng = random.Random(8)
     docs = [(i, "".join(rng.choices("ab", k=rng.randint(0, 160)))) for i in range(60)]
