@@ -1,14 +1,14 @@
 """Benchmark decontamination by template windows, with built-in expressions only.
 
 Numbers, names and units become typed placeholders, so that a question with other parameters has
-the same template. Windows of eight template tokens are hash-joined with the benchmark's; along
-each alignment of a document with an item the slots are compared: one item value must stand
-for one document value, and the other way round.
+the same template. Windows of eight template tokens are hash-joined with the benchmark's. Windows that
+equal the item's always count; of the others each run along an alignment of a text with an item
+counts if one item value stands for one document value throughout.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactlens.llm.words import lower_ascii, words
@@ -71,20 +71,18 @@ def item_windows(items: DataFrame, item: str, text: str, width: int) -> DataFram
 
 
 def _hits(docs: DataFrame, known: DataFrame, width: int) -> DataFrame:
-    """(key, pos, h) of the document windows that the benchmark has."""
-    rows = hold(docs, x=template(F.col("text"))).select("key", F.posexplode(_hashes(F.col("x"), width)).alias("pos", "h"))
-    return rows.join(known, "h", "left_semi").select("key", "pos", "h")
+    """(key, rid, pos, h) of the document windows that the benchmark has."""
+    rows = hold(docs, x=template(F.col("text"))).select("key", "rid", F.posexplode(_hashes(F.col("x"), width)).alias("pos", "h"))
+    return rows.join(known, "h", "left_semi").select("key", "rid", "pos", "h")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
-                 item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(key, item, n_windows, n_changed), one row per document and item it holds a passage of.
+def _rid(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
-    n_windows counts the shared windows of all consistent alignments, n_changed the slots whose
-    value differs along the closest one. NULL texts hold nothing; documents with one key count as one;
-    repeated items each report; empty tables give no rows.
-    """
-    source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+
+def _found(docs: DataFrame, items: DataFrame, key: str, text: str, item: str, item_text: str) -> DataFrame:
+    """(key, rid, item, n_windows, n_changed) of each text; equal rows are one."""
+    source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), _rid(F.col(text)).alias("rid"))
     lengths = [r[0] for r in items.select(F.size(template(F.col(item_text))).alias("n"))
                .filter(f"n BETWEEN {MIN_ITEM} AND {WINDOW - 1}").distinct().collect()]  # at most three
     out = None
@@ -93,44 +91,74 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
         hits = store(_hits(source, broadcast_if_small(windows.select("h").distinct(), BROADCAST_WINDOWS), width), "hits")
         found = _aligned(source, hits, windows, width)
         out = found if out is None else out.unionByName(found)
-    pairs = out.groupBy("key", "item").agg(F.sum("n_windows").alias("n_windows"), F.min("n_changed").alias("n_changed"))
+    return out
+
+
+def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
+                 item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(key, item, n_windows, n_changed), one row per document and item it holds a passage of.
+
+    n_windows counts the shared windows that are verbatim or in a consistent run, n_changed the
+    values that differ along the closest alignment. NULL texts hold nothing; each text of a repeated key is
+    aligned by itself and the key reports their sum, equal rows once; repeated items each report;
+    empty tables give no rows.
+    """
+    pairs = _found(docs, items, key, text, item, item_text).groupBy("key", "item").agg(
+        F.sum("n_windows").alias("n_windows"), F.min("n_changed").alias("n_changed"))
     return pairs.select(F.col("key").alias(key), F.col("item").alias(item), "n_windows", "n_changed")
 
 
 def _aligned(source: DataFrame, hits: DataFrame, windows: DataFrame, width: int) -> DataFrame:
-    """(key, item, n_windows, n_changed) of the consistent alignments.
+    """(key, rid, item, n_windows, n_changed) of the verbatim windows and the consistent runs of changed ones.
 
     The tokens of a hit's window come from its document again: only those with hits are read
     through, once each, with the places of their hits.
     """
-    places = hits.groupBy("key").agg(F.collect_set(F.struct("pos", "h")).alias("places"))
-    held = source.join(places.withColumnRenamed("key", "_k"), F.col("key").eqNullSafe(F.col("_k"))).drop("_k")
+    places = hits.groupBy("key", "rid").agg(F.collect_set(F.struct("pos", "h")).alias("places"))
+    places = places.withColumnRenamed("key", "_k").withColumnRenamed("rid", "_r")
+    held = source.join(places, F.col("key").eqNullSafe(F.col("_k")) & (F.col("rid") == F.col("_r"))).drop("_k", "_r")
     held = hold(held, r=raw_tokens(F.col("text")), x=template(F.col("text"))).drop("text")
     held = hold(held.withColumn("_n", F.size("x")), parts=F.transform("places", lambda p: F.struct(
         p["pos"].alias("pos"), p["h"].alias("h"),
         F.slice(F.col("r"), p["pos"] + 1, width).alias("raw"), F.slice(F.col("x"), p["pos"] + 1, width).alias("tpl"))))
-    spans = held.select("key", F.inline("parts"))
+    spans = held.select("key", "rid", F.inline("parts"))
     table = windows.withColumnRenamed("h", "_h")
     both = spans.join(table, (F.col("h") == F.col("_h")) & (F.col("tpl") == F.col("itemplate")))
-    both = store(both.select("key", "item", "itemplate", "iraw", "raw", (F.col("pos") - F.col("ipos")).alias("shift")), "spans")
-    slots = (both.select("key", "item", "shift", F.posexplode(F.arrays_zip("itemplate", "iraw", "raw")).alias("_i", "s"))
+    line = ("key", "rid", "item", "shift")
+    both = store(both.select("key", "rid", "item", "itemplate", "iraw", "raw", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"))
+                 .dropDuplicates([*line, "ipos"]), "spans")
+    same = both.filter(F.col("iraw") == F.col("raw")).groupBy(*line).agg(F.count("*").alias("n_windows"))
+    # Windows that follow each other are a run: their place less their rank stays the same.
+    nth = F.row_number().over(Window.partitionBy(*line).orderBy("ipos"))
+    changed = both.filter(F.col("iraw") != F.col("raw")).withColumn("run", F.col("ipos") - nth)
+    slots = (changed.select(*line, "run", F.explode(F.arrays_zip("itemplate", "iraw", "raw")).alias("s"))
              .filter(F.col("s.itemplate").rlike(f"[{NUMBER}-{UNIT}]"))
-             .groupBy("key", "item", "shift", F.col("s.iraw").alias("theirs"), F.col("s.raw").alias("ours")).agg(F.count("*").alias("n")))
-    by_theirs = slots.groupBy("key", "item", "shift", "theirs").agg(F.count("*").alias("n"))
-    by_ours = slots.groupBy("key", "item", "shift", "ours").agg(F.count("*").alias("n"))
-    broken = by_theirs.filter("n > 1").select("key", "item", "shift").union(by_ours.filter("n > 1").select("key", "item", "shift"))
-    changed = (slots.filter("theirs <> ours").groupBy("key", "item", "shift").agg(F.count("*").alias("n_changed"), F.lit(0).alias("bad"))
-               .union(broken.distinct().select("key", "item", "shift", F.lit(0).cast("bigint"), F.lit(1)))
-               .groupBy("key", "item", "shift").agg(F.sum("n_changed").alias("n_changed"), F.max("bad").alias("bad")))
-    lines = both.groupBy("key", "item", "shift").agg(F.count("*").alias("n_windows"))
-    c = changed.select(F.col("key").alias("k2"), F.col("item").alias("i2"), F.col("shift").alias("s2"), "n_changed", "bad")
-    joined = lines.join(c, F.col("key").eqNullSafe(F.col("k2")) & F.col("item").eqNullSafe(F.col("i2")) & (F.col("shift") == F.col("s2")), "left")
-    good = joined.filter("coalesce(bad, 0) = 0")
-    return good.groupBy("key", "item").agg(
-        F.sum("n_windows").alias("n_windows"), F.min(F.coalesce("n_changed", F.lit(0))).cast("bigint").alias("n_changed"))
-
-
-def clean_documents(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **names) -> DataFrame:
-    """The rows of `docs` whose key holds no benchmark passage, with their own columns."""
-    bad = contaminated(docs.select(key, text), items, key, text, **names).select(F.col(key).alias("_bad")).distinct()
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("_bad")), "left_anti")
+             .groupBy(*line, "run", F.col("s.iraw").alias("theirs")).agg(F.min("s.raw").alias("low"), F.max("s.raw").alias("high"))
+             .groupBy(*line, "run").agg(F.max((F.col("low") != F.col("high")).cast("int")).alias("bad"),
+                                        F.collect_set(F.when(F.col("theirs") != F.col("low"), F.col("theirs"))).alias("values")))
+    runs = changed.groupBy(*line, "run").agg(F.count("*").alias("n_windows"))
+    good = (runs.join(_renamed(slots, *line, "run"), _equal(*line, "run")).filter("bad = 0")
+            .select(*line, "n_windows", "values"))
+    good = good.unionByName(same.select(*line, "n_windows", F.array().cast("array<string>").alias("values")))
+    lines = good.groupBy(*line).agg(F.sum("n_windows").alias("n_windows"),
+                                    F.size(F.array_distinct(F.flatten(F.collect_list("values")))).cast("bigint").alias("n_changed"))
+    return lines.groupBy("key", "rid", "item").agg(F.sum("n_windows").alias("n_windows"), F.min("n_changed").alias("n_changed"))
+
+
+def _renamed(df: DataFrame, *names: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"_{c}") if c in names else F.col(c) for c in df.columns])
+
+
+def _equal(*names: str) -> Column:
+    out = F.lit(True)
+    for c in names:
+        out = out & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return out
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
+                    item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of `docs` whose text holds no benchmark passage, with their own columns."""
+    bad = _found(docs.select(key, text), items, key, text, item, item_text).select(
+        F.col("key").alias("_bad"), F.col("rid").alias("_bad_rid")).distinct()
+    return docs.join(bad, F.col(key).eqNullSafe(F.col("_bad")) & (_rid(F.col(text)) == F.col("_bad_rid")), "left_anti")

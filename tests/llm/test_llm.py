@@ -194,6 +194,21 @@ def test_templates_and_slots(spark):
     assert set(got) == {(1, 1), (4, 2), (5, 1)} and got[5, 1] == 0 and got[1, 1] == 3
 
 
+def test_conflicting_slots_and_repeated_keys(spark):
+    """Verbatim windows count beside a conflict, values may fall together, texts of one key are apart."""
+    items = spark.createDataFrame([
+        (1, "In the shop Maria buys 12 apples and 30 pears, then she gives 12 apples to her friend at home")], "item_id long, text string")
+    other = "In the shop Petra buys {} apples and {} pears, then she gives {} apples to her friend at home"
+    docs = spark.createDataFrame([
+        (1, "In the shop Maria buys 12 apples and 30 pears, then she gives 13 apples to her friend at home"),
+        (2, other.format(7, 7, 7)), (3, other.format(7, 5, 8)),
+        (None, other.format(7, 5, 7)), (None, other.format(8, 5, 8)), (None, "Nothing of it is in this one")], "doc_id long, text string")
+    got = {r[0]: r[1:] for r in plain(decontaminate.contaminated(docs, items), "doc_id", "n_windows", "n_changed")}
+    assert set(got) == {1, 2, None} and got[1][1] == 1 and got[2][1] == 3 and got[None] == (2 * got[2][0], 3)
+    clean = plain(decontaminate.clean_documents(docs, items), "doc_id", "text")
+    assert sorted(clean, key=str) == sorted([(3, other.format(7, 5, 8)), (None, "Nothing of it is in this one")], key=str)
+
+
 # --- 4: sharding -------------------------------------------------------------------------------
 
 
