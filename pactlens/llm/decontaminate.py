@@ -17,8 +17,8 @@ from pactlens.operators.sizing import broadcast_if_small
 from pactlens.sources.scratch import store
 
 WINDOW = 8
-MIN_LITERALS = 5       # of a window's tokens; of a shorter item's window, five eighths
-MIN_ITEM = 5           # items with fewer tokens tell nothing and are left out
+MIN_LITERALS = 5       # of a template window's tokens, of a shorter item's five eighths; others match verbatim
+MIN_ITEM = 5           # items with fewer tokens match verbatim only
 BROADCAST_WINDOWS = 200_000
 NUMBER, NAME, UNIT = "\x01", "\x02", "\x03"
 UNITS = ("mm", "cm", "m", "km", "in", "ft", "mi", "mg", "g", "kg", "lb", "oz", "ml", "l", "s", "sec", "min", "h", "hr",
@@ -26,6 +26,7 @@ UNITS = ("mm", "cm", "m", "km", "in", "ft", "mi", "mg", "g", "kg", "lb", "oz", "
          "gram", "grams", "pound", "pounds", "liter", "liters", "litre", "litres", "second", "seconds", "minute",
          "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "percent",
          "dollar", "dollars", "cent", "cents", "euro", "euros")
+_PLACES = "array<struct<pos:int,width:int,hs:array<bigint>>>"
 _PUNCTUATION = r"[\p{P}\p{S}]+"
 
 
@@ -47,33 +48,42 @@ def raw_tokens(text: Column) -> Column:
     return words(lower_ascii(F.regexp_replace(t, _PUNCTUATION, "")))
 
 
-def _windows(tokens: Column, width: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.size(tokens) - F.lit(width)),
-                       lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(width)]))
+def _windows(tokens: Column, raw: Column, width: int) -> Column:
+    """The windows' places, width and hashes; where nothing is a slot, the hashes are equal."""
+    return F.transform(F.sequence(F.lit(0), F.size(tokens) - F.lit(width)), lambda i: F.struct(
+        i.alias("pos"), F.lit(width).alias("width"),
+        F.array(F.xxhash64(F.slice(tokens, i + 1, width)), F.xxhash64(F.slice(raw, i + 1, width))).alias("hs")))
 
 
-def _hashes(tokens: Column, width: int) -> Column:
-    return F.when(F.size(tokens) >= width, _windows(tokens, width)).otherwise(F.array().cast("array<bigint>"))
+def item_windows(items: DataFrame, item: str, text: str, widths: list[int]) -> DataFrame:
+    """(h, item, ipos, width, itemplate, iraw, fuzzy): the windows of the items, by template and by raw tokens.
 
-
-def item_windows(items: DataFrame, item: str, text: str, width: int) -> DataFrame:
-    """(h, item, ipos, slots, raw): the windows with enough literal tokens, of items of `width` tokens or more.
-
-    Items shorter than WINDOW have one window, of their own length.
+    Items shorter than WINDOW have one window, of their own length. A template is indexed where enough
+    of it is literal and the item has MIN_ITEM tokens; the raw tokens always are.
     """
     rows = hold(items.select(F.col(item).alias("item"), F.col(text).alias("_t")), x=template(F.col("_t")), r=raw_tokens(F.col("_t")))
-    rows = rows.filter(F.size("x") >= width) if width == WINDOW else rows.filter(F.size("x") == width)
-    rows = rows.select("item", "x", "r", F.posexplode(_hashes(F.col("x"), width)).alias("ipos", "h"))
-    part = F.slice("x", F.col("ipos") + 1, width)
-    literals = F.size(F.filter(part, lambda w: ~w.rlike(f"[{NUMBER}-{UNIT}]")))
-    return rows.filter(literals * 8 >= MIN_LITERALS * width).select(
-        "h", "item", "ipos", part.alias("itemplate"), F.slice("r", F.col("ipos") + 1, width).alias("iraw"))
-
-
-def _hits(docs: DataFrame, known: DataFrame, width: int) -> DataFrame:
-    """(key, rid, pos, h) of the document windows that the benchmark has."""
-    rows = hold(docs, x=template(F.col("text"))).select("key", "rid", F.posexplode(_hashes(F.col("x"), width)).alias("pos", "h"))
-    return rows.join(known, "h", "left_semi").select("key", "rid", "pos", "h")
+    out = None
+    for width in widths:
+        own = rows.filter(F.size("x") >= width) if width == WINDOW else rows.filter(F.size("x") == width)
+        own = own.select("item", F.explode(F.sequence(F.lit(0), F.size("x") - width)).alias("ipos"), "x", "r").select(
+            "item", "ipos", F.lit(width).alias("width"), F.slice("x", F.col("ipos") + 1, width).alias("itemplate"),
+            F.slice("r", F.col("ipos") + 1, width).alias("iraw"))
+        out = own if out is None else out.unionByName(own)
+    literals = F.size(F.filter("itemplate", lambda w: ~w.rlike(f"[{NUMBER}-{UNIT}]")))
+    fuzzy = (F.col("width") >= MIN_ITEM) & (literals * 8 >= MIN_LITERALS * F.col("width"))
+    out = hold(out, fuzzy=fuzzy)
+    keys = F.array_distinct(F.concat(F.array(F.xxhash64("iraw")), F.when(F.col("fuzzy"), F.array(F.xxhash64("itemplate")))
+                                     .otherwise(F.array().cast("array<bigint>"))))
+    return out.select(F.explode(keys).alias("h"), *out.columns)
+
+
+def _hits(docs: DataFrame, known: DataFrame, widths: list[int]) -> DataFrame:
+    """(key, rid, pos, width) of the document windows that the benchmark has, by template or by raw tokens."""
+    rows = hold(docs, x=template(F.col("text")), r=raw_tokens(F.col("text")))
+    kinds = [F.when(F.size("x") >= w, _windows(F.col("x"), F.col("r"), w)).otherwise(F.array().cast(_PLACES)) for w in widths]
+    rows = rows.select("key", "rid", F.inline(F.concat(*kinds) if len(kinds) > 1 else kinds[0]))
+    rows = rows.select("key", "rid", "pos", "width", F.explode(F.array_distinct("hs")).alias("h"))
+    return rows.join(known, "h", "left_semi").select("key", "rid", "pos", "width")
 
 
 def _rid(text: Column) -> Column:
@@ -83,15 +93,12 @@ def _rid(text: Column) -> Column:
 def _found(docs: DataFrame, items: DataFrame, key: str, text: str, item: str, item_text: str) -> DataFrame:
     """(key, rid, item, n_windows, n_changed) of each text; equal rows are one."""
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), _rid(F.col(text)).alias("rid"))
-    lengths = [r[0] for r in items.select(F.size(template(F.col(item_text))).alias("n"))
-               .filter(f"n BETWEEN {MIN_ITEM} AND {WINDOW - 1}").distinct().collect()]  # at most three
-    out = None
-    for width in (WINDOW, *sorted(lengths)):
-        windows = store(item_windows(items, item, item_text, width), "windows")
-        hits = store(_hits(source, broadcast_if_small(windows.select("h").distinct(), BROADCAST_WINDOWS), width), "hits")
-        found = _aligned(source, hits, windows, width)
-        out = found if out is None else out.unionByName(found)
-    return out
+    lengths = [r[0] for r in items.select(F.least(F.size(template(F.col(item_text))), F.lit(WINDOW)).alias("n"))
+               .filter("n > 0").distinct().collect()]  # at most WINDOW
+    widths = sorted(lengths) or [WINDOW]
+    windows = store(item_windows(items, item, item_text, widths), "windows")
+    hits = store(_hits(source, broadcast_if_small(windows.select("h").distinct(), BROADCAST_WINDOWS), widths), "hits")
+    return _aligned(source, hits, windows)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
@@ -108,22 +115,24 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     return pairs.select(F.col("key").alias(key), F.col("item").alias(item), "n_windows", "n_changed")
 
 
-def _aligned(source: DataFrame, hits: DataFrame, windows: DataFrame, width: int) -> DataFrame:
+def _aligned(source: DataFrame, hits: DataFrame, windows: DataFrame) -> DataFrame:
     """(key, rid, item, n_windows, n_changed) of the verbatim windows and the consistent runs of changed ones.
 
     The tokens of a hit's window come from its document again: only those with hits are read
     through, once each, with the places of their hits.
     """
-    places = hits.groupBy("key", "rid").agg(F.collect_set(F.struct("pos", "h")).alias("places"))
+    places = hits.groupBy("key", "rid").agg(F.collect_set(F.struct("pos", "width")).alias("places"))
     places = places.withColumnRenamed("key", "_k").withColumnRenamed("rid", "_r")
     held = source.join(places, F.col("key").eqNullSafe(F.col("_k")) & (F.col("rid") == F.col("_r"))).drop("_k", "_r")
     held = hold(held, r=raw_tokens(F.col("text")), x=template(F.col("text"))).drop("text")
-    held = hold(held.withColumn("_n", F.size("x")), parts=F.transform("places", lambda p: F.struct(
-        p["pos"].alias("pos"), p["h"].alias("h"),
-        F.slice(F.col("r"), p["pos"] + 1, width).alias("raw"), F.slice(F.col("x"), p["pos"] + 1, width).alias("tpl"))))
+    held = hold(held, parts=F.transform("places", lambda p: F.struct(
+        p["pos"].alias("pos"),
+        F.slice(F.col("r"), p["pos"] + 1, p["width"]).alias("raw"), F.slice(F.col("x"), p["pos"] + 1, p["width"]).alias("tpl"))))
     spans = held.select("key", "rid", F.inline("parts"))
+    spans = spans.withColumn("h", F.explode(F.array_distinct(F.array(F.xxhash64("tpl"), F.xxhash64("raw")))))
     table = windows.withColumnRenamed("h", "_h")
-    both = spans.join(table, (F.col("h") == F.col("_h")) & (F.col("tpl") == F.col("itemplate")))
+    alike = (F.col("raw") == F.col("iraw")) | (F.col("fuzzy") & (F.col("tpl") == F.col("itemplate")))
+    both = spans.join(table, (F.col("h") == F.col("_h")) & alike)
     line = ("key", "rid", "item", "shift")
     both = store(both.select("key", "rid", "item", "itemplate", "iraw", "raw", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"))
                  .dropDuplicates([*line, "ipos"]), "spans")

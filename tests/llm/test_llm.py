@@ -209,6 +209,19 @@ def test_conflicting_slots_and_repeated_keys(spark):
     assert sorted(clean, key=str) == sorted([(3, other.format(7, 5, 8)), (None, "Nothing of it is in this one")], key=str)
 
 
+def test_items_of_few_literals(spark):
+    """Arithmetic, lists of names and items of one to four tokens are found verbatim, and only so."""
+    texts = {1: "What is 12 + 45 - 7 * 3 ?", 2: "we met Anna, Berta, Clara, Dora, Emil, Fritz, Gerda, Hans, Ida", 3: "Name three primes", 4: "Why?",
+             5: "in 1914 1918 1939 1945 1949 1961 1989 1990"}
+    items = spark.createDataFrame(list(texts.items()), "item_id long, text string")
+    docs = spark.createDataFrame(
+        [(i, f"Something before. {t} Something after it.") for i, t in texts.items()]
+        + [(11, "What is 13 + 45 - 7 * 3 ?"), (13, "Name four primes"), (15, "in 1914 1918 1939 1944 1949 1961 1989 1990"), (16, "")],
+        "doc_id long, text string")
+    got = plain(decontaminate.contaminated(docs, items), "doc_id", "item_id", "n_changed")
+    assert sorted(got) == [(i, i, 0) for i in texts]
+
+
 # --- 4: sharding -------------------------------------------------------------------------------
 
 
