@@ -20,68 +20,101 @@ WINDOW = 8
 MIN_LITERALS = 5       # of a template window's tokens, of a shorter item's five eighths; others match verbatim
 MIN_ITEM = 5           # items with fewer tokens match verbatim only
 BROADCAST_WINDOWS = 200_000
-NUMBER, NAME, UNIT = "\x01", "\x02", "\x03"
+NUMBER, NAME, UNIT, OPEN = "\x01", "\x02", "\x03", "\x04"
 UNITS = ("mm", "cm", "m", "km", "in", "ft", "mi", "mg", "g", "kg", "lb", "oz", "ml", "l", "s", "sec", "min", "h", "hr",
          "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "meter", "meters", "metre", "metres",
          "gram", "grams", "pound", "pounds", "liter", "liters", "litre", "litres", "second", "seconds", "minute",
          "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "percent",
          "dollar", "dollars", "cent", "cents", "euro", "euros")
 _PLACES = "array<struct<pos:int,width:int,hs:array<bigint>>>"
+_SLOT = f"[{NUMBER}-{UNIT}]"
 _PUNCTUATION = r"[\p{P}\p{S}]+"
 
 
+def _marked(text: Column) -> Column:
+    """The text with its placeholders; OPEN stands before a capitalised word that need not be a name."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), "[\x01-\x04]", "")
+    t = F.regexp_replace(t, r"[A-Z](?<=[\p{Ll},;] .)\p{Ll}+", NAME)
+    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}{NAME}])([A-Z]\p{{Ll}}+)", f"{OPEN}$1")
+    t = F.regexp_replace(t, _PUNCTUATION, "")
+    t = F.regexp_replace(t, r"[0-9]+", NUMBER)
+    return F.regexp_replace(t, rf"{NUMBER}( ?)(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", f"{NUMBER}$1{UNIT}")
+
+
+def _literal(marked: Column) -> Column:
+    """Template tokens whose open words are literals."""
+    return words(lower_ascii(F.translate(marked, OPEN, "")))
+
+
+def _named(marked: Column) -> Column:
+    """Template tokens whose open words are names."""
+    return words(lower_ascii(F.regexp_replace(marked, rf"{OPEN}[A-Z]\p{{Ll}}+", NAME)))
+
+
 def template(text: Column) -> Column:
     """ARRAY<STRING>: template tokens; one for each of `raw_tokens`.
 
     A capitalised word inside a sentence is a name; a unit is one of UNITS after a number.
     """
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "[\x01-\x03]", "")
-    t = F.regexp_replace(t, r"[A-Z](?<=[\p{Ll},;] .)\p{Ll}+", NAME)
-    t = F.regexp_replace(t, _PUNCTUATION, "")
-    t = F.regexp_replace(t, r"[0-9]+", NUMBER)
-    t = F.regexp_replace(t, rf"{NUMBER}( ?)(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", f"{NUMBER}$1{UNIT}")
-    return words(lower_ascii(t))
+    return _literal(_marked(text))
 
 
 def raw_tokens(text: Column) -> Column:
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "[\x01-\x03]", "")
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), "[\x01-\x04]", "")
     return words(lower_ascii(F.regexp_replace(t, _PUNCTUATION, "")))
 
 
-def _windows(tokens: Column, raw: Column, width: int) -> Column:
+def _windows(kinds: list[Column], width: int) -> Column:
     """The windows' places, width and hashes; where nothing is a slot, the hashes are equal."""
-    return F.transform(F.sequence(F.lit(0), F.size(tokens) - F.lit(width)), lambda i: F.struct(
-        i.alias("pos"), F.lit(width).alias("width"),
-        F.array(F.xxhash64(F.slice(tokens, i + 1, width)), F.xxhash64(F.slice(raw, i + 1, width))).alias("hs")))
+    return F.transform(F.sequence(F.lit(0), F.size(kinds[0]) - F.lit(width)), lambda i: F.struct(
+        i.alias("pos"), F.lit(width).alias("width"), F.array(*[F.xxhash64(F.slice(k, i + 1, width)) for k in kinds]).alias("hs")))
 
 
 def item_windows(items: DataFrame, item: str, text: str, widths: list[int]) -> DataFrame:
-    """(h, item, ipos, width, itemplate, iraw, fuzzy): the windows of the items, by template and by raw tokens.
+    """(h, item, ipos, width, itemplate, iliteral, inamed, iraw, fuzzy): the windows of the items, by template and by raw tokens.
 
     Items shorter than WINDOW have one window, of their own length. A template is indexed where enough
-    of it is literal and the item has MIN_ITEM tokens; the raw tokens always are.
+    of it is literal and the item has MIN_ITEM tokens; the raw tokens always are. Each choice of literal or name
+    for the open words of a window is a template, and the first token may be capitalised in the text.
     """
-    rows = hold(items.select(F.col(item).alias("item"), F.col(text).alias("_t")), x=template(F.col("_t")), r=raw_tokens(F.col("_t")))
+    rows = hold(items.select(F.col(item).alias("item"), F.col(text).alias("_t")), m=_marked(F.col("_t")), r=raw_tokens(F.col("_t")))
+    rows = hold(rows, x=_literal(F.col("m")), y=_named(F.col("m")))
     out = None
     for width in widths:
         own = rows.filter(F.size("x") >= width) if width == WINDOW else rows.filter(F.size("x") == width)
-        own = own.select("item", F.explode(F.sequence(F.lit(0), F.size("x") - width)).alias("ipos"), "x", "r").select(
-            "item", "ipos", F.lit(width).alias("width"), F.slice("x", F.col("ipos") + 1, width).alias("itemplate"),
-            F.slice("r", F.col("ipos") + 1, width).alias("iraw"))
+        own = own.select("item", F.explode(F.sequence(F.lit(0), F.size("x") - width)).alias("ipos"), "x", "y", "r").select(
+            "item", "ipos", F.lit(width).alias("width"), *[F.slice(c, F.col("ipos") + 1, width).alias(n)
+                                                           for c, n in (("x", "iliteral"), ("y", "inamed"), ("r", "iraw"))])
         out = own if out is None else out.unionByName(own)
-    literals = F.size(F.filter("itemplate", lambda w: ~w.rlike(f"[{NUMBER}-{UNIT}]")))
-    fuzzy = (F.col("width") >= MIN_ITEM) & (literals * 8 >= MIN_LITERALS * F.col("width"))
-    out = hold(out, fuzzy=fuzzy)
-    keys = F.array_distinct(F.concat(F.array(F.xxhash64("iraw")), F.when(F.col("fuzzy"), F.array(F.xxhash64("itemplate")))
-                                     .otherwise(F.array().cast("array<bigint>"))))
-    return out.select(F.explode(keys).alias("h"), *out.columns)
+    differ = F.filter(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.get("iliteral", i) != F.get("inamed", i))
+    out = hold(out, _open=differ)
+    out = out.withColumn("_pick", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), F.size("_open")).cast("int") - 1)))
+
+    def token(x: Column, i: Column) -> Column:
+        nth = F.array_position("_open", i.cast("int"))
+        chosen = (nth > 0) & (F.pmod(F.floor(F.col("_pick") / F.pow(F.lit(2), nth - 1)), F.lit(2)) == 1)
+        return F.when(chosen, F.get("inamed", i)).otherwise(x)
+
+    out = hold(out, itemplate=F.transform("iliteral", token))
+    literals = F.size(F.filter("itemplate", lambda w: ~w.rlike(_SLOT)))
+    out = hold(out, fuzzy=(F.col("width") >= MIN_ITEM) & (literals * 8 >= MIN_LITERALS * F.col("width")))
+    capital = F.when(F.get("itemplate", F.lit(0)).rlike(r"^[a-z]\p{Ll}+$"), F.lit(NAME)).otherwise(F.get("itemplate", F.lit(0)))
+    begun = F.concat(F.array(capital), F.slice("itemplate", 2, WINDOW))
+    keys = F.array_distinct(F.concat(F.array(F.xxhash64("iraw")), F.when(F.col("fuzzy"), F.array(
+        F.xxhash64("itemplate"), F.xxhash64(begun))).otherwise(F.array().cast("array<bigint>"))))
+    return out.select(F.explode(keys).alias("h"), "item", "ipos", "width", "itemplate", "iliteral", "inamed", "iraw", "fuzzy")
+
+
+def _read(docs: DataFrame) -> DataFrame:
+    """Add r, x and y: the raw tokens, and the template tokens with open words as literals and as names."""
+    marked = hold(docs, m=_marked(F.col("text")), r=raw_tokens(F.col("text"))).drop("text")
+    return hold(marked, x=_literal(F.col("m")), y=_named(F.col("m"))).drop("m")
 
 
 def _hits(docs: DataFrame, known: DataFrame, widths: list[int]) -> DataFrame:
     """(key, rid, pos, width) of the document windows that the benchmark has, by template or by raw tokens."""
-    rows = hold(docs, x=template(F.col("text")), r=raw_tokens(F.col("text")))
-    kinds = [F.when(F.size("x") >= w, _windows(F.col("x"), F.col("r"), w)).otherwise(F.array().cast(_PLACES)) for w in widths]
-    rows = rows.select("key", "rid", F.inline(F.concat(*kinds) if len(kinds) > 1 else kinds[0]))
+    kinds = [F.when(F.size("x") >= w, _windows([F.col("x"), F.col("y"), F.col("r")], w)).otherwise(F.array().cast(_PLACES)) for w in widths]
+    rows = _read(docs).select("key", "rid", F.inline(F.concat(*kinds) if len(kinds) > 1 else kinds[0]))
     rows = rows.select("key", "rid", "pos", "width", F.explode(F.array_distinct("hs")).alias("h"))
     return rows.join(known, "h", "left_semi").select("key", "rid", "pos", "width")
 
@@ -124,36 +157,46 @@ def _aligned(source: DataFrame, hits: DataFrame, windows: DataFrame) -> DataFram
     places = hits.groupBy("key", "rid").agg(F.collect_set(F.struct("pos", "width")).alias("places"))
     places = places.withColumnRenamed("key", "_k").withColumnRenamed("rid", "_r")
     held = source.join(places, F.col("key").eqNullSafe(F.col("_k")) & (F.col("rid") == F.col("_r"))).drop("_k", "_r")
-    held = hold(held, r=raw_tokens(F.col("text")), x=template(F.col("text"))).drop("text")
-    held = hold(held, parts=F.transform("places", lambda p: F.struct(
-        p["pos"].alias("pos"),
-        F.slice(F.col("r"), p["pos"] + 1, p["width"]).alias("raw"), F.slice(F.col("x"), p["pos"] + 1, p["width"]).alias("tpl"))))
+    held = hold(_read(held), parts=F.transform("places", lambda p: F.struct(
+        p["pos"].alias("pos"), *[F.slice(c, p["pos"] + 1, p["width"]).alias(n) for c, n in (("r", "raw"), ("x", "tpl"), ("y", "named"))])))
     spans = held.select("key", "rid", F.inline("parts"))
-    spans = spans.withColumn("h", F.explode(F.array_distinct(F.array(F.xxhash64("tpl"), F.xxhash64("raw")))))
+    spans = spans.withColumn("h", F.explode(F.array_distinct(F.array(*[F.xxhash64(c) for c in ("tpl", "named", "raw")]))))
     table = windows.withColumnRenamed("h", "_h")
-    alike = (F.col("raw") == F.col("iraw")) | (F.col("fuzzy") & (F.col("tpl") == F.col("itemplate")))
-    both = spans.join(table, (F.col("h") == F.col("_h")) & alike)
+    fits = F.forall(F.arrays_zip("itemplate", "tpl", "named"), lambda s: (s["itemplate"] == s["tpl"]) | (s["itemplate"] == s["named"]))
+    alike = (F.col("raw") == F.col("iraw")) | (F.col("fuzzy") & (F.size("tpl") == F.size("itemplate")) & fits)
+    both = spans.join(table, F.col("h") == F.col("_h")).filter(alike)
     line = ("key", "rid", "item", "shift")
-    both = store(both.select("key", "rid", "item", "itemplate", "iraw", "raw", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"))
+    # An open word that is the same in the text is a literal.
+    slots = F.filter(F.arrays_zip("iliteral", "inamed", "iraw", "raw"), lambda s: s["iliteral"].rlike(_SLOT) | (
+        s["inamed"].rlike(_SLOT) & (s["iraw"] != s["raw"])))
+    both = store(both.select("key", "rid", "item", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"),
+                             (F.col("iraw") == F.col("raw")).alias("same"), F.exists(slots, lambda s: ~s["iliteral"].rlike(_SLOT)).alias("wide"),
+                             F.transform(slots, lambda s: F.struct(s["iraw"].alias("iraw"), s["raw"].alias("raw"))).alias("slots"))
                  .dropDuplicates([*line, "ipos"]), "spans")
-    same = both.filter(F.col("iraw") == F.col("raw")).groupBy(*line).agg(F.count("*").alias("n_windows"))
-    # Windows that follow each other are a run: their place less their rank stays the same.
-    nth = F.row_number().over(Window.partitionBy(*line).orderBy("ipos"))
-    changed = both.filter(F.col("iraw") != F.col("raw")).withColumn("run", F.col("ipos") - nth)
-    slots = (changed.select(*line, "run", F.explode(F.arrays_zip("itemplate", "iraw", "raw")).alias("s"))
-             .filter(F.col("s.itemplate").rlike(f"[{NUMBER}-{UNIT}]"))
-             .groupBy(*line, "run", F.col("s.iraw").alias("theirs")).agg(F.min("s.raw").alias("low"), F.max("s.raw").alias("high"))
-             .groupBy(*line, "run").agg(F.max((F.col("low") != F.col("high")).cast("int")).alias("bad"),
-                                        F.collect_set(F.when(F.col("theirs") != F.col("low"), F.col("theirs"))).alias("values")))
-    runs = changed.groupBy(*line, "run").agg(F.count("*").alias("n_windows"))
-    good = (runs.join(_renamed(slots, *line, "run"), _equal(*line, "run")).filter("bad = 0")
-            .select(*line, "n_windows", "values"))
-    good = good.unionByName(same.select(*line, "n_windows", F.array().cast("array<string>").alias("values")))
-    lines = good.groupBy(*line).agg(F.sum("n_windows").alias("n_windows"),
+    changed = both.filter("NOT same")
+    # Runs of the windows whose open words are the same are judged by themselves too.
+    good = (both.filter("same").select(*line, "ipos", F.array().cast("array<string>").alias("values"))
+            .unionByName(_consistent(changed, line)).unionByName(_consistent(changed.filter("NOT wide"), line)))
+    lines = good.groupBy(*line).agg(F.size(F.collect_set("ipos")).cast("bigint").alias("n_windows"),
                                     F.size(F.array_distinct(F.flatten(F.collect_list("values")))).cast("bigint").alias("n_changed"))
     return lines.groupBy("key", "rid", "item").agg(F.sum("n_windows").alias("n_windows"), F.min("n_changed").alias("n_changed"))
 
 
+def _consistent(changed: DataFrame, line: tuple[str, ...]) -> DataFrame:
+    """(line, ipos, values) of the windows in runs where one item value stands for one document value.
+
+    Windows that follow each other are a run: their place less their rank stays the same.
+    """
+    nth = F.row_number().over(Window.partitionBy(*line).orderBy("ipos"))
+    placed = changed.withColumn("run", F.col("ipos") - nth)
+    values = (placed.select(*line, "run", F.explode("slots").alias("s"))
+              .groupBy(*line, "run", F.col("s.iraw").alias("theirs")).agg(F.min("s.raw").alias("low"), F.max("s.raw").alias("high"))
+              .groupBy(*line, "run").agg(F.max((F.col("low") != F.col("high")).cast("int")).alias("bad"),
+                                         F.collect_set(F.when(F.col("theirs") != F.col("low"), F.col("theirs"))).alias("values")))
+    runs = _renamed(values.filter("bad = 0").drop("bad"), *line, "run")
+    return placed.join(runs, _equal(*line, "run")).select(*line, "ipos", "values")
+
+
 def _renamed(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"_{c}") if c in names else F.col(c) for c in df.columns])
 

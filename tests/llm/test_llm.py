@@ -222,6 +222,19 @@ def test_items_of_few_literals(spark):
     assert sorted(got) == [(i, i, 0) for i in texts]
 
 
+def test_names_whatever_their_case_and_place(spark):
+    items = spark.createDataFrame([
+        (1, "Two plus two is four"), (2, "in town old Maria sells apples"), (3, "Maria sells twelve old apples daily"),
+        (4, "the man buys 12 apples today. Maria gives them away")], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (1, "They say Two plus two is four"), (2, "in town old maria sells apples"), (3, "IN TOWN OLD MARIA SELLS APPLES"),
+        (4, "Petra sells twelve old apples daily"), (5, "and then Petra sells twelve old apples daily"),
+        (6, "Hi. The man buys 15 apples today. Petra gives them away"), (7, "and petra sells twelve old apples daily"),
+        (8, "the man buys 15 apples today. Petra gives them away")], "doc_id long, text string")
+    got = plain(decontaminate.contaminated(docs, items), "doc_id", "item_id", "n_changed")
+    assert sorted(got) == [(1, 1, 0), (2, 2, 0), (3, 2, 0), (4, 3, 1), (5, 3, 1), (6, 4, 2), (8, 4, 2)]
+
+
 # --- 4: sharding -------------------------------------------------------------------------------
 
 
