@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pactlens.llm import decontaminate, mixing, quality, sharding, simhash
+from pactlens.llm import decontaminate, mixing, neardup, quality, sharding
 from pactlens.sources.scratch import scratch_dir
 
 
@@ -14,8 +14,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose fingerprints of five-word shingles are at most 4 bits apart."""
-    return simhash.keep_one(docs, width=5)
+    """One document of each group linked by a similarity of 0.8 or more of their five-word shingles."""
+    return neardup.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pactlens.llm import (
-    bloom, components, decontaminate, language, lm, mixing, paragraphs, quality, queries, sharding, simhash, substrings,
+    bloom, components, decontaminate, language, lm, mixing, neardup, paragraphs, quality, queries, sharding, simhash, substrings,
     urlfilter, words)
 from tests.llm import brute
 from workloads import check
@@ -160,6 +160,35 @@ def test_simhash_links_of_long_lists(spark):
         assert {p: found.get(p, p) for p in prints} == want
 
 
+def test_near_dedup_at_four_fifths(spark):
+    """Planted copies at 0.8 to 0.95 leave, texts below stay; against brute force, with keys and texts repeated."""
+    rng = random.Random(4)
+    docs = []
+    for i in range(40):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        docs.append((2 * i, " ".join(w)))
+        for at in range(5, 200, 200 // (1 + i % 8))[:1 + i % 8]:
+            w[at] = "changed"
+        docs.append((2 * i + 1, " ".join(w)))
+    docs += [(90, None), (91, " "), (92, "Two words"), (93, "two  words"), (None, "a b c d e f"), (None, "g h i j k l"), (None, "g h i j k l")]
+
+    def shingles(text):
+        w = brute.words(text)
+        return {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))}
+
+    sets, links, all_ = brute.Sets(), 0, [shingles(t) for _, t in docs]
+    for i in range(len(docs)):
+        for j in range(i):
+            if len(all_[i] & all_[j]) >= 0.8 * len(all_[i] | all_[j]) - 1e-9:
+                sets.join(i, j)
+                links += 1
+    want = [docs[i] for i in range(len(docs)) if sets.find(i) == i]
+    assert links >= 20 and len(want) > 45
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = plain(neardup.keep_one(df), "doc_id", "text")
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 # --- 3: decontamination ------------------------------------------------------------------------
 
 
