@@ -167,7 +167,8 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it.
 
-    An open fraction is rounded to the nearer; rows of one key, source and text share their copies evenly.
+    An open fraction is rounded to the nearer; rows of one key, source and text share their copies evenly,
+    the first of them taking what is left.
     """
     key, text, source = how.get("key", "doc_id"), how.get("text", "text"), how.get("source", "source")
     n = (F.col("whole") + (F.col("part") >= 0.5).cast("bigint")).cast("int")
@@ -177,6 +178,10 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     on = (F.col(f"d.{key}").eqNullSafe(F.col("c.id")) & F.col(f"d.{source}").eqNullSafe(F.col("c.source"))
           & (F.col("d._crc") == F.col("c.crc")))
     picked = docs.withColumn("_crc", crc).alias("d").join(chosen.alias("c"), on)
-    times = F.round(F.col("c.n") / F.col("c.rows")).cast("int")
-    return (picked.withColumn("_times", times).filter("_times > 0")
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("d.*").drop("_crc"))
+    # Of equal rows the first n mod rows take one copy more; only groups with such a rest are numbered.
+    rest = F.col("c.n") % F.col("c.rows")
+    picked = picked.select("d.*", F.floor(F.col("c.n") / F.col("c.rows")).cast("int").alias("_times"), rest.alias("_rest"))
+    nth = F.row_number().over(Window.partitionBy(key, source, "_crc").orderBy(text))
+    more = (picked.filter("_rest > 0").withColumn("_times", F.col("_times") + (nth <= F.col("_rest")).cast("int")))
+    return (picked.filter("_rest = 0").unionByName(more).filter("_times > 0")
+            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns))
