@@ -131,3 +131,81 @@ def mixture(docs):
             left -= goal[s]
             live.discard(s)
     return {s: (sizes[s], goal[s]) for s in names}
+
+
+def hard_negatives(rows):
+    """Rows (anchor, positive, rank, negative, scores) from (id, vector, label), anchors every 50th."""
+    use = [(k, [math.floor(256 * x) for x in v], (label + 1) % 10 if k % 7 == 0 else label) for k, v, label in rows
+           if None not in (k, v, label) and None not in v and all(map(math.isfinite, v))]
+    out = []
+    for k, v, label in use:
+        if k % 50:
+            continue
+        scored = sorted((-sum(a * b for a, b in zip(v, w)), j, m) for j, w, m in use if j != k)
+        for p, positive, _ in [s for s in scored if s[2] == label][:5]:
+            fits = [s for s in scored if s[2] != label and 50 * -p <= 100 * -s[0] <= 95 * -p][:3]
+            out += [(k, positive, i + 1, j, -p, -s) for i, (s, j, _) in enumerate(fits)]
+    return out
+
+
+def weighted_fingerprint(text):
+    found = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
+    votes, total = [0] * 64, 0
+    for a, b in zip(found, [*found[1:], None]):
+        h = xxhash.xxh64_intdigest(a.encode(), 42)
+        h = h if b is None else xxhash.xxh64_intdigest(b.encode(), h)
+        weight = len(a) + len(b or "")
+        total += weight
+        votes = [v + weight * (h >> i & 1) for i, v in enumerate(votes)]
+    return sum(1 << i for i, v in enumerate(votes) if 2 * v > total)
+
+
+def fingerprints(docs, radius=3, every=100):
+    """Rows of (key, text): key, n_chars, digest, both fingerprints, both likenesses, rows within the radius."""
+    docs = sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
+    prints = [weighted_fingerprint(t) for _, t in docs]
+    out = []
+    for i, (key, text) in enumerate(docs):
+        text, after = text or "", (i + 1) % len(docs)
+        half = len(text) // 2
+        edited = text[:len(text) - half] + (docs[after][1] or "")[:half]
+        other = weighted_fingerprint(edited)
+        near = [1 - (prints[i] ^ x).bit_count() / 64 for x in (other, prints[after])]
+        count = sum((x ^ prints[i]).bit_count() <= radius for x in prints) if key is not None and key % every == 0 else None
+        out.append((key, len(text), hashlib.sha256(edited.encode()).hexdigest(), f"{prints[i]:016x}", f"{other:016x}", *near, count))
+    return out
+
+
+def manifest(rows):
+    """Rows of (doc_id, source, lang, n_chars, text): key, leaf, subroot, root, proof, folded root, verified."""
+    def h(*inputs):
+        return hashlib.sha256("".join(inputs).encode()).hexdigest()
+
+    def leaf(*values):
+        return h(*["-" if v is None else f"{len(str(v).encode())}:{v}" for v in values])
+
+    def build(level):
+        paths, places = [[] for _ in level], list(range(len(level)))
+        while len(level) > 1:
+            for path, at in zip(paths, places):
+                path.append((at % 2, level[at ^ 1] if at ^ 1 < len(level) else ""))
+            level = [h(*level[i:i + 2]) for i in range(0, len(level), 2)]
+            places = [at // 2 for at in places]
+        return level[0], paths
+
+    trees = collections.defaultdict(list)
+    for r in rows:
+        trees[r[2]].append((r[0] is not None, r[0] or 0, leaf(*r), r))
+    names = sorted(trees, key=lambda t: (t is not None, (t or "").encode()))
+    built = {t: build([x[2] for x in sorted(trees[t], key=lambda x: x[:3])]) for t in names}
+    root, above = build([built[t][0] for t in names])
+    out = []
+    for name, end in zip(names, above):
+        subroot, paths = built[name]
+        for (_, _, own, r), path in zip(sorted(trees[name], key=lambda x: x[:3]), paths):
+            bent = r[0] is not None and crc(r[0]) % 7 == 0 and r[3] is not None
+            at = leaf(*r[:3], r[3] + 1, r[4]) if bent else own
+            for odd, other in path + end:
+                at = h(other, at) if odd else h(at, other)
+            out.append((r[0], own, subroot, root, h(*[x for _, x in path + end]), at, at == root))
+    return out
