@@ -32,13 +32,12 @@ def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def terms(text: Column) -> Column:
-    """ARRAY<STRUCT<h, w>>: hash and letters of each word with its successor."""
+def terms(found: Column) -> Column:
+    """ARRAY<STRUCT<h, w>> from words: hash and letters of each word with its successor."""
     def term(a: Column, b: Column) -> Column:
         return F.struct(F.xxhash64(a, b).alias("h"), (F.char_length(a) + F.coalesce(F.char_length(b), F.lit(0))).cast("bigint").alias("w"))
 
-    w = words(lower_ascii(text))
-    return F.when(F.size(w) > 0, F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), term))
+    return F.zip_with(found, F.slice(found, F.lit(2), F.size(found)), term)
 
 
 def simhash(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -47,7 +46,8 @@ def simhash(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     Votes are sums over the exploded terms. Two counters of 32 bits share a long: a text's letters,
     each counted twice, stay below 2 ** 32.
     """
-    votes = texts.select(*keys, F.inline_outer(terms(F.col(text))))
+    found = hold(texts, _found=words(lower_ascii(F.col(text))))
+    votes = found.select(*keys, F.inline_outer(terms(F.col("_found"))))
     pair = F.lit((1 << 32) | 1)
     sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(pair) * F.col("w")).alias(f"_s{i}") for i in range(32)]
     counted = votes.groupBy(*keys).agg(F.sum("w").alias("_all"), *sums)
@@ -113,23 +113,28 @@ def within(queries: DataFrame, index: DataFrame, radius: int = RADIUS, blocks: i
     return met.filter((bits <= radius) & (first == F.col("nth"))).select("query", "fp", bits.alias("bits"))
 
 
+IDS = ("h1", "h2")  # names of a distinct (key, text); never NULL, so joins keep one partitioning
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.select("*", F.xxhash64("key", "text").alias("h1"), F.xxhash64(F.lit(1), "key", "text").alias("h2"))
+
+
 def _plans(docs: DataFrame) -> DataFrame:
     """A row for each distinct (key, text): its size, copies, successor and predecessor in descending order of keys.
 
     The successor of the last is the first. Copies follow one another, so all but one of them are their
     own successor.
     """
-    t = F.coalesce("text", F.lit(""))
-    rows = docs.select("key", F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(1), t).alias("h2"), F.char_length(t).cast("bigint").alias("n_chars"))
-    rows = rows.groupBy("key", "h1", "h2").agg(F.first("n_chars").alias("n_chars"), F.count("*").alias("copies"))
-    placed = store(numbered(rows, ("key", "h1", "h2"), None, "ids"), "places")
+    rows = _named(docs).select("key", *IDS, F.char_length("text").cast("bigint").alias("n_chars"))
+    rows = rows.groupBy(*IDS).agg(F.first("key").alias("key"), F.first("n_chars").alias("n_chars"), F.count("*").alias("copies"))
+    placed = store(numbered(rows, ("key", *IDS), None, "ids"), "places")
 
-    def beside(step: int, name: str) -> DataFrame:
+    def beside(step: int, name: str, *columns: str) -> DataFrame:
         # Ascending places: the successor in descending order is one place below.
-        return placed.select(F.pmod(F.col("pos") + step, F.col("n")).alias("pos"),
-                             *[F.col(c).alias(f"{name}_{c}") for c in ("key", "h1", "h2", "n_chars")])
+        return placed.select(F.pmod(F.col("pos") + step, F.col("n")).alias("pos"), *[F.col(c).alias(f"{name}_{c}") for c in columns])
 
-    return placed.join(beside(1, "next"), "pos").join(beside(-1, "last"), "pos").drop("n")
+    return placed.join(beside(1, "next", *IDS), "pos").join(beside(-1, "last", *IDS, "n_chars"), "pos").drop("n", "pos")
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, every: int = QUERY_EVERY) -> DataFrame:
@@ -143,38 +148,30 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", radiu
     """
     own = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
     plans = store(_plans(own), "plans")
-    ids = ["key", "h1", "h2"]
-    hashed = own.withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(1), F.col("text")))
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ids]
-
-    def met(rows: DataFrame, others: DataFrame) -> DataFrame:
-        names = others.select(*[F.col(c).alias(f"_{c}") if c in ids else F.col(c) for c in others.columns])
-        return rows.join(names, same).drop(*[f"_{c}" for c in ids])
-
-    once = met(hashed.groupBy(*ids).agg(F.first("text").alias("text")), plans)
+    once = _named(own).groupBy(*IDS).agg(F.first("text").alias("text")).join(plans, list(IDS))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     tails = once.select(
-        F.col("last_key").alias("key"), F.col("last_h1").alias("h1"), F.col("last_h2").alias("h2"),
+        F.col("last_h1").alias("h1"), F.col("last_h2").alias("h2"),
         F.substring("text", F.lit(1), F.floor(F.col("last_n_chars") / 2).cast("int")).alias("tail"))
     head = F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half)
-    tried = hold(met(once, tails), edit=F.concat(head, "tail"), itself=F.concat(head, F.substring("text", F.lit(1), half)))
+    tried = hold(once.join(tails, list(IDS)), edit=F.concat(head, "tail"), itself=F.concat(head, F.substring("text", F.lit(1), half)))
 
     def form(which: int, value: str) -> Column:
         return F.struct(F.lit(which).alias("which"), F.unhex(F.sha2(value, 256)).alias("digest"), F.col(value).alias("form"))
 
-    forms = tried.select(*ids, F.inline(F.array_compact(F.array(
+    forms = tried.select(*IDS, F.inline(F.array_compact(F.array(
         form(0, "text"), form(1, "edit"), F.when(F.col("copies") > 1, form(2, "itself"))))))
-    prints = simhash(forms, [*ids, "which", "digest"], "form")
-    texts = store(prints.groupBy(*ids).agg(*[
+    prints = simhash(forms, [*IDS, "which", "digest"], "form")
+    texts = store(prints.groupBy(*IDS).agg(*[
         F.max(F.when(F.col("which") == i, F.struct("fp", "digest"))).alias(n) for i, n in enumerate(("text", "edit", "itself"))]), "prints")
-    rows = store(met(plans.select(*ids, "copies", "n_chars", "next_key", "next_h1", "next_h2"), texts), "prints")
+    rows = store(plans.join(texts, list(IDS)), "prints")
 
     index = rows.groupBy(F.col("text.fp").alias("fp")).agg(F.sum("copies").alias("copies"), F.max(F.coalesce(F.col("key") % every == 0, F.lit(False))).alias("asked"))
     near = within(index.filter("asked"), index, radius).join(index.select("fp", "copies"), "fp")
     near = near.groupBy(F.col("query").alias("_fp")).agg(F.sum("copies").alias("_within"))
 
-    following = rows.select(*[F.col(c).alias(f"_{c}") for c in ids], F.col("text.fp").alias("_next"))
-    joined = rows.join(following, [F.col(f"next_{c}").eqNullSafe(F.col(f"_{c}")) for c in ids])
+    following = rows.select(*[F.col(c).alias(f"next_{c}") for c in IDS], F.col("text.fp").alias("_next"))
+    joined = rows.join(following, [f"next_{c}" for c in IDS])
     joined = joined.join(near, F.col("text.fp") == F.col("_fp"), "left")
 
     def row(n: Column, edit: str, beside_fp: Column) -> Column:
