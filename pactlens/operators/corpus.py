@@ -62,8 +62,12 @@ def _order(order: tuple) -> Column:
 
 
 def _key_hash(key: str) -> tuple:
-    """A 128-bit stand-in for a text key, so that aggregations move and compare numbers."""
-    return F.xxhash64(F.col(key)).alias("_k1"), F.xxhash64(F.col(key), F.lit(1)).alias("_k2")
+    """A 128-bit stand-in for a text key, so that aggregations move and compare numbers.
+
+    The second hash begins with a constant, which gives it a seed of its own; a constant after the key
+    would make it a function of the first hash.
+    """
+    return F.xxhash64(F.col(key)).alias("_k1"), F.xxhash64(F.lit(1), F.col(key)).alias("_k2")
 
 
 def _rows_at(df: DataFrame, best: DataFrame, order: tuple) -> DataFrame:

@@ -2,61 +2,31 @@
 
 from __future__ import annotations
 
-import re
-from urllib.parse import unquote
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactlens.functions.text import strip
 from pactlens.operators.corpus import clean_rows
-from pactlens.operators.sizing import broadcast_if_small
+from pactlens.sources.headers import read_by_header
 
 MIN_ROWS = 20
 
 
-def _read_csv(spark: SparkSession, path, multi_line: bool) -> DataFrame:
-    """Quoted header CSV, all columns text. `seq` grows with the position in the input.
+def read_labeled(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
+    """(sentence, label, seq and the other columns), cleaned; every file's header must name both columns.
 
-    Files count in the order of their paths, then blocks and rows as they lie in the file, whatever
-    the sizes of files and splits and the number of cores. `seq` packs (file, block start, row) into
-    one number; only its order has a meaning. Files without line breaks inside fields can be read with
-    multi_line=False, which splits one large file over many tasks.
+    Columns are found by name in each file. `multi_line=False` splits large files, for writers that quote
+    no line breaks.
     """
-    raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', inferSchema=False)
-    # Row numbers of a task grow along each block; the task's own number, in the high bits, is cut off.
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    placed = raw.select("*", F.col("_metadata.file_path").alias("_file"),
-                        F.col("_metadata.file_block_start").alias("_block"), row.alias("_row"))
-    files = sorted(placed.inputFiles())
-    ranks = spark.createDataFrame(list(enumerate(map(_plain, files))), "_rank long, _path string")
-    numbered = placed.join(broadcast_if_small(ranks), _plain_column("_file") == F.col("_path"))
-    # 8 digits for the file, 12 for the block's first byte, 10 for the row.
-    seq = F.col("_rank").cast("decimal(8,0)") * F.lit(10 ** 12).cast("decimal(13,0)") + F.col("_block")
-    seq = seq.cast("decimal(20,0)") * F.lit(10 ** 10).cast("decimal(11,0)") + F.col("_row")
-    return numbered.select(*raw.columns, seq.cast("decimal(30,0)").alias("seq"))
-
-
-def _plain(path: str) -> str:
-    """A path without scheme slashes and escapes, which listings and metadata write differently."""
-    return re.sub(r"^([a-z0-9]+):/+", r"\1:/", unquote(path))
-
-
-def _plain_column(name: str):
-    return F.regexp_replace(F.try_url_decode(F.replace(F.col(name), F.lit("+"), F.lit("%2B"))), "^([a-z0-9]+):/+", "$1:/")
-
-
-def read_labeled(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
-    """(sentence, label[, source], seq), cleaned; both header columns are required."""
-    raw = _read_csv(spark, path, multi_line)
-    if "sentence" not in raw.columns or "label" not in raw.columns:
-        raise ValueError(f"{path}: expected columns 'sentence' and 'label'")
-    return clean_rows(raw, "sentence", "label")
+    return clean_rows(read_by_header(spark, path, ("sentence", "label"), multi_line, order=True), "sentence", "label")
 
 
 def load_training_data(spark: SparkSession, path, min_rows: int = MIN_ROWS, multi_line: bool = True) -> DataFrame:
-    """(sentence, label, seq), stripped, blank rows dropped; refuses a tiny corpus."""
-    raw = _read_csv(spark, path, multi_line)
+    """(sentence, label, seq), stripped, blank rows dropped; refuses a tiny corpus.
+
+    A file without one of the columns has blank values there, so none of its rows stay.
+    """
+    raw = read_by_header(spark, path, (), multi_line, order=True)
     cols = {c: strip(F.col(c)) if c in raw.columns else F.lit("") for c in ("sentence", "label")}
     rows = raw.withColumns(cols).filter("sentence != '' AND label != ''").select("sentence", "label", "seq")
     if rows.limit(min_rows).count() < min_rows:

@@ -149,3 +149,13 @@ def test_report_with_absent_classes(spark):
     assert got == {"A": (0.5, 0.5, 0.5, 2), "B": (0.0, 0.0, 0.0, 0), "C": (0.0, 0.0, 0.0, 1)}
     row = evaluate.f1_summary(df).first()
     assert (row["accuracy"], row["macro_f1"], row["weighted_f1"], row["n"]) == (0.333333, 0.166667, 0.333333, 3)
+
+
+def test_keys_are_told_apart_by_two_independent_hashes(spark):
+    """The second hash is no function of the first: it starts from a seed of its own."""
+    import xxhash
+    first, second = spark.range(1).select(F.lit("a text").alias("t")).select(*corpus._key_hash("t")).first()
+    unsigned = [x % (1 << 64) for x in (first, second)]
+    seed = xxhash.xxh64_intdigest((1).to_bytes(4, "little"), 42)
+    assert unsigned[0] == xxhash.xxh64_intdigest(b"a text", 42)
+    assert unsigned[1] == xxhash.xxh64_intdigest(b"a text", seed)

@@ -134,3 +134,37 @@ def test_reports_agree_between_paths(spark):
     assert inline[1]["risk_percentage"] == 50.0 and inline[2]["total_sentences"] == 0
     summary = {r["doc_id"]: r["total_sentences"] for r in analyze.summarize_documents(docs, keyword).collect()}
     assert summary == {1: 2, 2: 0, 3: 0}
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_columns_are_found_by_name_in_each_file(spark, tmp_path, multi_line):
+    (tmp_path / "a.csv").write_text("sentence,label\none sentence,Penalty\n")
+    (tmp_path / "b [x].csv").write_text('\n"label",sentence\nPenalty,two sentence\nNone\n')
+    (tmp_path / "c+d.csv").write_text("﻿source,sentence,note,label\ncuad,three sentence,n,None\n", encoding="utf-8")
+    (tmp_path / "d.csv").write_text("")
+    (tmp_path / "e.csv").write_text("label,sentence,label\nold,four sentence,new\n")
+    rows = labeled.read_labeled(spark, str(tmp_path), multi_line).orderBy("seq").collect()
+    assert [(r["sentence"], r["label"], r["source"]) for r in rows] == [
+        ("one sentence", "Penalty", None), ("two sentence", "Penalty", None), ("three sentence", "None", "cuad"), ("four sentence", "new", None)]
+    assert labeled.load_training_data(spark, str(tmp_path), 4, multi_line).count() == 4
+    (tmp_path / "f.csv").write_text("sentence,class\na,b\n")
+    with pytest.raises(ValueError, match="f.csv"):
+        labeled.read_labeled(spark, str(tmp_path), multi_line)
+    # Without the check, rows of a file that has no label are blank there.
+    assert labeled.load_training_data(spark, str(tmp_path), 4, multi_line).count() == 4
+
+
+def test_files_of_one_header_are_read_once(spark, tmp_path):
+    for name, text in (("a", "sentence,label\nx,A\n"), ("b", "label,sentence\nB,y\n")):
+        (tmp_path / f"{name}.csv").write_text(text)
+    read = labeled.read_labeled(spark, str(tmp_path))
+    scans = [r for r in read.select("sentence", "seq").collect()]
+    assert len(scans) == 2 and len(read.inputFiles()) == 2
+
+
+def test_wide_files_with_other_columns(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Document Name,Insurance\nD,Keep cover.\n")
+    (tmp_path / "b.csv").write_text("Insurance,Extra,Document Name\nNo cover.,x,E\n")
+    cells = mining.wide_clauses(clauses.read_wide_clauses(spark, str(tmp_path)), ())
+    assert sorted((r["clause"], r["text"]) for r in cells.collect()) == [
+        ("Document Name", "D"), ("Document Name", "E"), ("Insurance", "Keep cover."), ("Insurance", "No cover.")]

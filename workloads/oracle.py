@@ -458,6 +458,8 @@ n_transformer, n_ml, n_keyword FROM a"""
     out["merge_corpora"] = f"WITH {MERGED} SELECT sentence, label, seq, source, source_rank FROM merged"
     quoted = """'say "so", ' || sentence"""
     out["read_labeled"] = f"WITH {MERGED} SELECT {clean(quoted)} AS sentence, label, source FROM merged"
+    out["read_labeled_mixed_headers"] = f"""WITH {MERGED} SELECT {clean('sentence')} AS sentence, label,
+CASE WHEN source_rank <> 1 THEN source END AS source, source_rank = 2 AS noted FROM merged"""
     out["load_training_data"] = f"WITH {MERGED} SELECT {strip('sentence')} AS sentence, label FROM merged"
     out["first_seen_files"] = f"""WITH {MERGED} SELECT {clean('sentence')} AS sentence,
 CASE WHEN bool_or(label = 'Penalty') THEN 'A' ELSE 'B' END AS label FROM merged GROUP BY 1"""
@@ -514,6 +516,9 @@ SELECT {key}, sentence, label, 'ledgar' AS source FROM q JOIN pmap USING (name)"
     question = f"concat_ws(' ', {predicate_sql('h')}, {tail_sql('h')})"
     out["question_category"] = f"WITH {CLAUSES} SELECT {key}, {question_category(question)} AS category FROM cl"
     out["wide_clause_unpivot"] = out["wide_clause_files"] = f"WITH {WIDE} SELECT doc_id, clause, label, text FROM wide"
+    gone = array([c for c in WIDE_NAMES[:2]])
+    out["wide_clause_mixed_files"] = f"""WITH {WIDE} SELECT doc_id, clause, label, text FROM wide
+WHERE doc_id % 3 <> 1 OR NOT list_contains({gone}, clause)"""
     out["mapped_corpus"] = f"""WITH prov AS ({out['map_provisions']}), mer AS ({out['merge_corpora']}),
 u AS (SELECT 0 AS rank, seq, sentence, label, source FROM mer WHERE source_rank = 0
   UNION ALL SELECT 1, doc_id * 1000000 + sent_idx, sentence, label, source FROM prov),

@@ -353,6 +353,23 @@ def read_labeled(spark, sf):
     return labeled.read_labeled(spark, path).select("sentence", "label", "source")
 
 
+def _with_headers(rows, path, spellings):
+    """`rows`, dealt over CSV files with other headers: the k-th part has the k-th list of columns."""
+    for k, columns in enumerate(spellings):
+        part = rows.filter(F.pmod(F.col("_part"), F.lit(len(spellings))) == k).select(*columns)
+        part.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(f"{path}/{k}")
+
+
+@query
+def read_labeled_mixed_headers(spark, sf):
+    """Labelled CSV files whose columns are swapped, missing or additional, read by name."""
+    path = scratch_dir(spark, "mixed")
+    rows = _merged(spark, sf).withColumn("_part", F.col("source_rank")).withColumn("note", F.lit('a "note",\nin two lines'))
+    _with_headers(rows, path, (("sentence", "label", "source"), ("label", "sentence"), ("note", "source", "label", "sentence")))
+    read = labeled.read_labeled(spark, [f"{path}/{k}" for k in range(3)])
+    return read.select("sentence", "label", "source", F.col("note").isNotNull().alias("noted"))
+
+
 @query
 def corpus_roundtrip(spark, sf):
     path = scratch_dir(spark, "corpus")
@@ -519,6 +536,18 @@ def wide_clause_files(spark, sf):
     return mining.wide_clauses(wide.withColumn("doc_id", F.col("doc_id").cast("bigint")), ("doc_id",))
 
 
+@query
+def wide_clause_mixed_files(spark, sf):
+    """Wide clause files with columns in other orders, each lacking some that are empty there."""
+    path = scratch_dir(spark, "wide")
+    rows = derive.wide_table(spark, sf).withColumn("_part", F.col("doc_id"))
+    names = [c for c in rows.columns if c not in ("doc_id", "_part")]
+    rows = rows.select("doc_id", "_part", *[F.when(F.col("_part") % 3 != 1, F.col(c)).alias(c) if i < 2 else c for i, c in enumerate(names)])
+    _with_headers(rows, path, (("doc_id", *names), (*reversed(names[2:]), "doc_id"), (*names[7:], "_part", "doc_id", *names[:7])))
+    wide = clause_sources.read_wide_clauses(spark, [f"{path}/{k}" for k in range(3)])
+    return mining.wide_clauses(wide.withColumn("doc_id", F.col("doc_id").cast("bigint")), ("doc_id",))
+
+
 @query
 def mine_negatives_wide(spark, sf):
     return mining.wide_negatives(mining.wide_clauses(derive.wide_table(spark, sf), ("doc_id",)))
