@@ -42,45 +42,69 @@ def with_scores(
     where: str | None = None,
     on_error: str = "raise",
 ) -> DataFrame:
-    """Score sentences with a user's batch function inside Arrow batches.
+    """Score sentences with a user's batch function inside Arrow batches; also on a stream.
 
     `scorer` maps a Series of sentences to a frame with one score column per label, in
-    label order, and loads its model lazily so that every Python worker loads it once.
+    label order; `models.loaded` gives it a model that every Python worker loads once.
     `where` names a boolean column: only its true rows reach the scorer, the others get
     NULL, so a later tier never scores what an earlier tier has settled. If the scorer fails, the
-    job does; with `on_error="abstain"` the sentences of the batch get NULL scores instead, with
-    which a tier abstains at confidence 0.0.
+    job does; with `on_error="abstain"` a failing batch is halved until the sentences at fault stand
+    alone, and these get NULL scores, with which a tier abstains at confidence 0.0. A scorer that fails on k of n
+    sentences is called about 2 * k * log2(n) times, at most 2 * n times.
     """
     if on_error not in ("raise", "abstain"):
         raise ValueError("on_error must be raise or abstain")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            chosen = np.ones(n, dtype=bool)
+            chosen = np.ones(batch.num_rows, dtype=bool)
             if where:
                 chosen = np.asarray(batch.column(where).fill_null(False).to_numpy(zero_copy_only=False), dtype=bool)
-            texts = batch.column(sentence).to_pandas()[chosen]
-            try:
-                frame = scorer(texts) if len(texts) else pd.DataFrame()
-            except Exception:
-                if on_error == "raise":
-                    raise
-                frame, chosen = pd.DataFrame(), np.zeros(n, dtype=bool)
-            width = len(frame.columns)
-            offsets = np.concatenate(([0], np.cumsum(np.where(chosen, width, 0)))).astype("int32")
-            scores = pa.ListArray.from_arrays(
-                pa.array(offsets),
-                pa.StructArray.from_arrays(
-                    [pa.array(list(map(str, frame.columns)), pa.string()).take(pa.array(np.tile(np.arange(width), len(frame)))),
-                     pa.array(frame.to_numpy(dtype="float64").ravel(), pa.float64())], ["label", "score"]),
-                mask=pa.array(~chosen))
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, name])
+            texts = batch.column(sentence).to_pandas()
+            parts = list(scored_parts(scorer, texts, np.flatnonzero(chosen), on_error == "abstain"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, _score_lists(parts, batch.num_rows)], [*batch.schema.names, name])
 
     schema = T.StructType([*df.schema.fields, T.StructField(name, SCORES_TYPE)])
     return df.mapInArrow(run, schema)
 
 
+def scored_parts(scorer: Callable, texts: pd.Series, rows: np.ndarray, abstain: bool) -> Iterator[tuple[np.ndarray, pd.DataFrame]]:
+    """(rows, scores) of runs of sentences that the scorer takes; with `abstain` those at fault are left out."""
+    waiting = [rows] if len(rows) else []
+    while waiting:
+        part = waiting.pop()
+        try:
+            frame = scorer(texts.iloc[part])
+            if len(frame) != len(part):
+                raise ValueError(f"the scorer gave {len(frame)} rows for {len(part)} sentences")
+        except Exception:
+            if not abstain:
+                raise
+            half = len(part) // 2
+            waiting += [part[half:], part[:half]] if half else []
+            continue
+        yield part, frame
+
+
+def _score_lists(parts: list, n: int) -> pa.ListArray:
+    """ARRAY<STRUCT<label, score>> of n rows; rows that no part scores are NULL."""
+    labels, scores, first, size = [], [], np.zeros(n, dtype=np.int64), np.full(n, -1)
+    at = 0
+    for rows, frame in parts:
+        width = len(frame.columns)
+        labels.append(np.tile(np.array([str(c) for c in frame.columns], dtype=object), len(rows)))
+        scores.append(frame.to_numpy(dtype="float64").ravel())
+        first[rows], size[rows] = at + np.arange(len(rows)) * width, width
+        at += width * len(rows)
+    counts = np.maximum(size, 0)
+    offsets = np.concatenate(([0], np.cumsum(counts)))
+    source = np.repeat(first - offsets[:-1], counts) + np.arange(offsets[-1])
+    labels = pa.array(np.concatenate(labels) if labels else [], pa.string()).take(pa.array(source))
+    scores = pa.array(np.concatenate(scores) if scores else [], pa.float64()).take(pa.array(source))
+    return pa.ListArray.from_arrays(
+        pa.array(offsets.astype("int32")), pa.StructArray.from_arrays([labels, scores], ["label", "score"]), mask=pa.array(size < 0))
+
+
 def keyword_signals(df: DataFrame, config: CascadeConfig, sentence: str = "sentence") -> DataFrame:
     """Add all that the cascade reads from the text: _kw (keyword class), _modal, _delta and _blank."""
     held = hold(df, _lower=F.lower(F.col(sentence)))

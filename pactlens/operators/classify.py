@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pactlens.config import NONE_LABEL
 from pactlens.functions.calibration import softmax, top1
 from pactlens.functions.text import strip
+from pactlens.operators import models
 from pactlens.operators.evaluate import class_weights, classification_report, f1_summary
 from pactlens.operators.features import (
     MAX_FEATURES, idf_rows, vector_struct, vocabulary, with_weights)
@@ -85,6 +86,16 @@ class TextClassifier:
         vocab = idf_rows(vocab, meta.get("max_features", MAX_FEATURES))
         return cls(vocab, meta["labels"], LogisticRegressionModel.load(f"{path}/model"), meta["n_max"])
 
+    def publish(self, path: str, meta: dict) -> str:
+        """Save as a new version below `path` and make it the one that `current` gives."""
+        return models.publish(SparkSession.active(), path, lambda folder: self.save(folder, meta))
+
+    @classmethod
+    def current(cls, spark: SparkSession, path: str) -> "TextClassifier":
+        """The published classifier; a process reads each version once."""
+        folder, version = models.published(spark, path)
+        return models.loaded(lambda at: cls.load(spark, at), folder, version)
+
 
 def fit_classifier(
     train: DataFrame,

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pactlens.config import CascadeConfig
 from pactlens.functions import risk
 from pactlens.functions.text import sentences
-from pactlens.operators.cascade import KEYS, attach_scores, cascade, keyword_signals, risk_records
+from pactlens.operators.cascade import (
+    KEYS, attach_scores, cascade, keyword_signals, risk_records, tier1_decision, tier_top, with_scores)
 from pactlens.operators.hold import hold
 from pactlens.operators.report import assemble_report, keyword_report, summarize_sentences
 from pactlens.operators.segment import segment_sentences
@@ -66,9 +67,34 @@ def analyze_report(docs: DataFrame, config: CascadeConfig, text: str = "text", t
     """
     if tier1 is None and tier2 is None and not (config.uses_ml or config.uses_transformer):
         return keyword_report(docs, config, sentences(F.col(text)))
-    sents = segment_sentences(docs, text)
+    return report_of_sentences(docs, segment_sentences(docs, text), config, tier1, tier2)
+
+
+def report_of_sentences(docs: DataFrame, sents: DataFrame, config: CascadeConfig, tier1: DataFrame | None = None,
+                        tier2: DataFrame | None = None, scorers: dict | None = None) -> DataFrame:
+    """(doc_id, risks, ccic, summary) from sentence rows, with score tables or with batch scorers for the model tiers."""
     totals = sents.groupBy("doc_id").agg(F.count("*").alias("total_sentences"))
-    return assemble_report(docs, totals, analyze_risks(sents, config, tier1, tier2), config)
+    if scorers:
+        risks = risk_records(score_by_models(sents, config, scorers), KEYS)
+    else:
+        risks = analyze_risks(sents, config, tier1, tier2)
+    return assemble_report(docs, totals, risks, config)
+
+
+def score_by_models(sents: DataFrame, config: CascadeConfig, scorers: dict) -> DataFrame:
+    """Sentence rows to risk rows by batch scorers ("tier1", "tier2"), which abstain on sentences that they fail on.
+
+    The second tier scores only what the first leaves open.
+    """
+    staged, names = sents.select(*KEYS, "sentence"), {"tier1": None, "tier2": None}
+    if "tier1" in scorers and config.uses_transformer:
+        staged, names["tier1"] = with_scores(staged, scorers["tier1"], "tier1", on_error="abstain"), "tier1"
+        staged = hold(staged, _top=tier_top(F.col("tier1"), F.col("sentence"), is_array=True))
+        staged = staged.withColumn("_open", tier1_decision(F.col("_top"), config)["label"].isNull()).drop("_top")
+    if "tier2" in scorers and config.uses_ml:
+        where = "_open" if names["tier1"] else None
+        staged, names["tier2"] = with_scores(staged, scorers["tier2"], "tier2", where=where, on_error="abstain"), "tier2"
+    return cascade(staged, config, **names).drop("tier1", "tier2", "_open")
 
 
 def write_report(report: DataFrame, path: str, fmt: str = "json") -> None:

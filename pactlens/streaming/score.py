@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from pactlens.config import CascadeConfig
 from pactlens.functions.text import sentences
 from pactlens.operators.cascade import cascade
 from pactlens.operators.report import keyword_report
+from pactlens.operators.segment import segment_sentences
+from pactlens.plans.analyze import report_of_sentences
 
 
 def stream_report(docs: DataFrame, config: CascadeConfig, text: str = "text",
@@ -22,6 +26,31 @@ def stream_report(docs: DataFrame, config: CascadeConfig, text: str = "text",
     return keyword_report(docs, config, sentences(F.col(text)))
 
 
+def run_scored_reports(docs: DataFrame, config: CascadeConfig, path: str, checkpoint: str, tier1: DataFrame | None = None,
+                       tier2: DataFrame | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None, text: str = "text",
+                       scorers: dict[str, Callable] | None = None, partitions: int | None = None) -> DataFrame:
+    """The full cascade over arriving documents: nested reports as a table, without any state.
+
+    A document arrives whole, so its sentences meet the score tables (tier1, tier2) inside its micro-batch; the tables are
+    read anew for each batch, so rows that a model has added since are seen. `scorers` ("tier1", "tier2") score the
+    batch's sentences instead, the second tier only those that the first leaves open. `prepare` turns a batch into
+    (doc_id, sent_idx, sentence) where segmentation of `text` is not what is wanted. Each batch overwrites a
+    folder of its own, so a batch that is repeated after a failure leaves one copy. Without arrivals the
+    table is empty.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        given = batch.repartition(partitions) if partitions else batch
+        sents = prepare(given) if prepare else segment_sentences(given, text)
+        report = report_of_sentences(given.select("doc_id"), sents, config, tier1, tier2, scorers)
+        report.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    write(docs.sparkSession.createDataFrame([], docs.schema), -1)
+    query = (docs.writeStream.option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).foreachBatch(write).start())
+    query.awaitTermination()
+    return docs.sparkSession.read.option("basePath", path).parquet(path).drop("batch")
+
+
 def stream_severity_windows(rows: DataFrame, config: CascadeConfig, ts: str = "ts", window: str = "1 day",
                             delay: str = "1 hour") -> DataFrame:
     """(window_start, severity, n): risks per event-time window, late rows dropped.

@@ -68,7 +68,11 @@ def with_fragment(keyed: DataFrame) -> DataFrame:
 
 def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, sent_idx, h, sentence) over all sentences of all documents."""
-    segs = segment_sentences(table(spark, sf_dir, "documents"))
+    return clauses_of(table(spark, sf_dir, "documents"))
+
+
+def clauses_of(docs: DataFrame) -> DataFrame:
+    segs = segment_sentences(docs)
     return with_fragment(segs.withColumn("h", clause_hash(F.col("doc_id"), F.col("sent_idx"))))
 
 

@@ -189,9 +189,9 @@ hit AS (SELECT * FROM dec WHERE risk_type IS NOT NULL),
 CASCADE_OUT = "SELECT doc_id, sent_idx, risk_type, severity, severity_score, confidence, detector FROM sc"
 
 
-def scorer_plugin() -> str:
-    # The first of equal scores wins, so a top score of 0.0 gives the first label.
-    top = f"({LABELS})[CASE WHEN length(sentence) % 97 = 0 THEN 1 ELSE length(sentence) % 6 + 1 END]"
+def scorer_plugin(failed: str = "false") -> str:
+    # The first of equal scores wins, so a top score of 0.0 gives the first label; where the scorer fails there is none.
+    top = f"CASE WHEN NOT {failed} THEN ({LABELS})[CASE WHEN length(sentence) % 97 = 0 THEN 1 ELSE length(sentence) % 6 + 1 END] END"
     return f"""WITH {CLAUSES},
 p AS (SELECT *, {top} AS label, (length(sentence) % 97) / {num(97)} AS p FROM cl),
 q AS (SELECT *, CASE WHEN label <> 'None' AND {calibrated('p')} >= {num(0.6)} THEN label END AS first,
@@ -413,6 +413,7 @@ FROM x WINDOW w AS (PARTITION BY vec_id)"""
 severity_score, {expl} AS explanation, 'template' AS explanation_source,
 round_even(confidence, 4) AS confidence, detector FROM sc"""
     out["scorer_plugin"] = scorer_plugin()
+    out["scorer_failures"] = scorer_plugin("(length(sentence) % 97 = 0)")
     lex = PROSE_LEXICON
     out["custom_lexicon"] = f"""WITH {SEGS}, lx AS (SELECT {key}, lower(sentence) AS l FROM segs),
 t AS (SELECT *, {keyword('l', lex)} AS risk_type, NULL::DOUBLE AS confidence FROM lx),
@@ -435,6 +436,7 @@ a AS (SELECT documents.doc_id, coalesce(total_sentences, 0) AS total_sentences,
   coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, coalesce(risks_md5, md5('')) AS risks_md5
   FROM documents LEFT JOIN t USING (doc_id) LEFT JOIN s USING (doc_id))
 SELECT doc_id, total_sentences, risky_count, {PERCENT} AS risk_percentage, high, medium, low, 'auto' AS mode, risks_md5 FROM a"""
+    out["stream_score_auto"] = out["cascade_report_roundtrip"]
     rank = " ".join(f"WHEN {lit(c)} THEN {i}" for i, c in enumerate(BASE.category_names))
     out["category_shares"] = f"""WITH {KW_SCORED},
 c AS (SELECT risk_type, (CASE risk_type {rank} END)::BIGINT AS cat_rank, count(*)::BIGINT AS n FROM ks GROUP BY risk_type)

@@ -248,6 +248,20 @@ def scorer_plugin(spark, sf):
     return scored.select(*KEYS, "risk_type", "severity", "severity_score", "confidence", "detector")
 
 
+def _faulty_scorer(sentences):
+    """The demo scorer, which fails on a batch that holds a sentence of a multiple of 97 characters."""
+    if (sentences.str.len() % 97 == 0).any():
+        raise RuntimeError("no score")
+    return _demo_scorer(sentences)
+
+
+@query
+def scorer_failures(spark, sf):
+    """Both tiers scored by a function that fails on some sentences: these abstain, their batch does not."""
+    scored = analyze.score_by_models(derive.clauses(spark, sf), AUTO, {"tier1": _faulty_scorer, "tier2": _faulty_scorer})
+    return scored.select(*KEYS, "risk_type", "severity", "severity_score", "confidence", "detector")
+
+
 @query
 def custom_lexicon(spark, sf):
     sents = segment.segment_sentences(derive.table(spark, sf, "documents"))
@@ -722,6 +736,19 @@ def stream_score(spark, sf):
     return _flat_report(nested)
 
 
+@query
+def stream_score_auto(spark, sf):
+    """Nested reports of the full cascade over documents read as a stream, with both score tables."""
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf).select("doc_id", "text")
+    keyed = derive.clauses(spark, sf)
+    path = scratch_dir(spark, "stream")
+    nested = streaming.run_scored_reports(
+        docs, AUTO, f"{path}/out", f"{path}/state", derive.tier1_scores(keyed), derive.tier2_scores(keyed),
+        prepare=derive.clauses_of, partitions=spark.sparkContext.defaultParallelism)
+    return _flat_report(nested).drop("n_keyword")
+
+
 @query
 def stream_severity_windows(spark, sf):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
