@@ -1,7 +1,9 @@
-"""Near duplicates of whole texts: SimHash links and MinHash bands propose, exact Jaccard similarity decides.
+"""Near duplicates of whole texts: SimHash links and MinHash bands propose, exact similarity decides.
 
-Texts at 0.8 differ in about ten fingerprint bits, beyond the SimHash index, so bands of MinHash values add
-the candidates that it does not promise; both are verified by the sets of five-word shingles.
+The similarity is the one that SimHash estimates, the cosine of the sets of five-word shingles: the shared ones over
+the geometric mean of the sizes. Texts at 0.8 differ in about 13 fingerprint bits, beyond the SimHash index, so
+bands of MinHash values add the candidates that it does not promise. A cosine of c means a Jaccard similarity of
+c / (2 - c) for sets of equal size, and of c * c at least whatever the sizes; the number of bands follows from the former.
 """
 
 from __future__ import annotations
@@ -15,11 +17,11 @@ from pyspark.sql import functions as F
 
 from pactlens.llm import simhash
 from pactlens.llm.components import components
-from pactlens.llm.paragraphs import BAND_ROWS, RECALL, SIMILARITY, WIDTH, band_count, verified_links
+from pactlens.llm.paragraphs import GROUP_SHINGLES, RECALL, SIMILARITY, WIDTH, band_count, cosine_of, verified_links
 from pactlens.llm.words import mix, pieces
 from pactlens.sources.scratch import store
 
-GROUP_ROWS = 256       # members of a candidate group that one task verifies at once
+BAND_ROWS = 3
 _CHUNK = 1 << 18       # shingles handled at once, where one text has no more
 _NEXT = np.uint64(0x9FB21C651E98DF25)
 
@@ -86,9 +88,9 @@ def _pid(text: str):
 
 
 def clusters(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL,
-             width: int = WIDTH, most: int = GROUP_ROWS) -> DataFrame:
+             width: int = WIDTH, most: int = GROUP_SHINGLES) -> DataFrame:
     """(node, component): texts, by hash, that verified links join; others have no row."""
-    bands = band_count(similarity, BAND_ROWS, recall)
+    bands = band_count(similarity / (2 - similarity), BAND_ROWS, recall)
     source = docs.select(F.col(text).alias("text"), _pid(text).alias("pid"))
     found = store(source.mapInArrow(lambda b: _bands(b, bands, width), "pid long, bands array<long>").dropDuplicates(["pid"]), "bands")
     keyed = found.select(F.explode("bands").alias("band"), "pid")
@@ -104,20 +106,26 @@ def clusters(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY
     groups = components(stars.union(prints)).select(F.col("node").alias("_p"), F.col("component").alias("group"))
     wanted = source.join(groups, F.col("pid") == F.col("_p")).select("text", "pid", "group")
     sets = store(wanted.mapInArrow(lambda b: _fetch(b, width), "pid long, group long, shingles array<long>").dropDuplicates(["pid"]), "shingles")
-    return components(verified_links(sets, similarity, most))
+    return components(verified_links(sets, similarity, most, cosine_of))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """One row of each cluster, of the smallest key; NULL keys come last, equal keys follow by the text's hash.
 
-    Texts link at `similarity` or more of their shingle sets. Texts without words are alike. The columns
-    are those of `docs`.
+    Texts link at a cosine of `similarity` or more of their shingle sets. Texts without words are alike. The columns
+    are those of `docs`, whatever their names; an empty table gives no rows. Texts are named by 64-bit
+    hashes in the search; a row is dropped only beside a kept one, found under its key and a second, independent hash.
     """
-    rows = docs.select(F.col(key).alias("key"), _pid(text).alias("pid")).groupBy("key", "pid").agg(F.count("*").alias("n"))
+    # Columns of the search stand in structs, apart from those of the table.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").alias("key"),
+                       _pid(f"`{text}`").alias("pid"), F.xxhash64(F.lit(1), F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("check"))
+    counts = rows.groupBy("key", "pid", "check").agg(F.count("*").alias("n"))
     joined = clusters(docs, text, **how).withColumnRenamed("node", "pid")
-    named = rows.join(joined, "pid", "left").withColumn("component", F.coalesce("component", "pid"))
-    first = named.groupBy("component").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "pid", "n")).alias("kept"))
-    kept = store(first.select(F.col("kept.key").alias("_k"), F.col("kept.pid").alias("_p"), F.col("kept.n").alias("_n")), "kept")
-    picked = docs.withColumn("_pid", _pid(text)).join(kept, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_pid") == F.col("_p")))
-    again = picked.filter("_n > 1").withColumn("_nth", F.row_number().over(Window.partitionBy("_k", "_p").orderBy("_p"))).filter("_nth = 1")
-    return picked.filter("_n = 1").select(*docs.columns).unionByName(again.select(*docs.columns))
+    # Texts without a cluster are groups of their own, two of one hash too.
+    named = counts.join(joined, "pid", "left").withColumn("lone", F.when(F.col("component").isNull(), F.col("check")))
+    first = named.groupBy(F.coalesce("component", "pid"), "lone").agg(
+        F.min(F.struct(F.col("key").isNull().alias("none"), "key", "pid", "check", "n")).alias("kept"))
+    kept = store(first.select(F.col("kept.key").alias("_k"), F.col("kept.pid").alias("_p"), F.col("kept.check").alias("_c"), F.col("kept.n").alias("_n")), "kept")
+    picked = rows.join(kept, F.col("key").eqNullSafe(F.col("_k")) & (F.col("pid") == F.col("_p")) & (F.col("check") == F.col("_c")))
+    again = picked.filter("_n > 1").withColumn("_nth", F.row_number().over(Window.partitionBy("_k", "_p", "_c").orderBy("_p"))).filter("_nth = 1")
+    return picked.filter("_n = 1").select("row.*").unionByName(again.select("row.*"))

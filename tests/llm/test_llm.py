@@ -161,13 +161,13 @@ def test_simhash_links_of_long_lists(spark):
 
 
 def test_near_dedup_at_four_fifths(spark):
-    """Planted copies at 0.8 to 0.95 leave, texts below stay; against brute force, with keys and texts repeated."""
+    """Planted copies at a cosine of 0.8 or more leave, texts below stay; against brute force, with keys and texts repeated."""
     rng = random.Random(4)
     docs = []
     for i in range(40):
         w = [f"w{rng.randrange(10**6)}" for _ in range(200)]
         docs.append((2 * i, " ".join(w)))
-        for at in range(5, 200, 200 // (1 + i % 8))[:1 + i % 8]:
+        for at in range(5, 200, 200 // (1 + i % 12))[:1 + i % 12]:
             w[at] = "changed"
         docs.append((2 * i + 1, " ".join(w)))
     docs += [(90, None), (91, " "), (92, "Two words"), (93, "two  words"), (None, "a b c d e f"), (None, "g h i j k l"), (None, "g h i j k l")]
@@ -179,14 +179,29 @@ def test_near_dedup_at_four_fifths(spark):
     sets, links, all_ = brute.Sets(), 0, [shingles(t) for _, t in docs]
     for i in range(len(docs)):
         for j in range(i):
-            if len(all_[i] & all_[j]) >= 0.8 * len(all_[i] | all_[j]) - 1e-9:
+            if len(all_[i] & all_[j]) >= 0.8 * (len(all_[i]) * len(all_[j])) ** 0.5 - 1e-9:
                 sets.join(i, j)
                 links += 1
     want = [docs[i] for i in range(len(docs)) if sets.find(i) == i]
     assert links >= 20 and len(want) > 45
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
-    got = plain(neardup.keep_one(df), "doc_id", "text")
-    assert sorted(got, key=str) == sorted(want, key=str)
+    for most in (600, paragraphs.GROUP_SHINGLES):
+        got = plain(neardup.keep_one(df, most=most), "doc_id", "text")
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_near_dedup_of_awkward_rows(spark, awkward, repeated, empty):
+    """Nulls, copies, empty tables, and columns named like those of the search."""
+    texts = {t for _, t, *_ in AWKWARD}
+    for df in (awkward, repeated):
+        odd = df.selectExpr("*", "1 as _n", "'x' as _pid", "2 as _k", "3 as pid", "4 as `check`", "5 as row", "6 as component", "7 as `a b`")
+        kept = neardup.keep_one(odd)
+        assert kept.columns == odd.columns and kept.schema == odd.schema
+        rows = plain(kept, "doc_id", "text", "_n", "_pid", "pid")
+        assert len(rows) == len(set(rows)) and {r[2:] for r in rows} == {(1, "x", 3)}
+        # Texts without words are one, as are the copies, with a few words more or in capitals; all else stays.
+        assert {r[0] for r in rows} == {1, 4, 5, 6, None, 12} and {r[1] for r in rows} <= texts
+    assert neardup.keep_one(empty).columns == empty.columns and neardup.keep_one(empty).count() == 0
 
 
 # --- 3: decontamination ------------------------------------------------------------------------
@@ -364,17 +379,88 @@ def test_paragraphs(spark, table, rows, awkward, repeated, empty):
     names = ("doc_id", "line", "kept_doc_id", "kept_line")
     docs = [(k, t) for k, t, *_ in rows]
     want = brute.paragraphs(docs, paragraphs.MIN_WORDS, paragraphs.SIMILARITY)
-    for most in (3, paragraphs.GROUP_ROWS):
-        got = {r[:2]: r[2:] for r in plain(paragraphs.repeated_paragraphs(table, most=most), *names)}
+    for most in (30, paragraphs.GROUP_SHINGLES):
+        got = {r[:2]: r[2:] for r in plain(paragraphs.repeated_paragraphs(table, most=most).filter("kind = 'line'"), *names)}
         assert got == want
     known = brute.paragraphs([(k, t) for k, t, *_ in AWKWARD if k is not None], 25, 0.8)
     for df in (awkward, repeated):
-        found = plain(paragraphs.repeated_paragraphs(df), *names)
+        found = plain(paragraphs.repeated_paragraphs(df).filter("kind = 'line'"), *names)
         assert {r[:2]: r[2:] for r in found} == known and len(found) == len(known)
     assert paragraphs.repeated_paragraphs(empty).count() == 0
     assert paragraphs.band_count(0.8, 4, 0.99) == 9
 
 
+def test_long_lines_are_one_unit(spark):
+    """Equal lines of some hundred KB at other places in their texts, beyond what the tokeniser takes at once."""
+    rng = random.Random(3)
+    line = " ".join(f"w{rng.randrange(10**5)}" for _ in range(60_000))
+    docs = [(1, "short line\n" + line), (2, "x " * 40_000 + "\n" + line + "\nend"), (3, line + " more words here")]
+    got = {r[:2]: r[2:] for r in plain(paragraphs.repeated_paragraphs(
+        spark.createDataFrame(docs, "doc_id long, text string")).filter("kind = 'line'"), "doc_id", "line", "kept_doc_id", "kept_line", "n_words")}
+    assert got == {(2, 1): (1, 1, 60_000), (3, 0): (1, 1, 60_003)}
+
+
+def test_pieces_of_content():
+    """Pieces cover each text in order, and a passage has the same ones wherever it stands but for its ends."""
+    rng = random.Random(6)
+    passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(80))
+    noise = [" ".join(f"n{rng.randrange(10**6)}" for _ in range(50)) for _ in range(4)]
+    texts = [f"{noise[0]} {passage} {noise[1]}", f"{noise[2]}\n{passage.replace(' ', chr(10))} {noise[3]}", None, "", "one", "a a a a a a a a a a a a"]
+    (chunk,) = paragraphs.whole_texts(pa.array(texts))
+    row, start, size, ids = paragraphs.content_pieces(chunk)
+    for r, t in enumerate(texts):
+        own = row == r
+        assert size[own].sum() == len(brute.words(t))
+        assert (start[own] == np.concatenate(([0], np.cumsum(size[own])[:-1]))[:own.sum()]).all()
+    shared = set(ids[row == 0].tolist()) & set(ids[row == 1].tolist())
+    assert size[(row == 0) & np.isin(ids, list(shared))].sum() >= 80 - 4 * paragraphs.REACH - 12
+
+
+def test_passages(spark, table, rows):
+    """All runs of 50 words that occur twice: nearly each is found, and what is found does repeat."""
+    found = paragraphs.repeated_paragraphs(table).filter("kind = 'passage'")
+    places = collections.defaultdict(set)
+    texts = {k: brute.words(t) for k, t, *_ in rows}
+    for k, _, _, _ in rows:
+        for i in range(len(texts[k]) - 49):
+            places[tuple(texts[k][i:i + 50])].add((k, i))
+    later = {p for at in places.values() if len(at) > 1 for p in sorted(at)[1:]}
+    got = plain(found, "doc_id", "first_word", "n_words", "kept_doc_id", "kept_word")
+    spans = collections.defaultdict(list)
+    for k, at, n, other, there in got:
+        assert n >= 25 and (other, there) < (k, at)
+        head = texts[k][at:at + 6]
+        assert head == texts[other][there:there + 6]
+        spans[k].append((at, at + n))
+    hit = sum(any(a < i + 50 and b > i for a, b in spans[k]) for k, i in later)
+    assert later and hit >= 0.95 * len(later)
+    # Each found piece of text occurs elsewhere too.
+    grams = collections.Counter(tuple(w[i:i + 6]) for w in texts.values() for i in range(len(w) - 5))
+    assert all(grams[tuple(texts[k][i:i + 6])] > 1 for k, at, n, *_ in got for i in (at,))
+
+
+def test_planted_passages(spark):
+    """Passages of 51 to 90 words inside other text, at any place in lines of any length."""
+    rng = random.Random(12)
+    def some(n, tag):
+        return [f"{tag}{rng.randrange(10**7)}" for _ in range(n)]
+
+    def broken(w):
+        return " ".join(x + rng.choice(["", "", "", "", "", "", "\n"]) for x in w)
+
+    docs, planted = [], set()
+    for i in range(300):
+        passage = some(rng.randint(51, 90), "p")
+        for j in (2 * i, 2 * i + 1):
+            w = some(rng.randint(0, 200), "n")
+            at = rng.randint(0, len(w))
+            docs.append((j, broken(w[:at] + passage + w[at:])))
+        planted.add(2 * i + 1)
+    docs += [(1000 + i, broken(some(300, "c"))) for i in range(100)]
+    found = {k for k, in plain(paragraphs.repeated_paragraphs(spark.createDataFrame(docs, "doc_id long, text string")), "doc_id")}
+    assert found <= planted and len(found) >= 0.97 * len(planted)
+
+
 # --- 8: mixing ---------------------------------------------------------------------------------------
 
 
