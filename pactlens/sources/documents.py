@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactlens.functions.validation import (
-    ALLOWED_EXTENSIONS, ERR_FILE_TYPE, ERR_TOO_LARGE, MAX_UPLOAD_BYTES, extension, input_error, input_kind)
+    ALLOWED_EXTENSIONS, ERR_FILE_TYPE, ERR_NO_INPUT, ERR_TOO_LARGE, MAX_UPLOAD_BYTES, extension, input_error, input_kind)
+from pactlens.sources.checked import Checked, split_checked
 
 REPLACEMENT = "\ufffd"
 ASIDE = "\ufdd0\ufdd1\ufdd0"  # noncharacters, never part of interchanged text
@@ -41,6 +42,11 @@ def validate_inputs(inputs: DataFrame, file_name: str = "file_name", text: str =
             .withColumn("error", input_error(F.col(file_name), F.col(text))))
 
 
+def accept_inputs(inputs: DataFrame, path: str | None = None, file_name: str = "file_name", text: str = "text") -> Checked:
+    """Usable inputs, refused ones with their error, and counts by error, in one pass."""
+    return split_checked(validate_inputs(inputs, file_name, text), (ERR_FILE_TYPE, ERR_NO_INPUT, ERR_TOO_LARGE), path=path)
+
+
 def concat_pages(pages: DataFrame, doc: str = "doc_id", page: str = "page_no", text: str = "text") -> DataFrame:
     """(doc, text): page texts joined in page order without a separator, one row per document.
 

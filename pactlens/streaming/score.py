@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pactlens.config import CascadeConfig
 from pactlens.functions.text import sentences
@@ -63,6 +64,50 @@ def stream_severity_windows(rows: DataFrame, config: CascadeConfig, ts: str = "t
     return counts.select(F.col("window.start").alias("window_start"), "severity", "n")
 
 
+def run_final_windows(rows: DataFrame, config: CascadeConfig, path: str, checkpoint: str, ts: str = "ts", window: str = "1 day",
+                      delay: str = "1 hour") -> tuple[DataFrame, DataFrame]:
+    """((window_start, severity, n, closed), (ts, severity, window_start) of late rows): no risk is lost.
+
+    Each micro-batch writes its risks once. A batch's watermark is the latest time of the batches before it, less
+    `delay`, and is the same when a batch is repeated; a risk whose window has ended by then is late and goes to
+    the second table instead. A window is closed, and its counts are final, once the watermark has passed its end. Rows with
+    a NULL time have no window and are left out. What is
+    kept are the written risks, two columns each, so there is no state to hold in memory.
+    """
+    spark = rows.sparkSession
+    risks_path, marks_path = f"{path}/risks", f"{path}/marks"
+    kinds = f"`{ts}` timestamp, severity string, window_start timestamp, window_end timestamp, late boolean, batch long"
+    no_marks = spark.createDataFrame([], "latest timestamp, batch long")
+
+    def watermark(before: int | None) -> Column:
+        marks = spark.read.schema(no_marks.schema).parquet(marks_path)
+        marks = marks if before is None else marks.filter(F.col("batch") < before)
+        latest = marks.agg(F.max("latest")).first()[0]
+        return F.lit(latest).cast("timestamp") - F.expr(f"INTERVAL {delay}")
+
+    def write(batch: DataFrame, number: int) -> None:
+        seen = Observation()
+        limit = watermark(number)
+        scored = cascade(batch.observe(seen, F.max(ts).alias("latest")), config, tier1=None, tier2=None)
+        held = scored.select(F.col(ts), "severity", F.window(ts, window).alias("w"))
+        late = F.coalesce(F.col("w.end") <= limit, F.lit(False))
+        out = held.select(ts, "severity", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), late.alias("late"))
+        out.write.mode("overwrite").parquet(f"{risks_path}/batch={number}")
+        mark = spark.range(1).select(F.lit(seen.get["latest"]).cast("timestamp").alias("latest"))
+        mark.coalesce(1).write.mode("overwrite").parquet(f"{marks_path}/batch={number}")
+
+    no_marks.drop("batch").write.mode("overwrite").parquet(f"{marks_path}/batch=-1")
+    nothing = T.StructType([f for f in spark.createDataFrame([], kinds).schema.fields if f.name != "batch"])
+    spark.createDataFrame([], nothing).write.mode("overwrite").parquet(f"{risks_path}/batch=-1")
+    query = (rows.writeStream.option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).foreachBatch(write).start())
+    query.awaitTermination()
+    risks = spark.read.schema(kinds).parquet(risks_path)
+    counts = risks.filter("NOT late").groupBy("window_start", "window_end", "severity").agg(F.count("*").alias("n"))
+    closed = F.coalesce(F.col("window_end") <= watermark(None), F.lit(False))
+    return counts.select("window_start", "severity", "n", closed.alias("closed")), risks.filter("late").select(ts, "severity", "window_start")
+
+
 def run_updates_to_table(stream: DataFrame, path: str, checkpoint: str, keys: tuple, count: str) -> DataFrame:
     """Process everything available in update mode; the newest count of every key, open windows included.
 

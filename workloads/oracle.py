@@ -398,6 +398,10 @@ CASE WHEN doc_id % 6 IN (3, 4) THEN {lit(validation.ERR_FILE_TYPE)} WHEN doc_id
   WHEN doc_id % 7 > 1 AND {strip('text')} <> '' THEN NULL ELSE {lit(validation.ERR_NO_INPUT)} END AS error
 FROM documents"""
 
+    out["rejected_inputs"] = out["validate_inputs"]
+    known = ", ".join(f"({lit(e)})" for e in (validation.ERR_FILE_TYPE, validation.ERR_NO_INPUT, validation.ERR_TOO_LARGE, "other"))
+    out["input_errors"] = f"""WITH v AS ({out['validate_inputs']}), k(error) AS (VALUES (NULL), {known})
+SELECT k.error, count(v.doc_id)::BIGINT AS n FROM k LEFT JOIN v ON v.error IS NOT DISTINCT FROM k.error GROUP BY 1"""
     out["calibrate_confidence"] = f"""WITH {CLAUSES}, x AS (SELECT {key}, ((h * 37) % 997) / {num(997)} AS p FROM cl)
 SELECT {key}, p, {calibrated('p')} AS calibrated, {calibrated('p', 2.5)} AS calibrated_hot FROM x"""
     out["temperature_softmax"] = f"""WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE / {num(1.5)} AS v,
@@ -462,6 +466,10 @@ n_transformer, n_ml, n_keyword FROM a"""
     out["read_labeled"] = f"WITH {MERGED} SELECT {clean(quoted)} AS sentence, label, source FROM merged"
     out["read_labeled_mixed_headers"] = f"""WITH {MERGED} SELECT {clean('sentence')} AS sentence, label,
 CASE WHEN source_rank <> 1 THEN source END AS source, source_rank = 2 AS noted FROM merged"""
+    out["labelled_errors"] = f"""WITH {MERGED}, e AS (SELECT CASE WHEN seq % 7 = 0 OR {strip('sentence')} = '' THEN 'blank sentence'
+  WHEN seq % 5 = 0 THEN 'blank label' END AS error FROM merged), k(error) AS (VALUES (NULL), ('blank sentence'), ('blank label'), ('other'))
+SELECT k.error, count_if(e.error IS NOT DISTINCT FROM k.error)::BIGINT AS n FROM k, e GROUP BY 1"""
+    out["corpus_partitions"] = f"WITH {MERGED} SELECT sentence, label, source FROM merged WHERE label <> 'Penalty' OR source_rank = 0"
     out["load_training_data"] = f"WITH {MERGED} SELECT {strip('sentence')} AS sentence, label FROM merged"
     out["first_seen_files"] = f"""WITH {MERGED} SELECT {clean('sentence')} AS sentence,
 CASE WHEN bool_or(label = 'Penalty') THEN 'A' ELSE 'B' END AS label FROM merged GROUP BY 1"""
@@ -562,6 +570,7 @@ t AS (SELECT *, {keyword('l')} AS risk_type, NULL::DOUBLE AS confidence FROM f),
 hit AS (SELECT * FROM t WHERE risk_type IS NOT NULL),
 {scored('sc', 'hit', '*')}
 SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, severity, count(*)::BIGINT AS n FROM sc GROUP BY ALL"""
+    out["stream_final_windows"] = out["stream_severity_windows"]
     out["train_ml"] = f"""WITH s AS ({out['stratified_split']})
 SELECT label, count(*)::BIGINT AS support, 0::BIGINT AS mismatches, true AS beats_majority FROM s WHERE is_test GROUP BY label"""
     out["ml_predict"] = f"""WITH m AS ({out['merge_corpora']})

@@ -14,9 +14,9 @@ from pactlens.operators import (
 from pactlens.operators.hold import hold
 from pactlens.operators.sizing import spread
 from pactlens.plans import analyze, build_corpus
+from pactlens.sources import checked, headers, labeled
 from pactlens.sources import clauses as clause_sources
 from pactlens.sources import documents as document_sources
-from pactlens.sources import labeled
 from pactlens.sources.scratch import scratch_dir, store
 from pactlens.streaming import score as streaming
 from workloads import derive
@@ -398,6 +398,41 @@ def load_training_data(spark, sf):
     return labeled.load_training_data(spark, path).select("sentence", "label")
 
 
+@query
+def input_errors(spark, sf):
+    """Inputs by error, counted while accepted and refused rows are written."""
+    return document_sources.accept_inputs(derive.inputs(spark, sf)).report()
+
+
+@query
+def rejected_inputs(spark, sf):
+    """What the written table holds: refused inputs with their error, accepted ones with their kind."""
+    parts = document_sources.accept_inputs(derive.inputs(spark, sf))
+    accepted = parts.accepted.select("doc_id", "input_kind", F.lit(None).cast("string").alias("error"))
+    return accepted.unionByName(parts.rejected.select("doc_id", "input_kind", "error"))
+
+
+@query
+def labelled_errors(spark, sf):
+    """Rows of a labelled CSV by error, of which some have a blank sentence or label."""
+    path = scratch_dir(spark, "blanks")
+    rows = _merged(spark, sf).select(
+        F.when(F.col("seq") % 7 != 0, F.col("sentence")).otherwise(F.lit(" \t")).alias("sentence"),
+        F.when(F.col("seq") % 5 != 0, F.col("label")).alias("label"))
+    labeled.write_corpus(rows, path)
+    return checked.check_labelled(headers.read_by_header(spark, path, ("sentence", "label")), least=20).report()
+
+
+@query
+def corpus_partitions(spark, sf):
+    """A corpus written by label, then one class written again: only its folder is replaced."""
+    path = scratch_dir(spark, "by-label")
+    rows = _merged(spark, sf)
+    labeled.write_corpus(rows, path, "parquet", by_label=True)
+    labeled.write_corpus(rows.filter("label = 'Penalty' AND source_rank = 0"), path, "parquet", by_label=True)
+    return spark.read.parquet(path).select("sentence", "label", "source")
+
+
 @query
 def first_seen_files(spark, sf):
     """First-seen rows of two CSV files; the first one by name is the smaller."""
@@ -749,6 +784,22 @@ def stream_score_auto(spark, sf):
     return _flat_report(nested).drop("n_keyword")
 
 
+@query
+def stream_final_windows(spark, sf):
+    """Risks per window, those of windows and the late ones together; three micro-batches out of order."""
+    events = spark.read.parquet(f"{sf}/events.parquet").select(
+        F.col("ts").cast("timestamp").alias("ts"), derive.fragment(F.col("event_id") * 17).alias("sentence"))
+    path = scratch_dir(spark, "final")
+    for k in (2, 0, 1):  # the middle third of the days arrives last
+        events.filter(F.pmod(F.floor(F.unix_timestamp("ts") / 86400), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    windows, late = streaming.run_final_windows(stream, KEYWORD, f"{path}/out", f"{path}/state")
+    every = windows.select("window_start", "severity", "n").unionByName(
+        late.groupBy("window_start", "severity").agg(F.count("*").alias("n")))
+    out = every.groupBy("window_start", "severity").agg(F.sum("n").alias("n"))
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 @query
 def stream_severity_windows(spark, sf):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
