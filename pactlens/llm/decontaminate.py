@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pactlens.llm.prefilter import bitmap, marked
 from pactlens.llm.words import lower_ascii, words
 from pactlens.operators.hold import hold
 from pactlens.operators.sizing import broadcast_if_small
@@ -156,7 +157,10 @@ def _aligned(source: DataFrame, hits: DataFrame, windows: DataFrame) -> DataFram
     """
     places = hits.groupBy("key", "rid").agg(F.collect_set(F.struct("pos", "width")).alias("places"))
     places = places.withColumnRenamed("key", "_k").withColumnRenamed("rid", "_r")
-    held = source.join(places, F.col("key").eqNullSafe(F.col("_k")) & (F.col("rid") == F.col("_r"))).drop("_k", "_r")
+    places = store(places, "places")
+    # Most texts have no hit: they stay where they are.
+    likely = marked(source, F.col("rid"), bitmap(places, "_r")).filter("_likely").drop("_likely")
+    held = likely.join(places, F.col("key").eqNullSafe(F.col("_k")) & (F.col("rid") == F.col("_r"))).drop("_k", "_r")
     held = hold(_read(held), parts=F.transform("places", lambda p: F.struct(
         p["pos"].alias("pos"), *[F.slice(c, p["pos"] + 1, p["width"]).alias(n) for c, n in (("r", "raw"), ("x", "tpl"), ("y", "named"))])))
     spans = held.select("key", "rid", F.inline("parts"))
@@ -211,6 +215,10 @@ def _equal(*names: str) -> Column:
 def clean_documents(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
                     item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of `docs` whose text holds no benchmark passage, with their own columns."""
-    bad = _found(docs.select(key, text), items, key, text, item, item_text).select(
-        F.col("key").alias("_bad"), F.col("rid").alias("_bad_rid")).distinct()
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("_bad")) & (_rid(F.col(text)) == F.col("_bad_rid")), "left_anti")
+    bad = store(_found(docs.select(key, text), items, key, text, item, item_text).select(
+        F.col("key").alias("bad"), F.col("rid").alias("bad_rid")).distinct(), "bad")
+    # Columns of the search stand beside a struct of the table's own; only rows that may be bad are joined.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("key"), _rid(F.col(text)).alias("rid"))
+    rows = marked(rows, F.col("rid"), bitmap(bad, "bad_rid"))
+    tried = rows.filter("_likely").join(bad, F.col("key").eqNullSafe(F.col("bad")) & (F.col("rid") == F.col("bad_rid")), "left_anti")
+    return rows.filter("NOT _likely").select("row.*").unionByName(tried.select("row.*"))

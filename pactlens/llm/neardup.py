@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pactlens.llm import simhash
 from pactlens.llm.components import components
 from pactlens.llm.paragraphs import GROUP_SHINGLES, RECALL, SIMILARITY, WIDTH, band_count, cosine_of, verified_links
+from pactlens.llm.prefilter import bitmap, marked
 from pactlens.llm.words import mix, pieces
 from pactlens.sources.scratch import store
 
@@ -104,7 +105,10 @@ def clusters(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY
     prints = named.join(least, "_c").filter("pid <> b").select(F.col("pid").alias("a"), "b")
 
     groups = components(stars.union(prints)).select(F.col("node").alias("_p"), F.col("component").alias("group"))
-    wanted = source.join(groups, F.col("pid") == F.col("_p")).select("text", "pid", "group")
+    groups = store(groups, "groups")
+    # Most texts have no candidate: they stay where they are.
+    likely = marked(source, F.col("pid"), bitmap(groups, "_p")).filter("_likely")
+    wanted = likely.join(groups, F.col("pid") == F.col("_p")).select("text", "pid", "group")
     sets = store(wanted.mapInArrow(lambda b: _fetch(b, width), "pid long, group long, shingles array<long>").dropDuplicates(["pid"]), "shingles")
     return components(verified_links(sets, similarity, most, cosine_of))
 

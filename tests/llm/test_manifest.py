@@ -167,3 +167,20 @@ def test_witnesses_grow_with_each_append():
                 assert all(merkle.fold(leaves[i], bytes(block.witnesses[i])) == node for i in range(at, end))
         root = block.root()
         assert all(merkle.fold(x, bytes(w)) == root for x, w in zip(leaves, block.witnesses))
+
+
+# --- helper: the bitmap before joins ----------------------------------------------------------------------------
+
+
+def test_bitmap_never_loses_a_hash(spark, monkeypatch):
+    from pactlens.llm import prefilter
+    rng = random.Random(1)
+    every = [rng.getrandbits(63) for _ in range(4000)]
+    rows = spark.createDataFrame([(h,) for h in every] + [(None,)], "h long")
+    wanted = spark.createDataFrame([(h,) for h in every[:500]] * 2, "w long")
+    for bits in (27, 16):  # a small one is full of other hashes, and still has all of its own
+        monkeypatch.setattr(prefilter, "BITS", bits)
+        got = {r["h"]: r["_likely"] for r in prefilter.marked(rows, F.col("h"), prefilter.bitmap(wanted, "w")).collect()}
+        assert len(got) == 4001 and all(got[h] for h in every[:500])
+        assert sum(got.values()) <= (560 if bits == 27 else 1000)
+    assert not any(r["_likely"] for r in prefilter.marked(rows, F.col("h"), prefilter.bitmap(wanted.limit(0), "w")).collect())
