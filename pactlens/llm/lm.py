@@ -3,7 +3,7 @@
 The filter holds the quantised counts of the training tokens and of their pairs. It is broadcast
 in groups of segments of bounded size; workers read counts back by repeated probes and
 interpolate them: P(w | v) = (c(vw) + mu P(w)) / (c(v) + mu), with mu chosen by the leave-one-out
-likelihood of all training texts.
+likelihood of all training texts. P(w) shares the Good-Turing mass of single words among unseen kinds.
 """
 
 from __future__ import annotations
@@ -156,19 +156,29 @@ def _noted(batch: pa.RecordBatch) -> np.ndarray | None:
     return np.frombuffer(b"".join(noted.to_pylist()), dtype=np.uint8).reshape(-1, 2)
 
 
-def score_tables(train_tokens: int, texts: int, singles: int) -> tuple[int, np.ndarray, np.ndarray]:
+def unigrams(value: np.ndarray, mass: float, train_tokens: int, singles: int, distinct: int) -> np.ndarray:
+    """P of one token by its count: the Good-Turing share of single words goes to the kinds never seen.
+
+    That share is split among as many unseen kinds as there are known ones, and one more; the rest follows the counts,
+    which sum to `mass` over the known kinds as the filter holds them.
+    """
+    unseen = min(0.5, max(singles, 1) / max(train_tokens, 1))
+    return np.where(value > 0, (1 - unseen) * value / max(mass, 1), unseen / (distinct + 1))
+
+
+def score_tables(train_tokens: int, texts: int, singles: int, distinct: int, mass: float) -> tuple[int, np.ndarray, np.ndarray]:
     """log10 P and its leave-one-out form for each mu by (token's level, former token's, pair's).
 
-    The former token's level `top` stands for the start of a text, seen once a text.
+    The former token's level `top` stands for the start of a text, seen once a text. Without its own occurrence
+    a word seen once is an unknown one.
     """
     top = int(bloom.levels(np.array([max(train_tokens, 1)]))[0]) + 2
     value = bloom.level_value(top)[:top]
     c1, cv, c2 = np.meshgrid(value, np.append(value, texts), value, indexing="ij")
     c2 = np.minimum(np.minimum(c2, c1), cv)
-    unknown = min(0.5, max(singles, 1) / max(train_tokens, 1))
-    p1 = np.where(c1 > 0, (1 - unknown) * c1 / max(train_tokens, 1), unknown)
+    p1, p1_less = (unigrams(c, mass, train_tokens, singles, distinct) for c in (c1, np.maximum(c1 - 1, 0)))
     model = [np.log10((c2 + mu * p1) / (cv + mu)).ravel() for mu in MUS]
-    loo = [np.log10((np.maximum(c2 - 1, 0) + mu * p1) / (np.maximum(cv - 1, 0) + mu)).ravel() for mu in MUS]
+    loo = [np.log10((np.maximum(c2 - 1, 0) + mu * p1_less) / (np.maximum(cv - 1, 0) + mu)).ravel() for mu in MUS]
     return top, np.array(model), np.array(loo)
 
 
@@ -253,6 +263,8 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", group:
         F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1),
         F.coalesce(F.sum(F.when(F.col("word") == END, F.col("n"))), F.lit(0)), F.coalesce(F.sum(level), F.lit(0))).first()
     log_all = float(np.log10(total + distinct + 1))
+    kinds = vocabulary.groupBy(level.cast("int").alias("level")).agg(F.count("*").alias("n")).collect()  # a row a level
+    mass = float(sum(r["n"] * bloom.level_value(r["level"])[-1] for r in kinds))
 
     segments = bloom.segment_count(total + entries, words)  # a pair enters at most once a token
     stored = store(bloom.build(train.mapInArrow(count_keys, "h long, n long"), segments, words), "filter")
@@ -261,7 +273,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", group:
         held_out(F.col("key")).alias("held_out"), F.lit(None).cast("binary").alias("levels"))
     hot = vocabulary.filter(F.col("word") != END).orderBy(F.desc("n"), "word").limit(hot_words).toArrow()
     table = spark.sparkContext.broadcast(_hot_table(hot))
-    tables = spark.sparkContext.broadcast(score_tables(total, texts, singles))
+    tables = spark.sparkContext.broadcast(score_tables(total, texts, singles, distinct, mass))
     schema = (f"key {docs.schema[key].dataType.simpleString()}, same long, held_out boolean, n_tokens long, n_known long, logs double, "
               "rare array<string>, times array<long>, model array<double>, loo array<double>")
     last = -(-segments // group) - 1

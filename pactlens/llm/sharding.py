@@ -26,15 +26,19 @@ def rendezvous(key: Column, weights: list[float]) -> Column:
     return (F.least(*scores) if len(scores) > 1 else scores[0])["i"]
 
 
+def cell(order: tuple[str, ...], cells: int = CELLS) -> Column:
+    """Cell of a row by all its order columns."""
+    return F.pmod(F.xxhash64(F.lit("cell"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order]), F.lit(cells)).cast("int")
+
+
 def with_slots(rows: DataFrame, shard: str, order: tuple[str, ...], cells: int = CELLS) -> DataFrame:
     """Add `slot`, gapless from 0 in each shard.
 
-    A shard is cut into cells by a hash of the first order column; counts per cell give each
-    cell's first slot and only a cell is sorted. Rows with one key share a cell: keys are
-    expected to be (nearly) unique.
+    A shard is cut into cells by a hash of the order columns; counts per cell give each
+    cell's first slot and only a cell is sorted. Rows of one key, NULL too, spread over the cells by their
+    other order columns; rows equal in all of them are interchangeable and share a cell.
     """
-    cell = F.pmod(F.xxhash64(F.coalesce(F.col(order[0]).cast("string"), F.lit("")), F.lit("cell")), F.lit(cells)).cast("int")
-    celled = rows.withColumn("_cell", cell)
+    celled = rows.withColumn("_cell", cell(order, cells))
     counts = celled.groupBy(shard, "_cell").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(shard).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(F.col(shard).alias("_s"), F.col("_cell").alias("_c"),

@@ -209,3 +209,35 @@ def manifest(rows):
                 at = h(other, at) if odd else h(at, other)
             out.append((r[0], own, subroot, root, h(*[x for _, x in path + end]), at, at == root))
     return out
+
+
+def model_scores(docs, mu):
+    """Interpolated log10 P of each text, counts as their quantised levels have it, without false finds."""
+    def held(n, base=1.5):
+        j = 0
+        while math.ceil(base ** (j + 1) - 1e-9) <= n:
+            j += 1
+        low, high = math.ceil(base ** j - 1e-9), math.ceil(base ** (j + 1) - 1e-9) - 1
+        return (low + max(low, high)) / 2 if n else 0.0
+
+    one, two, starts = collections.Counter(), collections.Counter(), 0
+    for key, text in docs:
+        if crc(key) % 7 != 2:
+            tokens = [None, *words(text), b""]
+            one.update(tokens[1:])
+            two.update(zip(tokens, tokens[1:]))
+            starts += 1
+    total, mass = sum(one.values()), sum(held(n) for n in one.values())
+    unseen = min(0.5, max(sum(n == 1 for n in one.values()), 1) / max(total, 1))
+
+    def p(w):
+        return (1 - unseen) * held(one[w]) / max(mass, 1) if w in one else unseen / (len(one) + 1)
+
+    out = []
+    for _, text in docs:
+        tokens, score = [None, *words(text), b""], 0.0
+        for v, w in zip(tokens, tokens[1:]):
+            before = starts if v is None else held(one[v])
+            score += math.log10((min(held(two[v, w]), held(one[w]), before) + mu * p(w)) / (before + mu))
+        out.append(score)
+    return out, sum(p(w) for w in one) + (len(one) + 1) * p(object())
