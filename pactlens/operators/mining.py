@@ -18,6 +18,9 @@ from pactlens.taxonomy import NONE_COLUMNS, POSITIVE_COLUMNS, mapping_frame
 # Answers that mean "no answer".
 NO_ANSWER = ("n/a", "na")
 
+GRAM = 8                     # characters of a run in the index of sentences
+IN_ROW_WORK = 1 << 26        # characters times answers of a paragraph that its row tests by itself
+
 
 # --- wide clause tables -------------------------------------------------------------------
 
@@ -89,21 +92,74 @@ def qa_positives(answers: DataFrame) -> DataFrame:
     return answers.select(F.explode(sentences(F.col("answer"))).alias("sentence"), "label").distinct()
 
 
-def qa_negatives(paragraphs: DataFrame) -> DataFrame:
+def qa_negatives(paragraphs: DataFrame, in_row_work: int | None = None) -> DataFrame:
     """Distinct context sentences that contain no answer of their own paragraph.
 
     Context and answers sit in the same row, so the exclusion is an array test there:
     no join, no shuffle and no pairs; only the final distinct moves data. An answer with
     a sentence break inside cannot be part of one sentence and is left out of the test.
+
+    The test reads the context once for each answer. With `in_row_work`, paragraphs whose characters
+    times answers exceed it go through an index of their sentences instead; the result is the same.
     """
+    if in_row_work is None:
+        return _free_in_row(paragraphs).distinct()
+    answers = F.aggregate("qas", F.lit(0).cast("bigint"), lambda n, qa: n + F.greatest(F.size(qa["answers"]), F.lit(0)))
+    sized = hold(paragraphs, _work=F.length("context") * answers)
+    light = _free_in_row(sized.filter(F.col("_work") <= in_row_work))
+    heavy = _free_by_index(sized.filter(F.col("_work") > in_row_work))
+    return light.unionByName(heavy).distinct()
+
+
+def _with_snippets(paragraphs: DataFrame) -> DataFrame:
+    """Add `_snippets`, the distinct answers of the mapped questions that one sentence can contain."""
     mapped = F.filter("qas", lambda qa: question_category(qa["question"]).isNotNull())
     texts = F.flatten(F.transform(mapped, lambda qa: F.transform(
         F.coalesce(qa["answers"], F.array().cast(_answers_type(paragraphs))), lambda a: strip(a["text"]))))
-    held = hold(paragraphs, _sents=sentences(F.col("context")),
+    return hold(paragraphs, _sents=sentences(F.col("context")),
                 _snippets=F.array_distinct(F.filter(
                     texts, lambda t: _usable(t) & ~F.rlike(t, F.lit(rf"[.!?]{WHITESPACE}")))))
+
+
+def _free_in_row(paragraphs: DataFrame) -> DataFrame:
     free = F.filter("_sents", lambda s: ~F.exists("_snippets", lambda p: F.contains(s, p)))
-    return held.select(F.explode(free).alias("sentence")).distinct()
+    return _with_snippets(paragraphs).select(F.explode(free).alias("sentence"))
+
+
+def _grams(df: DataFrame, text: str, keys: tuple) -> DataFrame:
+    """(keys..., _g): hashes of the distinct runs of GRAM characters of a text of at least so many."""
+    chars = hold(df, _c=F.split(F.col(text), ""))
+    runs = F.transform(F.sequence(F.lit(0), F.size("_c") - F.lit(GRAM)),
+                       lambda i: F.xxhash64(*[F.get(F.col("_c"), i + k) for k in range(GRAM)]))
+    return chars.filter(F.size("_c") >= GRAM).select(*keys, F.explode(F.array_distinct(runs)).alias("_g"))
+
+
+def _free_by_index(paragraphs: DataFrame) -> DataFrame:
+    """(sentence): the sentences without an answer, found through runs of GRAM characters.
+
+    Each answer waits at the run that fewest sentences of its paragraph have; an answer with a run that none has is
+    nowhere. Only sentences with that run are compared with it. Paragraphs and sentences are named by pairs of 64-bit hashes, counts combine map-side, and the texts of heavy paragraphs are written once. Answers shorter than a run are
+    tested in the row.
+    """
+    held = _with_snippets(paragraphs)
+    name = ("_p", "_q")
+    named = held.select(F.xxhash64("context", "_snippets").alias("_p"), F.xxhash64(F.lit(1), "context", "_snippets").alias("_q"),
+                        F.array_distinct("_sents").alias("_sents"), "_snippets")
+    once = store(named.dropDuplicates([*name]), "paragraphs")
+    short = hold(once, _short=F.filter("_snippets", lambda p: F.length(p) < GRAM))
+    tested = F.filter("_sents", lambda s: ~F.exists("_short", lambda p: F.contains(s, p)))
+    rows = store(short.select(*name, F.posexplode(tested).alias("_s", "sentence")), "sentences")
+    answers = once.select(*name, F.explode(F.filter("_snippets", lambda p: F.length(p) >= GRAM)).alias("_answer"))
+
+    found = _grams(rows, "sentence", (*name, "_s"))
+    counts = found.groupBy(*name, "_g").agg(F.count("*").alias("_n"))
+    rated = _grams(answers, "_answer", (*name, "_answer")).join(counts, [*name, "_g"], "left")
+    rarest = F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_g").alias("g")))
+    anchors = (rated.groupBy(*name, "_answer").agg(rarest.alias("_a")).filter("_a.n > 0")
+               .select(*name, F.col("_a.g").alias("_g"), "_answer"))
+    pairs = found.join(anchors, [*name, "_g"]).select(*name, "_s", "_answer")
+    hits = rows.join(pairs, [*name, "_s"]).filter(F.contains("sentence", "_answer")).select(*name, "_s").distinct()
+    return rows.join(hits, [*name, "_s"], "left_anti").select("sentence")
 
 
 def _answers_type(paragraphs: DataFrame):
@@ -116,7 +172,7 @@ def _answers_type(paragraphs: DataFrame):
 def qa_candidates(paragraphs: DataFrame) -> DataFrame:
     """Distinct (sentence, label) of answers and free context sentences."""
     return qa_positives(qa_answers(paragraphs)).unionByName(
-        qa_negatives(paragraphs).select("sentence", F.lit(NONE_LABEL).alias("label")))
+        qa_negatives(paragraphs, IN_ROW_WORK).select("sentence", F.lit(NONE_LABEL).alias("label")))
 
 
 def prepared_corpus(candidates: DataFrame, none_ratio: float = 1.0, seed: int = 42) -> DataFrame:

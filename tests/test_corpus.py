@@ -91,6 +91,42 @@ def test_qa_corpus(spark):
     assert built.filter("label = 'None'").count() == 2 and built.count() == 6
 
 
+def test_answers_are_found_through_the_index(spark):
+    """The index excludes what the test in the row excludes: short and long answers, repeats, other paragraphs, wide characters."""
+    rng = random.Random(8)
+    words = ["fee", "cap", "\U0001f600\U0001f600", "straße", "law", "party", "of", "the", "termination"]
+
+    def text(n):
+        return " ".join(rng.choices(words, k=n))
+
+    def paragraph():
+        context = ". ".join(text(rng.randrange(1, 12)) for _ in range(30))
+        answers = [rng.choice(context.split(". "))[rng.randrange(4):][:rng.randrange(1, 40)] for _ in range(6)]
+        answers += [text(3), " ", "n/a", "of", None, "a. b", "fee cap law party of the fee"]
+        return {"context": context, "qas": [{"question": "Late payment?", "answers": [{"text": a} for a in answers]},
+                                            {"question": "Who signs?", "answers": [{"text": "the"}]}, {"question": None, "answers": None}]}
+
+    paragraphs = [paragraph() for _ in range(12)]
+    paragraphs += paragraphs[:3] + [{**paragraphs[0], "qas": paragraphs[1]["qas"]}]
+    paragraphs += [{"context": "Plain words here. " * 3, "qas": [{"question": "Late payment?", "answers": None}]}]
+    files = spark.createDataFrame([{"data": [{"paragraphs": paragraphs}]}], QA_SCHEMA)
+    rows = mining.qa_paragraphs(files)
+    want = sorted(r["sentence"] for r in mining.qa_negatives(rows).collect())
+    assert want
+    for work in (0, 20_000, 10**9):
+        assert sorted(r["sentence"] for r in mining.qa_negatives(rows, work).collect()) == want
+
+
+def test_long_paragraph_with_many_answers(spark):
+    """One paragraph of 20,000 sentences and 4,000 answers: a third of them occur, each in one sentence."""
+    sents = [f"Clause {i * 7919 % 1_000_003:07d} binds the parties to the fee." for i in range(20_000)]
+    answers = [f"{i * 7919 % 1_000_003 if i % 3 == 0 else 1_000_003 + i:07d} binds the parties" for i in range(4_000)]
+    one = {"context": " ".join(sents), "qas": [{"question": "Late payment?", "answers": [{"text": a} for a in answers]}]}
+    rows = mining.qa_paragraphs(spark.createDataFrame([{"data": [{"paragraphs": [one]}]}], QA_SCHEMA))
+    got = {r["sentence"] for r in mining.qa_negatives(rows, mining.IN_ROW_WORK).collect()}
+    assert got == {s for i, s in enumerate(sents) if i >= 4_000 or i % 3}
+
+
 def test_wide_corpus(spark):
     wide = spark.createDataFrame(
         [("c1", "Cap is low. <omitted> Cap is low.", "Alpha  Inc. Must pay.", None), ("c2", " <omitted> ", "Alpha Inc.", "x")],

@@ -540,6 +540,7 @@ QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', '42',
     out["qa_json_flatten"] = f"""WITH {QA} SELECT md5(context) AS context_md5, question, label, answer
 FROM ans JOIN para USING (doc_id)"""
     out["mine_negatives_qa"] = f"WITH {QA} SELECT sentence FROM qneg"
+    out["mine_negatives_qa_indexed"] = out["mine_negatives_qa"]
     out["build_corpus_qa"] = prepared(QA, "qpos", "qneg", 0.5)
 
     out["concat_pages"] = """SELECT conv_id AS doc_id,

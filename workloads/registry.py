@@ -622,6 +622,12 @@ def mine_negatives_qa(spark, sf):
     return mining.qa_negatives(mining.qa_paragraphs(derive.qa_files(spark, sf)))
 
 
+@query
+def mine_negatives_qa_indexed(spark, sf):
+    """The same exclusion with every paragraph's sentences in the index."""
+    return mining.qa_negatives(mining.qa_paragraphs(derive.qa_files(spark, sf)), in_row_work=0)
+
+
 @query
 def build_corpus_qa(spark, sf):
     return build_corpus.corpus_from_qa(derive.qa_files(spark, sf), 0.5)
