@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactlens.llm.prefilter import bitmap, marked
-from pactlens.llm.words import lower_ascii, words
+from pactlens.llm.words import SPACE_CLASS
 from pactlens.operators.hold import hold
 from pactlens.operators.sizing import broadcast_if_small
 from pactlens.sources.scratch import store
@@ -27,48 +27,67 @@ UNITS = ("mm", "cm", "m", "km", "in", "ft", "mi", "mg", "g", "kg", "lb", "oz", "
          "gram", "grams", "pound", "pounds", "liter", "liters", "litre", "litres", "second", "seconds", "minute",
          "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "percent",
          "dollar", "dollars", "cent", "cents", "euro", "euros")
-_PLACES = "array<struct<pos:int,width:int,hs:array<bigint>>>"
+_ONES = "two three four five six seven eight nine".split()
+_TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+NUMBER_WORDS = ("zero", *_ONES, *"ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split(),
+                *_TENS, *(t + o for t in _TENS for o in ("one", *_ONES)), "hundred", "thousand", "million", "billion")  # "one" is a pronoun too
 _SLOT = f"[{NUMBER}-{UNIT}]"
+_REMOVED = r"[\x01-\x04\p{P}\p{S}]+"
 _PUNCTUATION = r"[\p{P}\p{S}]+"
+_NAME = r"\p{Lu}[\p{L}'’-]*\p{L}"
 
 
 def _marked(text: Column) -> Column:
     """The text with its placeholders; OPEN stands before a capitalised word that need not be a name."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), "[\x01-\x04]", "")
-    t = F.regexp_replace(t, r"[A-Z](?<=[\p{Ll},;] .)\p{Ll}+", NAME)
-    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}{NAME}])([A-Z]\p{{Ll}}+)", f"{OPEN}$1")
+    t = F.regexp_replace(t, _NAME.replace(r"\p{Lu}", r"\p{Lu}(?<=[\p{Ll},;] .)", 1), NAME)
+    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}{NAME}])({_NAME})", f"{OPEN}$1")
     t = F.regexp_replace(t, _PUNCTUATION, "")
     t = F.regexp_replace(t, r"[0-9]+", NUMBER)
     return F.regexp_replace(t, rf"{NUMBER}( ?)(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", f"{NUMBER}$1{UNIT}")
 
 
+def _words(text: Column) -> Column:
+    """ARRAY<STRING> of the words of a text that is not NULL; blank texts have none."""
+    t = F.btrim(text, F.lit(" \t\n\v\f\r"))
+    return F.when(F.length(t) > 0, F.split(t, rf"{SPACE_CLASS}+")).otherwise(F.array().cast("array<string>"))
+
+
+def _template(marked: Column) -> Column:
+    return F.transform(_words(F.lower(marked)), lambda w: F.when(w.isin(*NUMBER_WORDS), F.lit(NUMBER)).otherwise(w))
+
+
 def _literal(marked: Column) -> Column:
     """Template tokens whose open words are literals."""
-    return words(lower_ascii(F.translate(marked, OPEN, "")))
+    return _template(F.replace(marked, F.lit(OPEN), F.lit("")))
 
 
 def _named(marked: Column) -> Column:
     """Template tokens whose open words are names."""
-    return words(lower_ascii(F.regexp_replace(marked, rf"{OPEN}[A-Z]\p{{Ll}}+", NAME)))
+    return _template(F.regexp_replace(marked, rf"{OPEN}\p{{Lu}}\p{{L}}+", NAME))
 
 
 def template(text: Column) -> Column:
     """ARRAY<STRING>: template tokens; one for each of `raw_tokens`.
 
-    A capitalised word inside a sentence is a name; a unit is one of UNITS after a number.
+    A capitalised word inside a sentence is a name, with inner capitals, apostrophes and hyphens; a number is
+    of digits or one of NUMBER_WORDS; a unit is one of UNITS after digits.
     """
     return _literal(_marked(text))
 
 
 def raw_tokens(text: Column) -> Column:
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "[\x01-\x04]", "")
-    return words(lower_ascii(F.regexp_replace(t, _PUNCTUATION, "")))
+    return _words(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), _REMOVED, "")))
+
 
+def _tokens(tokens: Column) -> Column:
+    """ARRAY<BIGINT>: the hash of each token."""
+    return F.transform(tokens, lambda t: F.xxhash64(t))
 
-def _windows(kinds: list[Column], width: int) -> Column:
-    """The windows' places, width and hashes; where nothing is a slot, the hashes are equal."""
-    return F.transform(F.sequence(F.lit(0), F.size(kinds[0]) - F.lit(width)), lambda i: F.struct(
-        i.alias("pos"), F.lit(width).alias("width"), F.array(*[F.xxhash64(F.slice(k, i + 1, width)) for k in kinds]).alias("hs")))
+
+def _window(tokens: Column) -> Column:
+    """The hash of a window's tokens, that of its tokens' hashes in order."""
+    return F.xxhash64(_tokens(tokens))
 
 
 def item_windows(items: DataFrame, item: str, text: str, widths: list[int]) -> DataFrame:
@@ -99,10 +118,10 @@ def item_windows(items: DataFrame, item: str, text: str, widths: list[int]) -> D
     out = hold(out, itemplate=F.transform("iliteral", token))
     literals = F.size(F.filter("itemplate", lambda w: ~w.rlike(_SLOT)))
     out = hold(out, fuzzy=(F.col("width") >= MIN_ITEM) & (literals * 8 >= MIN_LITERALS * F.col("width")))
-    capital = F.when(F.get("itemplate", F.lit(0)).rlike(r"^[a-z]\p{Ll}+$"), F.lit(NAME)).otherwise(F.get("itemplate", F.lit(0)))
+    capital = F.when(F.get("itemplate", F.lit(0)).rlike(r"^\p{Ll}{2,}$"), F.lit(NAME)).otherwise(F.get("itemplate", F.lit(0)))
     begun = F.concat(F.array(capital), F.slice("itemplate", 2, WINDOW))
-    keys = F.array_distinct(F.concat(F.array(F.xxhash64("iraw")), F.when(F.col("fuzzy"), F.array(
-        F.xxhash64("itemplate"), F.xxhash64(begun))).otherwise(F.array().cast("array<bigint>"))))
+    keys = F.array_distinct(F.concat(F.array(_window(F.col("iraw"))), F.when(F.col("fuzzy"), F.array(
+        _window(F.col("itemplate")), _window(begun))).otherwise(F.array().cast("array<bigint>"))))
     return out.select(F.explode(keys).alias("h"), "item", "ipos", "width", "itemplate", "iliteral", "inamed", "iraw", "fuzzy")
 
 
@@ -113,11 +132,22 @@ def _read(docs: DataFrame) -> DataFrame:
 
 
 def _hits(docs: DataFrame, known: DataFrame, widths: list[int]) -> DataFrame:
-    """(key, rid, pos, width) of the document windows that the benchmark has, by template or by raw tokens."""
-    kinds = [F.when(F.size("x") >= w, _windows([F.col("x"), F.col("y"), F.col("r")], w)).otherwise(F.array().cast(_PLACES)) for w in widths]
-    rows = _read(docs).select("key", "rid", F.inline(F.concat(*kinds) if len(kinds) > 1 else kinds[0]))
-    rows = rows.select("key", "rid", "pos", "width", F.explode(F.array_distinct("hs")).alias("h"))
-    return rows.join(known, "h", "left_semi").select("key", "rid", "pos", "width")
+    """(key, rid, pos, width) of the document windows that the benchmark has, by template or by raw tokens.
+
+    Each token is hashed once. A window's hash is made of its tokens' hashes in generated code, row by
+    row of its places; a kind of tokens that is like another in the window adds no key.
+    """
+    kinds = ("r", "x", "y")
+    rows = hold(_read(docs), **{f"{k}h": _tokens(F.col(k)) for k in kinds}).drop(*kinds)
+    rows = rows.filter(F.size("rh") >= widths[0]).withColumn("pos", F.explode(F.sequence(F.lit(0), F.size("rh") - widths[0])))
+
+    def keys(width: int) -> list[Column]:
+        r, x, y = [F.xxhash64(*[F.get(f"{k}h", F.col("pos") + i) for i in range(width)]) for k in kinds]
+        fits = F.col("pos") + width <= F.size("rh")
+        return [F.when(fits, r), F.when(fits & (x != r), x), F.when(fits & (y != r) & (y != x), y)]
+
+    found = rows.select("key", "rid", "pos", F.explode(F.array(*[k for w in widths for k in keys(w)])).alias("h"))
+    return found.filter("h IS NOT NULL").join(known, "h").select("key", "rid", "pos", "width")
 
 
 def _rid(text: Column) -> Column:
@@ -131,7 +161,7 @@ def _found(docs: DataFrame, items: DataFrame, key: str, text: str, item: str, it
                .filter("n > 0").distinct().collect()]  # at most WINDOW
     widths = sorted(lengths) or [WINDOW]
     windows = store(item_windows(items, item, item_text, widths), "windows")
-    hits = store(_hits(source, broadcast_if_small(windows.select("h").distinct(), BROADCAST_WINDOWS), widths), "hits")
+    hits = store(_hits(source, broadcast_if_small(windows.select("h", "width").distinct(), BROADCAST_WINDOWS), widths), "hits")
     return _aligned(source, hits, windows)
 
 
@@ -164,7 +194,7 @@ def _aligned(source: DataFrame, hits: DataFrame, windows: DataFrame) -> DataFram
     held = hold(_read(held), parts=F.transform("places", lambda p: F.struct(
         p["pos"].alias("pos"), *[F.slice(c, p["pos"] + 1, p["width"]).alias(n) for c, n in (("r", "raw"), ("x", "tpl"), ("y", "named"))])))
     spans = held.select("key", "rid", F.inline("parts"))
-    spans = spans.withColumn("h", F.explode(F.array_distinct(F.array(*[F.xxhash64(c) for c in ("tpl", "named", "raw")]))))
+    spans = spans.withColumn("h", F.explode(F.array_distinct(F.array(*[_window(F.col(c)) for c in ("tpl", "named", "raw")]))))
     table = windows.withColumnRenamed("h", "_h")
     fits = F.forall(F.arrays_zip("itemplate", "tpl", "named"), lambda s: (s["itemplate"] == s["tpl"]) | (s["itemplate"] == s["named"]))
     alike = (F.col("raw") == F.col("iraw")) | (F.col("fuzzy") & (F.size("tpl") == F.size("itemplate")) & fits)

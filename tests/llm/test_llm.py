@@ -285,6 +285,28 @@ def test_items_of_few_literals(spark):
     assert sorted(got) == [(i, i, 0) for i in texts]
 
 
+def test_names_and_numbers_of_all_forms(spark):
+    """Accents, inner capitals, apostrophes and acronyms are names, number words numbers; texts of one letter case match verbatim."""
+    text = "in the market {} sells {} old apples to all her friends"
+    items = spark.createDataFrame([(1, text.format("Maria", "12")), (2, "l’été à Évry où Zoë dort déjà")], "item_id long, text string")
+    names = ["Élodie", "McDonald", "O'Brien", "Jean-Paul", "NASA"]
+    rows = [(i, text.format(n, w)) for i, (n, w) in enumerate(zip(names, ["fifteen", "twenty-one", "7", "ninety", "zero"]))]
+    rows += [(10, text.format("she", "no")), (11, text.format("Maria", "no")), (12, "L’ÉTÉ À ÉVRY OÙ ZOË DORT DÉJÀ"), (13, " \t\n"), (14, " \x0b\f")]
+    got = plain(decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items), "doc_id", "item_id", "n_changed")
+    assert sorted(got) == [(i, 1, 2) for i in range(len(names))] + [(12, 2, 0)]
+
+
+def test_shared_windows_of_several_widths(spark):
+    """Items of 3 to 9 tokens at the start, the end and across the whole of a text, each by its own width."""
+    texts = {n: " ".join(f"item{n}word{i}" for i in range(n)) for n in range(3, 10)}
+    items = spark.createDataFrame(list(texts.items()), "item_id long, text string")
+    docs = spark.createDataFrame([r for n, t in texts.items() for r in (
+        (10 * n, t), (10 * n + 1, f"{t} end"), (10 * n + 2, f"begin {t}"), (10 * n + 3, t.rpartition(" ")[0]))], "doc_id long, text string")
+    got = plain(decontaminate.contaminated(docs, items), "doc_id", "item_id", "n_windows")
+    want = [(10 * n + k, n, max(1, n - 7)) for n in texts for k in range(3)] + [(93, 9, 1)]
+    assert sorted(got) == sorted(want)
+
+
 def test_names_whatever_their_case_and_place(spark):
     items = spark.createDataFrame([
         (1, "Two plus two is four"), (2, "in town old Maria sells apples"), (3, "Maria sells twelve old apples daily"),
