@@ -49,8 +49,7 @@ def _marked(text: Column) -> Column:
 
 def _words(text: Column) -> Column:
     """ARRAY<STRING> of the words of a text that is not NULL; blank texts have none."""
-    t = F.btrim(text, F.lit(" \t\n\v\f\r"))
-    return F.when(F.length(t) > 0, F.split(t, rf"{SPACE_CLASS}+")).otherwise(F.array().cast("array<string>"))
+    return F.array_remove(F.split(text, rf"{SPACE_CLASS}+"), "")
 
 
 def _template(marked: Column) -> Column:
