@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +21,8 @@ from pactlens.taxonomy import NONE_COLUMNS, POSITIVE_COLUMNS, mapping_frame
 # Answers that mean "no answer".
 NO_ANSWER = ("n/a", "na")
 
-GRAM = 8                     # characters of a run in the index of sentences
+GRAM, STRIDE = 5, 4          # bytes of a run in the index of sentences, and from one run to the next
+BATCH = 10_000               # sentences given back at once
 IN_ROW_WORK = 1 << 26        # characters times answers of a paragraph that its row tests by itself
 
 
@@ -126,40 +130,54 @@ def _free_in_row(paragraphs: DataFrame) -> DataFrame:
     return _with_snippets(paragraphs).select(F.explode(free).alias("sentence"))
 
 
-def _grams(df: DataFrame, text: str, keys: tuple) -> DataFrame:
-    """(keys..., _g): hashes of the distinct runs of GRAM characters of a text of at least so many."""
-    chars = hold(df, _c=F.split(F.col(text), ""))
-    runs = F.transform(F.sequence(F.lit(0), F.size("_c") - F.lit(GRAM)),
-                       lambda i: F.xxhash64(*[F.get(F.col("_c"), i + k) for k in range(GRAM)]))
-    return chars.filter(F.size("_c") >= GRAM).select(*keys, F.explode(F.array_distinct(runs)).alias("_g"))
+def _runs(text: bytes, first: int = 0) -> set:
+    """The runs of GRAM bytes at every STRIDE-th place from `first` on."""
+    return {text[i:i + GRAM] for i in range(first, len(text) - GRAM + 1, STRIDE)}
+
+
+def free_sentences(texts: list, answers: list) -> list:
+    """The texts that contain none of the answers, found through runs of bytes.
+
+    Only every STRIDE-th run of a text is looked up, so an answer waits at one run for each way in which it can lie
+    on those places, the one that fewest texts have; where none has it, the answer is nowhere. Only texts with that run are
+    compared with it. Shorter answers are tested one by one. Only runs of the answers are held; the texts are read twice.
+    """
+    short = [a for a in answers if len(a) < GRAM + STRIDE - 1]
+    ways = [(a, _runs(a, first)) for a in answers if len(a) >= GRAM + STRIDE - 1 for first in range(STRIDE)]
+    counts = dict.fromkeys((g for _, runs in ways for g in runs), 0)
+    for t in texts:
+        for g in counts.keys() & _runs(t):
+            counts[g] += 1
+    waiting: dict = {}
+    for a, runs in ways:
+        rarest = min(runs, key=counts.__getitem__)
+        if counts[rarest]:
+            waiting.setdefault(rarest, []).append(a)
+    return [t for t in texts if not any(a in t for a in short)
+            and not any(a in t for g in _runs(t) if g in waiting for a in waiting[g])]
+
+
+def _free_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kept: list = []
+        for texts, answers in zip(batch.column(0), batch.column(1)):
+            kept += free_sentences(texts.as_py(), answers.as_py())
+            if len(kept) >= BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary())], ["sentence"])
+                kept = []
+        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary())], ["sentence"])
 
 
 def _free_by_index(paragraphs: DataFrame) -> DataFrame:
-    """(sentence): the sentences without an answer, found through runs of GRAM characters.
+    """(sentence): the sentences without an answer, each paragraph by an index of its own; nothing is shuffled.
 
-    Each answer waits at the run that fewest sentences of its paragraph have; an answer with a run that none has is
-    nowhere. Only sentences with that run are compared with it. Paragraphs and sentences are named by pairs of 64-bit hashes, counts combine map-side, and the texts of heavy paragraphs are written once. Answers shorter than a run are
-    tested in the row.
+    Texts go as bytes, which compare as in the row. A paragraph is a row, and its work grows with its characters
+    and answers, not with their product.
     """
     held = _with_snippets(paragraphs)
-    name = ("_p", "_q")
-    named = held.select(F.xxhash64("context", "_snippets").alias("_p"), F.xxhash64(F.lit(1), "context", "_snippets").alias("_q"),
-                        F.array_distinct("_sents").alias("_sents"), "_snippets")
-    once = store(named.dropDuplicates([*name]), "paragraphs")
-    short = hold(once, _short=F.filter("_snippets", lambda p: F.length(p) < GRAM))
-    tested = F.filter("_sents", lambda s: ~F.exists("_short", lambda p: F.contains(s, p)))
-    rows = store(short.select(*name, F.posexplode(tested).alias("_s", "sentence")), "sentences")
-    answers = once.select(*name, F.explode(F.filter("_snippets", lambda p: F.length(p) >= GRAM)).alias("_answer"))
-
-    found = _grams(rows, "sentence", (*name, "_s"))
-    counts = found.groupBy(*name, "_g").agg(F.count("*").alias("_n"))
-    rated = _grams(answers, "_answer", (*name, "_answer")).join(counts, [*name, "_g"], "left")
-    rarest = F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_g").alias("g")))
-    anchors = (rated.groupBy(*name, "_answer").agg(rarest.alias("_a")).filter("_a.n > 0")
-               .select(*name, F.col("_a.g").alias("_g"), "_answer"))
-    pairs = found.join(anchors, [*name, "_g"]).select(*name, "_s", "_answer")
-    hits = rows.join(pairs, [*name, "_s"]).filter(F.contains("sentence", "_answer")).select(*name, "_s").distinct()
-    return rows.join(hits, [*name, "_s"], "left_anti").select("sentence")
+    texts = [F.transform(c, lambda s: s.cast("binary")).alias(n) for c, n in (
+        (F.array_distinct("_sents"), "sentences"), (F.col("_snippets"), "answers"))]
+    return held.select(*texts).mapInArrow(_free_batches, "sentence binary").select(F.col("sentence").cast("string").alias("sentence"))
 
 
 def _answers_type(paragraphs: DataFrame):

@@ -195,3 +195,22 @@ def test_keys_are_told_apart_by_two_independent_hashes(spark):
     seed = xxhash.xxh64_intdigest((1).to_bytes(4, "little"), 42)
     assert unsigned[0] == xxhash.xxh64_intdigest(b"a text", 42)
     assert unsigned[1] == xxhash.xxh64_intdigest(b"a text", seed)
+
+
+def test_sentence_index_moves_no_runs(spark):
+    """The index of a paragraph stays in its task: one shuffle, of the distinct sentences, and no join."""
+    rows = spark.sql("SELECT 'One here. Two there.' AS context, array(named_struct('question', 'Is there a penalty', "
+                     "'answers', array(named_struct('text', 'Two there')))) AS qas")
+    free = mining.qa_negatives(rows, 0)
+    text = free._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and text.count("Exchange hashpartitioning") == 1
+    assert [r["sentence"] for r in free.collect()] == ["One here."]
+
+
+def test_free_sentences_equal_brute_force():
+    rng = random.Random(5)
+    for _ in range(300):
+        letters = rng.choice((b"ab", b"abcdefg "))
+        texts = [bytes(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(10)]
+        answers = [bytes(rng.choices(letters, k=rng.randint(1, 14))) for _ in range(4)] + [t[3:20] for t in texts[:3] if len(t) > 3]
+        assert mining.free_sentences(texts, answers) == [t for t in texts if not any(a in t for a in answers)]
