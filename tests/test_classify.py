@@ -6,8 +6,10 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from pactlens.config import CascadeConfig
@@ -134,3 +136,28 @@ def test_failing_scorer(spark):
     assert cascade.with_scores(df, broken, on_error="abstain").first()["scores"] is None
     with pytest.raises(Exception):
         cascade.with_scores(df, broken).collect()
+
+
+def test_batches_count_terms_once():
+    """A batch gives each term once, with its counts, and a NULL term with the number of rows."""
+    lists = [["a", "b", "a", "b"], [], ["b"], ["a", "b"], ["b", "a"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.string()))], ["_tokens"])
+    (out,) = features.term_batches(3)(iter([batch, ]))
+    want = {None: (5, 5)}
+    for row in lists:
+        grams = [" ".join(row[i:i + n]) for n in (1, 2, 3) for i in range(len(row) - n + 1)]
+        for g in grams:
+            cf, df = want.get(g, (0, 0))
+            want[g] = (cf + 1, df)
+        for g in set(grams):
+            want[g] = (want[g][0], want[g][1] + 1)
+    rows = out.to_pylist()
+    assert len(rows) == len(want) and {r["term"]: (r["cf"], r["df"]) for r in rows} == want
+
+
+def test_weights_of_texts_without_known_terms(spark):
+    df = spark.createDataFrame([(1, "fee cap fee"), (2, None), (3, "unknown words"), (4, "")], "id int, sentence string")
+    vocab = [Row(term_idx=0, term="cap", idf=2.0), Row(term_idx=1, term="fee cap", idf=1.0)]
+    got = {r["id"]: [tuple(x) for x in r["weights"]] for r in features.with_weights(df, vocab).collect()}
+    assert got[2] == got[3] == got[4] == []
+    assert got[1] == [(0, pytest.approx(2 / 5 ** 0.5)), (1, pytest.approx(1 / 5 ** 0.5))]
