@@ -71,8 +71,12 @@ def _key_hash(key: str) -> tuple:
 
 
 def _rows_at(df: DataFrame, best: DataFrame, order: tuple) -> DataFrame:
-    """The rows of `df` at the orders that `best` holds in its column `_o`."""
-    return df.join(best.select("_o"), _order(order) == F.col("_o"), "left_semi")
+    """The rows of `df` at the orders that `best` holds in its column `_o`.
+
+    Both sides are sorted by a hash of the order first: wide decimals are compared among equal hashes only.
+    """
+    won = best.select("_o", F.xxhash64("_o").alias("_h"))
+    return df.join(won, (F.xxhash64(_order(order)) == F.col("_h")) & (_order(order) == F.col("_o")), "left_semi")
 
 
 def dedup_first(df: DataFrame, key: str = "sentence", order: tuple = ORDER) -> DataFrame:
@@ -116,8 +120,10 @@ def resolve_conflicts(df: DataFrame, strategy: str, none_label: str = NONE_LABEL
         best = best.select(F.coalesce("_a", "_b").alias("_o"))
     elif strategy == "majority":
         counted = df.groupBy(*_key_hash(key), label).agg(F.count("*").alias("_n"), F.min(_order(order)).alias("_o"))
-        most = counted.groupBy("_k1", "_k2").agg(F.max("_n").alias("_n"))
-        best = counted.join(most, ["_k1", "_k2", "_n"]).groupBy("_k1", "_k2").agg(F.min("_o").alias("_o"))
+        most = counted.groupBy("_k1", "_k2").agg(F.max("_n").alias("_most"))
+        # No label has more than the most; as an equality the counts would be join keys and all sides be dealt anew.
+        won = counted.join(most, ["_k1", "_k2"]).filter("_n >= _most")
+        best = won.groupBy("_k1", "_k2").agg(F.min("_o").alias("_o"))
     else:
         raise ValueError(f"Unknown conflict strategy: {strategy}")
     return _rows_at(df, best, order).select(key, label)

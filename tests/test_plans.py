@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from pactlens.operators import mining, sampling
+from pactlens.operators import corpus, mining, sampling
 from workloads import derive, registry
 
 
@@ -73,3 +73,10 @@ def test_cascade_joins_move_no_text(spark, sf):
     text = plan(registry.registry()["cascade_auto"](spark, sf))
     joins = [line for line in text.splitlines() if re.search(r"Project \[doc_id[^\]]*tier1", line)]
     assert joins and not any("sentence" in line for line in joins)
+
+
+def test_majority_moves_texts_once(spark, sf):
+    """Labels are chosen where their keys are, without dealing by counts; the corpora are cut and labelled once and read from there."""
+    text = plan(corpus.resolve_conflicts(corpus.merge_corpora(list(derive.labelled_sources(spark, sf).items())), "majority"))
+    assert not re.search(r"hashpartitioning\(_k1#\d+L?, _k2#\d+L?, _n", text)
+    assert "Generate" not in text and "posexplode" not in text
