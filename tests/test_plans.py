@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pactlens.operators import corpus, mining, sampling
+from pactlens.plans import analyze
 from workloads import derive, registry
 
 
@@ -80,3 +81,11 @@ def test_majority_moves_texts_once(spark, sf):
     text = plan(corpus.resolve_conflicts(corpus.merge_corpora(list(derive.labelled_sources(spark, sf).items())), "majority"))
     assert not re.search(r"hashpartitioning\(_k1#\d+L?, _k2#\d+L?, _n", text)
     assert "Generate" not in text and "posexplode" not in text
+
+
+def test_report_is_written_packed(spark, tmp_path):
+    """A report written as packed JSON reads back as it was."""
+    rows = spark.range(3).select(F.col("id").alias("doc_id"), F.array(F.lit("a clause")).alias("risks"))
+    analyze.write_report(rows, str(tmp_path / "r"), compression="gzip")
+    assert list((tmp_path / "r").glob("*.json.gz")) and not list((tmp_path / "r").glob("*.json"))
+    assert sorted(spark.read.schema(rows.schema).json(str(tmp_path / "r")).collect()) == sorted(rows.collect())
