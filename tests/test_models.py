@@ -99,3 +99,59 @@ def test_failing_scorer_is_called_little_more_than_needed():
     got = [i for rows, frame in cascade.scored_parts(scorer, pd.Series(range(10_000)), np.arange(10_000), True) for i in rows]
     assert got == [i for i in range(10_000) if i not in bad]
     assert len(calls) < 1_100
+
+
+class Picked(pd.Series):
+    """A Series that counts how often sentences are picked from it, or from what was, by their places."""
+
+    picks = 0
+
+    @property
+    def _constructor(self):
+        return Picked
+
+    def take(self, *args, **kwargs):
+        Picked.picks += 1
+        return super().take(*args, **kwargs)
+
+    def _take_with_is_copy(self, *args, **kwargs):
+        Picked.picks += 1
+        return super()._take_with_is_copy(*args, **kwargs)
+
+
+def test_sentences_are_picked_once_whatever_the_faults(monkeypatch):
+    monkeypatch.setattr(Picked, "picks", 0)
+    texts = Picked([f"bad {i}" if i % 50 == 7 else f"text {i}" for i in range(1000)])
+    parts = list(cascade.scored_parts(lengths, texts, np.arange(1, 1000), True))
+    assert np.concatenate([rows for rows, _ in parts]).tolist() == [i for i in range(1, 1000) if i % 50 != 7]
+    assert Picked.picks <= 2
+
+
+def test_a_scorer_may_change_what_it_is_given():
+    def spoiling(texts):
+        seen = texts.tolist()
+        texts.iloc[:] = "bad"
+        if "bad" in seen:
+            raise RuntimeError("no score")
+        return pd.DataFrame({"n": [float(len(t)) for t in seen]})
+
+    texts = pd.Series([f"text {i}" for i in range(64)])
+    texts[9] = "bad"
+    parts = list(cascade.scored_parts(spoiling, texts, np.arange(64), True))
+    assert np.concatenate([rows for rows, _ in parts]).tolist() == [i for i in range(64) if i != 9]
+    assert texts.tolist().count("bad") == 1
+
+
+def test_labels_are_held_once_for_each_list_of_columns():
+    frames = [pd.DataFrame({"A": [0.1, 0.2], 7: [0.3, 0.4]}), pd.DataFrame({"B": [0.5]}), pd.DataFrame({"A": [0.6], 7: [0.7]})]
+    lists = cascade._score_lists(list(zip((np.array([4, 0]), np.array([1]), np.array([3])), frames)), 5)
+    pairs = [row and [(s["label"], s["score"]) for s in row] for row in lists.to_pylist()]
+    assert pairs == [[("A", 0.2), ("7", 0.4)], [("B", 0.5)], None, [("A", 0.6), ("7", 0.7)], [("A", 0.1), ("7", 0.3)]]
+    assert cascade._score_lists([], 2).to_pylist() == [None, None]
+
+
+def test_labels_make_no_object_for_each_score(monkeypatch):
+    made = []
+    monkeypatch.setattr(cascade.np, "tile", lambda a, n, tile=np.tile: made.append(np.asarray(a).dtype) or tile(a, n))
+    cascade._score_lists([(np.arange(3), pd.DataFrame({"A": [0.1, 0.2, 0.3], "B": 0.0}))], 3)
+    assert made and object not in made
