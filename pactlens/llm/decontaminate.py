@@ -140,12 +140,16 @@ def _hits(docs: DataFrame, known: DataFrame, widths: list[int]) -> DataFrame:
     rows = hold(_read(docs), **{f"{k}h": _tokens(F.col(k)) for k in kinds}).drop(*kinds)
     rows = rows.filter(F.size("rh") >= widths[0]).withColumn("pos", F.explode(F.sequence(F.lit(0), F.size("rh") - widths[0])))
 
+    # The hashes stand in a step of their own: a generator's array would compute each anew for every comparison.
+    hashed = rows.select("key", "rid", "pos", F.size("rh").alias("n"), *[
+        F.xxhash64(*[F.get(f"{k}h", F.col("pos") + i) for i in range(width)]).alias(f"{k}{width}") for width in widths for k in kinds])
+
     def keys(width: int) -> list[Column]:
-        r, x, y = [F.xxhash64(*[F.get(f"{k}h", F.col("pos") + i) for i in range(width)]) for k in kinds]
-        fits = F.col("pos") + width <= F.size("rh")
+        r, x, y = [F.col(f"{k}{width}") for k in kinds]
+        fits = F.col("pos") + width <= F.col("n")
         return [F.when(fits, r), F.when(fits & (x != r), x), F.when(fits & (y != r) & (y != x), y)]
 
-    found = rows.select("key", "rid", "pos", F.explode(F.array(*[k for w in widths for k in keys(w)])).alias("h"))
+    found = hashed.select("key", "rid", "pos", F.explode(F.array(*[k for w in widths for k in keys(w)])).alias("h"))
     return found.filter("h IS NOT NULL").join(known, "h").select("key", "rid", "pos", "width")
 
 

@@ -243,6 +243,21 @@ def test_contamination(spark, sf, table, rows, awkward, empty):
     assert decontaminate.contaminated(table, items.limit(0)).count() == 0
 
 
+def test_window_hashes_are_computed_once(spark):
+    """The generator of a window's keys reads hashes; of each kind and width one is computed, and all widths are found."""
+    docs = spark.createDataFrame([(1, 10, "one two three four five six seven eight nine"), (2, 20, "Two three Four")],
+                                 "key long, rid long, text string")
+    tokens = {w: f"xxhash64({', '.join(f'xxhash64({t!r})' for t in text.split())}) AS h" for w, text in (
+        (3, "two three four"), (8, "two three four five six seven eight nine"))}
+    known = spark.sql(" UNION ALL ".join(f"SELECT {h}, {w} AS width" for w, h in tokens.items()))
+    hits = decontaminate._hits(docs, known, [3, 8])
+    generators = [line for line in hits._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate explode(array(" in line]
+    assert generators and not any("xxhash64" in line for line in generators)
+    # Number words have a template of their own, so these are hits by the raw tokens alone.
+    assert {tuple(r) for r in hits.collect()} == {(1, 10, 1, 3), (1, 10, 1, 8), (2, 20, 0, 3)}
+
+
+
 def test_templates_and_slots(spark):
     items = spark.createDataFrame([
         (1, "In the shop Maria buys 12 apples and 30 pears, then she gives 12 apples to her friend at home."),
