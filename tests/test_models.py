@@ -2,9 +2,16 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from pactlens.config import CascadeConfig
+from pactlens.functions.calibration import top1
+from pactlens.functions.text import blank, strip
 from pactlens.operators import cascade, classify, models
+from pactlens.plans import analyze
 
 
 def lengths(texts):
@@ -155,3 +162,68 @@ def test_labels_make_no_object_for_each_score(monkeypatch):
     monkeypatch.setattr(cascade.np, "tile", lambda a, n, tile=np.tile: made.append(np.asarray(a).dtype) or tile(a, n))
     cascade._score_lists([(np.arange(3), pd.DataFrame({"A": [0.1, 0.2, 0.3], "B": 0.0}))], 3)
     assert made and object not in made
+
+
+def test_tops_are_those_of_the_scores(spark):
+    """Equal scores, NaN, unnamed classes, other columns in other parts, no columns, and rows without scores."""
+    frames = [pd.DataFrame({"A": [0.5, np.nan, -0.0], "LABEL_1": [0.5, 0.9, 0.0]}), pd.DataFrame({"LABEL_7": [0.7], 3: [0.1]}),
+              pd.DataFrame(index=[0]), pd.DataFrame({"A": [0.1], "B": [np.nan], "C": [np.nan]})]
+    parts = list(zip((np.array([5, 0, 3]), np.array([1]), np.array([6]), np.array([4])), frames))
+    scores = pa.RecordBatch.from_arrays([pa.array(range(8)), cascade._score_lists(parts, 8)], ["i", "scores"])
+    df = spark.createDataFrame([(i,) for i in range(8)], "i long").coalesce(1)
+    lists = df.mapInArrow(lambda it: (scores for _ in it), T.StructType([*df.schema.fields, T.StructField("scores", cascade.SCORES_TYPE)]))
+    want = {r["i"]: r["t"] and tuple(r["t"]) for r in lists.select("i", top1(F.col("scores")).alias("t")).collect()}
+    got = cascade._score_tops(parts, 8).to_pylist()
+    assert [str(t and (t["label"], t["confidence"])) for t in got] == [str(want[i]) for i in range(8)]
+    assert cascade._score_tops([], 2).to_pylist() == [None, None]
+
+
+def calls_of(spark, scorers, texts):
+    """(rows by text, runs of sentences by tier) of `score_by_models` in one batch."""
+    counts = {tier: spark.sparkContext.accumulator(0) for tier in scorers}
+
+    def counted(tier):
+        def run(part):
+            counts[tier].add(1)
+            return scorers[tier](part)
+        return run
+
+    df = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id long, sent_idx int, sentence string").coalesce(1)
+    rows = analyze.score_by_models(df, CascadeConfig(mode="auto"), {tier: counted(tier) for tier in scorers}).collect()
+    return {r["sentence"]: r for r in rows}, {tier: c.value for tier, c in counts.items()}
+
+
+def test_second_tier_does_not_search_again_for_what_failed(spark):
+    def scorer(score):
+        def run(texts):
+            if texts.str.contains("bad").any():
+                raise RuntimeError("no score")
+            return pd.DataFrame({"None": 0.1, "Penalty": np.full(len(texts), score)})
+        return run
+
+    texts = [f"bad, and it shall be {i}" if i % 100 == 37 else f"text {i}" for i in range(2000)]
+    rows, calls = calls_of(spark, {"tier1": scorer(0.2), "tier2": scorer(0.9)}, texts)
+    assert len(rows) == 2000
+    for t, r in rows.items():
+        assert (r["risk_type"], r["detector"], r["confidence"]) == (("Obligation", "keyword", 0.0) if "bad" in t else ("Penalty", "ml", 0.9))
+    assert calls["tier1"] > 100 and calls["tier2"] <= 20 + 8
+
+
+def test_what_fails_once_may_still_be_scored(spark):
+    """Doubtful sentences that the second tier takes are scored, and those that only it fails on abstain."""
+    def scorer(word):
+        def run(texts):
+            if texts.str.contains(word).any():
+                raise RuntimeError("no score")
+            return pd.DataFrame({"None": 0.1, "Penalty": np.full(len(texts), 0.55)})
+        return run
+
+    rows, _ = calls_of(spark, {"tier1": scorer("one"), "tier2": scorer("two")}, ["one", "two", "one two", "two: shall", "plain", " "])
+    assert {t: r["detector"] for t, r in rows.items()} == {"one": "ml", "plain": "ml", "two: shall": "keyword"}
+
+
+def test_blank_is_what_strip_empties(spark):
+    texts = [None, "", " ", " \x1c\t", "a", " a", "a ", "​", "\x00", "\xa0.\xa0"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select(blank(F.col("t")).alias("b"), (F.length(strip(F.col("t"))) == 0).alias("s")).collect()
+    assert [r["b"] for r in rows] == [r["s"] for r in rows] == [True] * 4 + [False] * 6
