@@ -109,26 +109,48 @@ def dedup_stats(df: DataFrame, key: str = "sentence") -> DataFrame:
 
 
 def resolve_conflicts(df: DataFrame, strategy: str, none_label: str = NONE_LABEL, key: str = "sentence",
-                      label: str = "label", order: tuple = ORDER) -> DataFrame:
-    """One label per key (prefer_non_none, majority) or all distinct ones (keep_all)."""
+                      label: str = "label", order: tuple = ORDER, distinct: bool = False) -> DataFrame:
+    """One label per key (prefer_non_none, majority) or all distinct ones (keep_all).
+
+    With `distinct` the rows are those of `distinct_pairs`: a key has one row per label, so its rows may meet in a window.
+    """
     if strategy == "keep_all":
         return distinct_pairs(df, key, label, order)
+    if strategy not in ("prefer_non_none", "majority"):
+        raise ValueError(f"Unknown conflict strategy: {strategy}")
+    if distinct:
+        return _resolve_pairs(df, strategy, none_label, key, label, order)
     if strategy == "prefer_non_none":
         # The first order among the labels that are not benign, else the first of all.
         risky = F.when(F.col(label) != none_label, _order(order))
         best = df.groupBy(*_key_hash(key)).agg(F.min(risky).alias("_a"), F.min(_order(order)).alias("_b"))
         best = best.select(F.coalesce("_a", "_b").alias("_o"))
-    elif strategy == "majority":
+    else:
         counted = df.groupBy(*_key_hash(key), label).agg(F.count("*").alias("_n"), F.min(_order(order)).alias("_o"))
         most = counted.groupBy("_k1", "_k2").agg(F.max("_n").alias("_most"))
         # No label has more than the most; as an equality the counts would be join keys and all sides be dealt anew.
         won = counted.join(most, ["_k1", "_k2"]).filter("_n >= _most")
         best = won.groupBy("_k1", "_k2").agg(F.min("_o").alias("_o"))
-    else:
-        raise ValueError(f"Unknown conflict strategy: {strategy}")
     return _rows_at(df, best, order).select(key, label)
 
 
+def _resolve_pairs(pairs: DataFrame, strategy: str, none_label: str, key: str, label: str, order: tuple) -> DataFrame:
+    """The winning rows of distinct (key, label) pairs.
+
+    The pairs lie by key and label already, so counting them moves nothing; their texts move once, to
+    their key, and no table of keys is dealt beside them. A key without an order has no first label.
+    """
+    counted = pairs.groupBy(key, label).agg(F.count("*").alias("_n"), F.min(_order(order)).alias("_o"))
+    own = Window.partitionBy(key)
+    if strategy == "prefer_non_none":
+        risky = F.when(F.col(label) != none_label, F.col("_o"))
+        first = F.coalesce(F.min(risky).over(own), F.min("_o").over(own))
+        return counted.withColumn("_first", first).filter("_o = _first").select(key, label)
+    ranked = counted.withColumn("_most", F.max("_n").over(own))
+    first = F.min(F.when(F.col("_n") >= F.col("_most"), F.col("_o"))).over(own)
+    return ranked.withColumn("_first", first).filter("_o = _first").select(key, label)
+
+
 def label_index(df: DataFrame, label: str = "label") -> DataFrame:
     """Add label_idx, the 0-based rank of the label among the sorted distinct labels.
 

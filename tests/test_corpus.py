@@ -32,6 +32,24 @@ def test_conflict_strategies(spark):
         corpus.resolve_conflicts(df, "other")
 
 
+def test_distinct_pairs_resolve_as_rows_do(spark):
+    """Pairs resolved in a window give what their rows give by joins: with NULL keys, labels and orders, and orders of two labels."""
+    rng = random.Random(5)
+    rows = [(rng.choice([f"s{rng.randrange(40)}", None]), rng.choice(["A", "B", "None", None]), rng.randrange(3),
+             rng.choice([i, i // 2, None])) for i in range(400)]
+    pairs = corpus.distinct_pairs(spark.createDataFrame(rows, SCHEMA).filter("seq IS NOT NULL OR sentence != 's1'")).cache()
+    unordered = spark.createDataFrame([("only", "A", 0, None)], SCHEMA)
+    for strategy in ("prefer_non_none", "majority", "keep_all"):
+        for df in (pairs.filter("sentence IS NOT NULL AND label IS NOT NULL").dropDuplicates(["source_rank", "seq"]), unordered):
+            want, got = (corpus.resolve_conflicts(df, strategy, distinct=d).collect() for d in (False, True))
+            assert sorted((r["sentence"], r["label"]) for r in got) == sorted((r["sentence"], r["label"]) for r in want)
+    pairs.unpersist()
+    null = spark.createDataFrame([(None, "A", 0, 1), (None, "None", 0, 0), ("s", None, 0, 2), ("s", "B", 0, 2)], SCHEMA)
+    for strategy in ("prefer_non_none", "majority"):
+        want, got = (corpus.resolve_conflicts(null, strategy, distinct=d).collect() for d in (False, True))
+        assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_first_seen_does_not_depend_on_row_order(spark):
     rng = random.Random(7)
     rows = [(f"s{rng.randrange(20)}", rng.choice(["A", "B", "None"]), rng.randrange(3), i) for i in range(300)]
