@@ -40,7 +40,7 @@ def ranked_take(df: DataFrame, keys: tuple, quota: Quota, groups: tuple = (), se
     the smallest group. Rows with equal keys follow each other by the hash of the whole row,
     and of equal rows as many are taken as the quota leaves, so it is always met exactly.
     """
-    rows = store(df.withColumn("_h", order_hash(keys, seed)), "ranked")
+    rows = store(df.withColumn("_h", order_hash(keys, seed)), "ranked", "zstd")
     counts = rows.groupBy(*groups).agg(F.count("*").alias("total"))
     if not callable(quota):
         q = F.lit(int(quota))

@@ -9,7 +9,6 @@ from pactlens.operators import mining
 from pactlens.operators.corpus import (
     clean_rows, dedup_first, distinct_pairs, merge_corpora, resolve_conflicts)
 from pactlens.operators.sampling import balance, balance_cap
-from pactlens.sources.scratch import store
 
 
 def corpus_from_wide(wide: DataFrame, keys: tuple, none_ratio: float = 1.0, seed: int = 42) -> DataFrame:
@@ -39,7 +38,5 @@ def merged_training_corpus(sources: list, conflicts: str = "prefer_non_none", de
     rows = clean_rows(merge_corpora(sources), "sentence", "label")
     if dedupe:
         rows = distinct_pairs(rows)
-    resolved = resolve_conflicts(rows, conflicts, none_label).select("sentence", "label")
-    if balance_mode != "none":
-        resolved = store(resolved, "resolved")
+    resolved = resolve_conflicts(rows, conflicts, none_label, distinct=dedupe).select("sentence", "label")
     return balance(resolved, balance_mode, ("sentence", "label"), seed=seed)

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pactlens.operators import corpus, mining, sampling
-from pactlens.plans import analyze
+from pactlens.plans import analyze, build_corpus
+from pactlens.sources import scratch
 from workloads import derive, registry
 
 
@@ -89,3 +90,27 @@ def test_report_is_written_packed(spark, tmp_path):
     analyze.write_report(rows, str(tmp_path / "r"), compression="gzip")
     assert list((tmp_path / "r").glob("*.json.gz")) and not list((tmp_path / "r").glob("*.json"))
     assert sorted(spark.read.schema(rows.schema).json(str(tmp_path / "r")).collect()) == sorted(rows.collect())
+
+
+@pytest.mark.parametrize("strategy", ["prefer_non_none", "majority"])
+def test_distinct_pairs_move_twice_at_most(spark, sf, strategy):
+    """Texts move to their pair and then to their key; no table of keys and no second copy of the pairs is dealt out."""
+    merged = corpus.merge_corpora(list(derive.labelled_sources(spark, sf).items()))
+    text = plan(corpus.resolve_conflicts(corpus.distinct_pairs(merged), strategy, distinct=True))
+    assert exchanges(text) == 2 and "Join" not in text
+    assert exchanges(plan(registry.registry()["conflicts_majority_deduped"](spark, sf))) == 2
+
+
+def test_training_corpus_is_written_once(spark, sf, monkeypatch):
+    """Of the merged texts only the ranked rows are written before the balance, and these packed."""
+    written = []
+
+    def recorded(df, name, *rest):
+        out = scratch.store(df, name, *rest)
+        written.extend([(name, *rest)] if "sentence" in df.columns else [])
+        return out
+
+    for module in (sampling, derive, build_corpus):
+        monkeypatch.setattr(module, "store", recorded, raising=False)
+    registry.registry()["merged_training_corpus"](spark, sf)
+    assert written == [("labelled", "zstd"), ("ranked", "zstd")]
