@@ -34,15 +34,19 @@ def load_training_data(spark: SparkSession, path, min_rows: int = MIN_ROWS, mult
     return rows
 
 
-def write_corpus(df: DataFrame, path: str, fmt: str = "csv", by_label: bool = False) -> None:
+def write_corpus(df: DataFrame, path: str, fmt: str = "csv", by_label: bool = False,
+                 compression: str | None = None) -> None:
     """(sentence, label[, source]) as header CSV or parquet; parent folders are made.
 
     With `by_label` each label has a folder, and a later write replaces only the folders of the labels it
     holds, so one class can be built again, or a failed write repeated, without touching the others. Read such
-    a folder with the format's reader: the label comes from the folders' names.
+    a folder with the format's reader: the label comes from the folders' names. Packed CSV files (`gzip`) are read back
+    by every reader here, each file in one task, as files with line breaks inside fields are anyway.
     """
     cols = ["sentence", "label"] + (["source"] if "source" in df.columns else [])
     writer = df.select(*cols).write.mode("overwrite")
+    if compression:
+        writer = writer.option("compression", compression)
     if by_label:
         writer = writer.partitionBy("label").option("partitionOverwriteMode", "dynamic")
     if fmt == "csv":

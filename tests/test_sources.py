@@ -9,6 +9,7 @@ from pactlens.config import CascadeConfig
 from pactlens.operators import explain, mining
 from pactlens.plans import analyze
 from pactlens.sources import clauses, documents, labeled
+from workloads import registry
 
 CSV = '''sentence,label
 "Pays, ""late""
@@ -103,6 +104,25 @@ def test_rows_of_files_count_in_the_order_of_their_names(spark, tmp_path, multi_
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_packed_files_read_back_in_order(spark, tmp_path):
+    """Packed CSV files hold the same rows, line breaks and order of first occurrence, on less disk."""
+    rows = [(f'clause "{i}",\nsays the {i % 7} party', f"L{i % 3}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "sentence string, label string").coalesce(2)
+    for name, packed in (("plain", None), ("packed", "gzip")):
+        labeled.write_corpus(df, str(tmp_path / name), compression=packed)
+    plain, packed = ([(r["sentence"], r["label"]) for r in labeled.read_labeled(spark, str(tmp_path / name)).orderBy("seq").collect()]
+                     for name in ("plain", "packed"))
+    assert packed == plain and len(plain) == 2000
+    size = {name: sum(f.stat().st_size for f in (tmp_path / name).glob("part-*")) for name in ("plain", "packed")}
+    assert size["packed"] < size["plain"] / 3
+
+
+def test_first_seen_files_are_packed(spark, sf, monkeypatch, tmp_path):
+    monkeypatch.setattr(registry, "scratch_dir", lambda spark, name: str(tmp_path / name))
+    assert registry.registry()["first_seen_files"](spark, sf).count() > 0
+    assert {f.name[-7:] for f in (tmp_path / "ordered").glob("*/part-*")} == {".csv.gz"}
+
+
 def test_requests_and_inputs(spark):
     rows = [(" s ", "Penalty", "High"), ("", "Penalty", "High"), ("s", None, "High"), ("x" * 8001, "P", "H"), ("x" * 8000, "P", "H")]
     got = [r["error"] for r in explain.validate_requests(
