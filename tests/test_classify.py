@@ -161,3 +161,13 @@ def test_weights_of_texts_without_known_terms(spark):
     got = {r["id"]: [tuple(x) for x in r["weights"]] for r in features.with_weights(df, vocab).collect()}
     assert got[2] == got[3] == got[4] == []
     assert got[1] == [(0, pytest.approx(2 / 5 ** 0.5)), (1, pytest.approx(1 / 5 ** 0.5))]
+
+
+def test_training_scores_its_rows_once_each(spark, sf, monkeypatch):
+    """The result of train_ml comes from a written row per class; scoring is not part of its plan. The merged rows are written once, with their split."""
+    from workloads import registry
+
+    written, store = [], registry.store
+    monkeypatch.setattr(registry, "store", lambda df, name, *rest: written.append(name) or store(df, name, *rest))
+    text = registry.registry()["train_ml"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in text and written == ["split", "per_class"]
